@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import sharding, token_counts, token_store
+from textloom.llm import language_id, line_dedup, sharding, token_counts, token_store, topk_search
 from textloom.llm.common import documents, scratch_path
 
 END_ID = 1
@@ -19,17 +20,57 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.scan(token_store.read_store(spark, path), token_store.crc32_of_ids, "ids_crc32 long", token_store.CRC32)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", topk_search.whole_numbers(F.col("embedding"), 256).alias("vector"))
+    return topk_search.top_k(vectors, F.col("id") % 50 == 0, 5)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.fold_of(F.col("id")) == 2
+    found = language_id.language_of(documents(spark, sf_dir), ~held_out)
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "pieces")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), SHARDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op6_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op3_line_dedup, op6_token_counts, op7_topk_search, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL, "op7_topk_search": OP7_SQL}
+
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+    with l as (
+        select doc_id, generate_subscripts(parts, 1) as i, unnest(parts) as line
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)),
+    k as (select *, {LOWER.format(f"trim(line, {BLANKS})")} as key from l),
+    f as (select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3)
+    select k.doc_id, count(*)::bigint as n_lines, count(*) filter (where f.last <> k.doc_id)::bigint as n_dropped,
+           sha256(coalesce(string_agg(k.line, chr(10) order by k.i) filter (where f.last is null or f.last = k.doc_id), '')) as kept_sha256
+    from k left join f on f.key = k.key group by k.doc_id"""
+
+OP7_SQL = """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (
+        select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+        from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
