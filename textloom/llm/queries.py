@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import language_id, line_dedup, sharding, token_counts, token_store, topk_search
+from textloom.llm import decontamination, language_id, line_dedup, sharding, token_counts, token_store, topk_search
 from textloom.llm.common import documents, scratch_path
 
 END_ID = 1
@@ -25,6 +25,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
@@ -45,11 +51,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op3_line_dedup, op6_token_counts, op7_topk_search, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op3_line_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_topk_search": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL}
 
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -74,3 +80,20 @@ OP7_SQL = """
         from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
     select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
+
+OP5_WORDS = f"list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+OP5_SQL = f"""
+    with d as (select doc_id, {OP5_WORDS} as w from documents),
+    b as (select item_id::varchar as item_id, {OP5_WORDS} as w from benchmark),
+    iw as (select distinct item_id, n, unnest(runs) as run
+           from (select item_id, least(len(w), 10) as n, list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda s: array_to_string(w[s:s + least(len(w), 10) - 1], ' ')) as runs from b where len(w) > 0)),
+    n as (select distinct n from iw),
+    dw as (select doc_id, n, unnest(runs) as run, generate_subscripts(runs, 1) as s
+           from (select doc_id, n, list_transform(range(1, greatest(len(w) - n + 1, 0) + 1), lambda s: array_to_string(w[s:s + n - 1], ' ')) as runs from d, n)),
+    h as (select dw.doc_id, dw.s, dw.n, iw.item_id from dw join iw on iw.n = dw.n and iw.run = dw.run),
+    c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from h) group by doc_id),
+    i as (select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as items from (select distinct doc_id, item_id from h) group by doc_id)
+    select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(i.n_items, 0)::bigint as n_items,
+           coalesce(i.items, sha256('')) as items_sha256, c.n_hit is not null as contaminated
+    from d left join c using (doc_id) left join i using (doc_id)"""
