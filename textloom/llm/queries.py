@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, language_id, line_dedup, sharding, token_counts, token_store, topk_search
+from textloom.llm import decontamination, language_id, line_dedup, near_dedup, sharding, token_counts, token_store, topk_search
 from textloom.llm.common import documents, scratch_path
 
 END_ID = 1
@@ -20,6 +20,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.scan(token_store.read_store(spark, path), token_store.crc32_of_ids, "ids_crc32 long", token_store.CRC32)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op3_line_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
