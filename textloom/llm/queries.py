@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, language_id, line_dedup, near_dedup, sharding, token_counts, token_store, topk_search
+from textloom.llm import decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, token_counts, token_store, topk_search
 from textloom.llm.common import documents, scratch_path
 
 END_ID = 1
@@ -44,6 +44,11 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, F.col("id") % 50 == 0, 5)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_codec.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language_id.fold_of(F.col("id")) == 2
     found = language_id.language_of(documents(spark, sf_dir), ~held_out)
@@ -55,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
