@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, token_counts, token_store, topk_search
+from textloom.llm import decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search
 from textloom.llm.common import documents, scratch_path
 
 END_ID = 1
@@ -29,6 +29,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_words(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -60,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
