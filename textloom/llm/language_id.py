@@ -153,16 +153,17 @@ def labelled_words(docs: DataFrame, sample_docs: int, model_chars: int) -> dict[
 
 
 def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), sample_docs: int = SAMPLE_DOCS, model_chars: int = MODEL_CHARS) -> DataFrame:
-    """id, lang_pred, score, pieces (for each letter, of the winner), and the columns to carry along.
+    """id, lang_pred, score, pieces (for each letter, of the winner), and the columns to carry along, the text among them.
 
     learn: a condition on the columns id and lang; the rows that meet it are the labelled text.
     """
-    given = by_name(docs, id=id_col, text=text_col, lang=lang_col, **{f"carried_{i}": c for i, c in enumerate(carry)})
+    others = [c for c in carry if c != text_col]
+    given = by_name(docs, id=id_col, text=text_col, lang=lang_col, **{f"carried_{i}": c for i, c in enumerate(others)})
     labelled = given.select("id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     words = labelled_words(labelled, sample_docs, model_chars)
     languages = sorted(words)
     sent = docs.sparkSession.sparkContext.broadcast((languages, [Automaton(EDGE + EDGE.join(words[x]) + EDGE) for x in languages]))
-    carried = [given.schema[f"carried_{i}"] for i in range(len(carry))]
+    carried = ([given.schema["text"]] if text_col in carry else []) + [given.schema[f"carried_{i}"] for i in range(len(others))]
     key = given.schema["id"]
     schema = ", ".join([f"id {key.dataType.simpleString()}", "lang_pred string", "score double", "pieces double", *[f"{x.name} {x.dataType.simpleString()}" for x in carried]])
 
@@ -188,10 +189,11 @@ def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 second = np.partition(found, 1, 1)[:, 1] if found.shape[1] > 1 else np.maximum(2 * total, 1)
                 score = np.where(known, 1 - least / np.maximum(second, 1) if found.shape[1] > 1 else 1.0, 0.0)
                 rate = np.where(known, least / np.maximum(total, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rate), *part.columns[2:]], ["id", "lang_pred", "score", "pieces", *[x.name for x in carried]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rate), *part.columns[1 if text_col in carry else 2 :]], ["id", "lang_pred", "score", "pieces", *[x.name for x in carried]])
 
-    found = given.select("id", "text", *[x.name for x in carried]).mapInArrow(predict, schema)
-    return found.select("id", "lang_pred", "score", "pieces", *[F.col(x.name).alias(c) for x, c in zip(carried, carry, strict=True)])
+    found = given.select("id", "text", *[f"carried_{i}" for i in range(len(others))]).mapInArrow(predict, schema)
+    back = {text_col: "text"} | {c: f"carried_{i}" for i, c in enumerate(others)}
+    return found.select("id", "lang_pred", "score", "pieces", *[F.col(back[c]).alias(c) for c in carry])
 
 
 def fold_of(key: Column, folds: int = 4) -> Column:
