@@ -1,9 +1,551 @@
-"""Named queries over the driver's tables, and DuckDB SQL for the same results."""
+"""Named queries over the driver's tables, and DuckDB SQL for the same results.
 
+documents stand in for contents (doc_id as id, the first line of the text as title), pages for collected URLs, events for
+timestamped rows and jobs (event_type as kind or status, user_id as tenant or source), labels for a side table. The fixtures
+are in Latin script, so script limits are turned round here; Hangul rules are tested on strings of their own.
+"""
 
-def queries():
-    return {}
+from collections.abc import Callable
+from datetime import date, datetime
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from textloom.functions.text import HANGUL, LATIN, excerpt, script_ratio, strip, title_key
+from textloom.functions.times import display_iso
+from textloom.functions.urls import canonical_url, is_paging, outlet, url_hash, url_shape
+from textloom.operators import analysis, clean, collect, dedup, insights, search
+from textloom.sources import html
+
+FIRST_DAY, LAST_DAY = date(2024, 1, 1), date(2024, 1, 31)
+NOW = datetime(2024, 1, 31)
+KEYWORDS = ("the", "that on", "der", "les ", "quux")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, lang, source, and title."""
+    return table(spark, sf_dir, "documents").withColumn("title", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+
+
+def cleaned_by(spark: SparkSession, sf_dir: str, step: str, before: str = "", after: str = "", **options) -> DataFrame:
+    """One step over all documents, with the same lines put before and after each text where the fixtures lack them."""
+    text = F.concat(F.lit(before), F.coalesce("text", F.lit("")), F.lit(after)).alias("cleaned")
+    df = table(spark, sf_dir, "documents").select("doc_id", text)
+    found = next(s for s in clean.STEPS if s.name == step)
+    if options:
+        found = clean.Step(step, lambda t, lines: found_apply(t, lines, **options))
+        found_apply = next(s for s in clean.STEPS if s.name == step).apply
+    return clean.applied(df, found, "cleaned")
+
+
+# Pieces of SQL that several oracles share.
+def sql_trim(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def sql_lines(x: str) -> str:
+    return f"string_split({x}, chr(10))"
+
+
+def sql_join(x: str) -> str:
+    return f"array_to_string({x}, chr(10))"
+
+
+SQL_EMAIL = r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]+"
+
+
+def sql_no_email(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '{SQL_EMAIL}', '', 'g'), '\[\s*email\s*protected\s*\]', '', 'gi')"
+
+
+def sql_whitespace(x: str) -> str:
+    line = sql_trim(r"regexp_replace(replace(x, '|', ' '), '[ \t ]+', ' ', 'g')")
+    one = sql_join(f"list_transform({sql_lines(x)}, lambda x: {line})")
+    return sql_trim(rf"regexp_replace({one}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def sql_han(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[가-힣]'))"
+
+
+def sql_lat(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[A-Za-z]'))"
+
+
+SAMPLE = rf"regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\S+|www\.\S+', ' ', 'g'), '{SQL_EMAIL}', ' ', 'g')"
+
+
+@query(f"select doc_id, {sql_whitespace("coalesce(text, '')")} as cleaned from documents")
+def clean_normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_by(spark, sf_dir, "whitespace")
+
+
+@query(f"select doc_id, {sql_no_email("coalesce(text, '')")} as cleaned from documents")
+def clean_strip_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_by(spark, sf_dir, "emails")
+
+
+@query(f"""
+    with l as (select doc_id, coalesce(text, '') as text, {sql_lines("coalesce(text, '')")} as a from documents),
+    k as (select *, list_filter(a, lambda x: not ({sql_trim("x")} like '|%' or {sql_trim("x")} like '%|')) as b from l),
+    n as (select *, len(array_to_string(list_transform(a, lambda x: {sql_trim("x")}), '')) as na, len(array_to_string(list_transform(b, lambda x: {sql_trim("x")}), '')) as nb from k)
+    select doc_id, case when na > 0 and nb < na * 0.3 then text else {sql_join("b")} end as cleaned from n""")
+def clean_caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_by(spark, sf_dir, "caption_lines")
+
+
+@query(f"""
+    select doc_id, {sql_join("list_filter(" + sql_lines("coalesce(text, '')") + ", lambda x: not (" + sql_han("x") + " + " + sql_lat("x") + " >= 40 and " + sql_han("x") + " >= 0.7 * (" + sql_han("x") + " + " + sql_lat("x") + ")))")} as cleaned
+    from documents""")
+def clean_foreign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latin is the own script here, Hangul the foreign one."""
+    return cleaned_by(spark, sf_dir, "foreign_lines", own=LATIN, foreign=HANGUL)
+
+
+@query(f"""
+    with l as (select doc_id, list_transform({sql_lines("'▶ a' || chr(10) || '- b' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '▷c'")}, lambda x: x) as a from documents),
+    i as (select doc_id, a, list_filter(range(1, len(a) + 1), lambda i: {sql_trim("a[i]")} <> '' and not regexp_matches({sql_trim("a[i]")}, '^([-*•]\\s|[▶▷►☞※])')) as k from l)
+    select doc_id, coalesce({sql_join("a[k[1]:k[-1]]")}, '') as cleaned from i""")
+def clean_edge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_by(spark, sf_dir, "edge_lists", before="▶ a\n- b\n", after="\n\n▷c")
+
+
+@query(f"""
+    with t as (select doc_id, '포토뉴스' || chr(10) || coalesce(text, '') as body from documents)
+    select doc_id, case when len(regexp_replace({sql_join("list_transform(" + sql_lines("substr(body, 6)") + ", lambda x: " + sql_trim("x") + ")")}, '\\n', '', 'g')) >= 100 then substr(body, 6) else substr(body, 6) || chr(10) || 'other' end as cleaned
+    from t""")
+def clean_section_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label above the body, and a header below it that ends the text if there is enough body before."""
+    return cleaned_by(spark, sf_dir, "section_headers", before="포토뉴스\n", after="\n[관련기사]\nother")
+
+
+@query("select doc_id, coalesce(text, '') as cleaned from documents")
+def clean_terminator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_by(spark, sf_dir, "terminator", after="\n (끝)\nother articles")
+
+
+@query()
+def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps with the title, and what each of them removed."""
+    steps = tuple(clean.Step(s.name, lambda t, lines: clean.foreign_lines(t, lines, LATIN, HANGUL)) if s.name == "foreign_lines" else s for s in clean.STEPS)
+    out = clean.cleaned(documents(spark, sf_dir), "text", "cleaned", "title", steps, "report")
+    return out.select("doc_id", "cleaned", F.transform("report", lambda x: F.concat(x["step"], F.lit(" -"), x["removed"].cast("string"))).alias("report"))
+
+
+@query(f"""
+    with c as (select source, lang, {sql_whitespace(sql_no_email("coalesce(text, '')"))} as t from documents),
+    r as (select *, {sql_lat("t")} as a, {sql_han("t")} as h from c)
+    select source, lang, count(*) as collected, count(*) filter (where t <> '') as extracted, count(*) filter (where length(t) >= 100) as long_enough,
+           count(*) filter (where length(t) >= 100 and a + h > 0 and a >= 0.5 * (a + h)) as cleaned
+    from r group by all""")
+def stage_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents come how far, in one pass."""
+    df = table(spark, sf_dir, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("t"))
+    for step in ("emails", "whitespace"):
+        df = clean.applied(df, next(s for s in clean.STEPS if s.name == step), "t")
+    flags = df.select("source", "lang", (F.col("t") != "").alias("a"), (F.length("t") >= clean.LEAST_LENGTH).alias("b"), (script_ratio(F.col("t"), LATIN, HANGUL) >= clean.LEAST_SHARE).alias("c"))
+    return flags.groupBy("source", "lang").agg(F.count("*").alias("collected"), F.count_if("a").alias("extracted"), F.count_if("b").alias("long_enough"), F.count_if(F.col("b") & F.col("c")).alias("cleaned"))
+
+
+@query(f"""
+    with r as (select doc_id, {sql_lat(SAMPLE)} as a, {sql_han(SAMPLE)} as h from documents)
+    select doc_id, case when a + h > 0 then a / (a + h) else 0.0 end::double as ratio, case when a + h > 0 then a / (a + h) else 0.0 end >= 0.5 as passes from r""")
+def script_ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio = script_ratio(F.col("text"), LATIN, HANGUL)
+    return table(spark, sf_dir, "documents").select("doc_id", ratio.alias("ratio"), (ratio >= clean.LEAST_SHARE).alias("passes"))
+
+
+# URLs: the fixtures' queries need no decoding.
+TRACKED = "('fbclid', 'gclid', 'igshid', 'n_media', 'n_query', 'n_rank', 'ref', 'referer', 'referrer', 's_kwcid', 'spm', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term')"
+CANON = rf"""
+    p as (select page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['scheme', 'host', 'path', 'query']) as u from pages),
+    q as (select *, array_to_string(list_filter(string_split(u.query, '&'), lambda x: x <> '' and lower(split_part(x, '=', 1)) not in {TRACKED}), '&') as kept from p),
+    c as (select page_id, url, u, lower(u.scheme) || '://' || lower(u.host) || case when regexp_replace(u.path, '/+$', '') = '' then '/' else regexp_replace(u.path, '/+$', '') end || case when kept = '' then '' else '?' || kept end as canonical from q)"""
+
+
+@query(f"with {CANON} select page_id, canonical from c")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(f"with {CANON} select page_id, sha256(canonical) as url_hash from c")
+def url_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", url_hash(F.col("url")).alias("url_hash"))
+
+
+@query(rf"""with {CANON} select page_id, u.host || regexp_replace(u.path, '\d+', '{{n}}', 'g') || '?' || array_to_string(list_sort(list_transform(list_filter(string_split(u.query, '&'), lambda x: x <> ''),
+    lambda x: case when regexp_full_match(x, '[^=]*=\d+') then split_part(x, '=', 1) || '={{n}}' else x end)), '&') as shape, false as paging from c where u.query not like '%page=%'
+    union all select page_id, u.host || regexp_replace(u.path, '\d+', '{{n}}', 'g') || '?' || array_to_string(list_sort(list_transform(list_filter(string_split(u.query, '&'), lambda x: x <> ''),
+    lambda x: case when regexp_full_match(x, '[^=]*=\d+') then split_part(x, '=', 1) || '={{n}}' else x end)), '&') as shape, not regexp_matches(u.path, '\d') as paging from c where u.query like '%page=%'""")
+def url_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", url_shape(F.col("url")).alias("shape"), is_paging(F.col("url")).alias("paging"))
+
+
+@query(f"with {CANON} select page_id, regexp_replace(lower(u.host), '^www\\.', '') as outlet from c")
+def outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", outlet(F.lit(""), F.col("url")).alias("outlet"))
+
+
+@query(f"with {CANON} select min(page_id) as page_id, canonical from c group by canonical")
+def dedup_url_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = table(spark, sf_dir, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical"))
+    return dedup.first_per_key(keyed, "canonical", "page_id")
+
+
+SQL_TITLE = "split_part(coalesce(text, ''), chr(10), 1)"
+SQL_TITLE_KEY = rf"regexp_replace(regexp_replace({SQL_TITLE}, '^(.*) - .*$', '\1'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+@query(f"select min(doc_id) as doc_id, {SQL_TITLE_KEY} as title_key from documents group by 2")
+def dedup_title_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = documents(spark, sf_dir).select("doc_id", title_key(F.col("title")).alias("title_key"))
+    return dedup.first_per_key(keyed, "title_key", "doc_id")
+
+
+@query()
+def dedup_ordered_url_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both keys in order: a document's source and length class stand for a URL, its title key for a title."""
+    keyed = documents(spark, sf_dir).select("doc_id", F.concat_ws("/", "source", (F.length(F.coalesce("text", F.lit(""))) % 97).cast("string")).alias("normalized_url"), title_key(F.col("title")).alias("title_key"))
+    return dedup.dedup_two_keys(keyed, "doc_id", "normalized_url", "title_key")
+
+
+@query(f"with {CANON} select page_id, canonical from c where canonical not in (select canonical from c where url like '%?%')")
+def new_urls_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages come in; those whose URL has a query are stored already."""
+    keyed = table(spark, sf_dir, "pages").select("page_id", "url", canonical_url(F.col("url")).alias("canonical"))
+    return dedup.new_rows(keyed, keyed.where(F.col("url").contains("?")), ["canonical"]).select("page_id", "canonical")
+
+
+@query(f"with {CANON} select page_id, canonical from c where canonical in (select canonical from c where url like '%?%')")
+def known_urls_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = table(spark, sf_dir, "pages").select("page_id", "url", canonical_url(F.col("url")).alias("canonical"))
+    return keyed.join(keyed.where(F.col("url").contains("?")).select("canonical"), "canonical", "left_semi").select("page_id", "canonical")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def unanalyzed_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+# Keywords.
+def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and keyword, with mentions, density and verdict."""
+    each = documents(spark, sf_dir).withColumn("keyword", F.explode(F.array(*[F.lit(k) for k in KEYWORDS])))
+    found = analysis.keyword_stats(each, F.col("keyword"), F.col("title"), F.col("text"))
+    return found.withColumn("relevance", analysis.judge(F.col("mentions"), F.col("density"), F.col("title_has"), F.length(F.coalesce("text", F.lit(""))))).select("doc_id", "keyword", "mentions", "density", "title_has", "relevance")
+
+
+PATTERNS = {k: r"(?i)" + r"\s*".join(k.split()) for k in KEYWORDS}
+STATS = f"""
+    k as (select * from (values {", ".join(f"('{k}', '{p}')" for k, p in PATTERNS.items())}) as t(keyword, pattern)),
+    m as (select doc_id, keyword, len(regexp_extract_all(coalesce(text, ''), pattern))::int as mentions, length(coalesce(text, '')) as n, regexp_matches({SQL_TITLE}, pattern) as title_has from documents, k),
+    d as (select *, case when n > 0 then round_even(mentions * 1000.0::double / n, 2) else 0 end::double as density from m),
+    s as (select *, case when mentions <= 2 then 'passing' when mentions >= 4 and (n < 600 or density >= case when title_has then 1.5 else 3.0 end) then 'main' else 'partial' end as relevance from d)"""
+
+
+@query(f"with {STATS} select doc_id, keyword, mentions from s")
+def keyword_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_rows(spark, sf_dir).select("doc_id", "keyword", "mentions")
+
+
+@query(f"with {STATS} select doc_id, keyword, density, title_has from s")
+def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_rows(spark, sf_dir).select("doc_id", "keyword", "density", "title_has")
+
+
+@query(f"with {STATS} select doc_id, keyword, relevance from s")
+def judge_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_rows(spark, sf_dir).select("doc_id", "keyword", "relevance")
+
+
+BEST = "select doc_id, case min(case relevance when 'main' then 0 when 'partial' then 1 else 2 end) when 0 then 'main' when 1 then 'partial' else 'passing' end as relevance from s group by doc_id"
+
+
+@query(f"with {STATS} {BEST}")
+def doc_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.best_relevance(keyword_rows(spark, sf_dir), "doc_id")
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_relevance(spark, sf_dir).withColumnRenamed("doc_id", "content_id")
+
+
+@query(f"with {STATS}, b as ({BEST}) select doc_id as id, source from documents where doc_id in (select doc_id from b where relevance = 'main')")
+def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.with_relevance(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), verdicts(spark, sf_dir), "main")
+
+
+@query(f"with {STATS}, b as ({BEST}) select doc_id as id, source from documents where doc_id not in (select doc_id from b where relevance = 'passing')")
+def hide_passing_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.without_passing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), verdicts(spark, sf_dir))
+
+
+@query(f"with {STATS} select doc_id, keyword from s where mentions > 0 and doc_id in (select doc_id from labels) and not (doc_id in (select doc_id from labels where quality = 1) and keyword = 'the')")
+def hits_without_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of labelled documents, but those of good ones for one keyword, which have their numbers."""
+    hits = keyword_rows(spark, sf_dir).where("mentions > 0").select("doc_id", "keyword")
+    labels = table(spark, sf_dir, "labels")
+    have = labels.where("quality = 1").select("doc_id", F.lit("the").alias("keyword"))
+    return hits.join(labels.select("doc_id"), "doc_id", "left_semi").join(have, ["doc_id", "keyword"], "left_anti")
+
+
+@query(f"with {STATS} select keyword, title_has, min(doc_id) as doc_id from s where mentions > 0 group by all")
+def first_hit_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = keyword_rows(spark, sf_dir).where("mentions > 0").select("doc_id", "keyword", "title_has")
+    return dedup.first_per_key(hits, ["keyword", "title_has"], "doc_id")
+
+
+@query(f"""with {STATS} select keyword, count(*) as docs, round_even(count(*) filter (where relevance = 'main') * 100.0::double / count(*), 1) as main, round_even(count(*) filter (where relevance = 'partial') * 100.0::double / count(*), 1) as partial,
+    round_even(count(*) filter (where relevance = 'passing') * 100.0::double / count(*), 1) as passing, round_even(count(*) filter (where relevance = 'passing') * 100.0::double / count(*), 1) >= 50 as warn from s group by keyword""")
+def keyword_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.hit_rate(keyword_rows(spark, sf_dir))
+
+
+@query(f"""with {STATS} select floor(density / 0.25) * 0.25 as bin, count(*) as n, case when floor(density / 0.25) * 0.25 >= 3.0 then 'main' when floor(density / 0.25) * 0.25 >= 1.5 then 'partial' else 'passing' end as preview from s group by all""")
+def density_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.density_histogram(keyword_rows(spark, sf_dir), 3.0)
+
+
+# Words.
+SQL_RUNS = r"""
+    r as (select doc_id, regexp_extract_all(coalesce(text, ''), '[가-힣]+|\p{Latin}+|\d+') as w, coalesce(text, '') as text from documents),
+    t as (select doc_id, unnest(w) as term from r),
+    tt as (select doc_id, term, case when regexp_matches(term, '^[가-힣]') then 'NNG' when regexp_matches(term, '^\d') then 'SN' else 'SL' end as pos from t),
+    tc as (select doc_id, term[1:100] as term, pos, count(*)::int as count from tt where pos <> 'SN' group by all),
+    rk as (select *, row_number() over (partition by doc_id order by count desc, term, pos) as rank, round_even(count * 100.0::double / sum(count) over (partition by doc_id), 1) as share from tc)"""
+
+
+@query(rf"""with {SQL_RUNS}, c as (select doc_id, count(*) as tokens, count(distinct (term, pos)) as unique_tokens, count(*) filter (where pos = 'NNG') as nouns from tt group by doc_id),
+    sn as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x), lambda x: true) as parts from r),
+    sl as (select doc_id, list_filter(list_transform(flatten(list_transform(parts, lambda x: string_split_regex(x, '\n+'))), lambda x: {sql_trim("x")}), lambda x: x <> '') as s from sn)
+    select d.doc_id, coalesce(tokens, 0)::int as tokens, coalesce(unique_tokens, 0)::int as unique_tokens, coalesce(nouns, 0)::int as nouns, case when tokens > 0 then len(s) else 0 end::int as sentences,
+           case when tokens > 0 and len(s) > 0 then round_even(length(array_to_string(s, ''))::double / len(s), 1) else 0 end as avg_sentence_len, case when tokens > 0 then round_even(unique_tokens::double / tokens, 3) else 0 end as ttr
+    from documents d left join c using (doc_id) left join sl using (doc_id)""")
+def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.text_metrics(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", "tokens", "unique_tokens", "nouns", "sentences", "avg_sentence_len", "ttr")
+
+
+@query(f"with {SQL_RUNS} select doc_id, term, pos, count from tc")
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+FOREIGN = analysis.Settings(pos_range="foreign")
+
+
+@query(f"with {SQL_RUNS} select doc_id, rank::int as rank, term, pos, count, share from rk where rank <= 15")
+def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.top_words(term_counts(spark, sf_dir), "doc_id", FOREIGN)
+
+
+@query(f"with {SQL_RUNS}, g as (select term as word, count(distinct doc_id) as docs, round_even(avg(share), 2) as mean_share from rk where rank <= 15 group by term) select *, case when mean_share >= 5 then 'center' else 'background' end as kind from g order by docs desc, word limit 8")
+def core_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.core_words(top_words(spark, sf_dir), "doc_id")
+
+
+@query(f"with {SQL_RUNS}, h as (select doc_id from documents where regexp_matches(coalesce(text, ''), '(?i)der')) select term as word, count(distinct doc_id) as docs from rk where rank <= 15 and term <> 'der' and doc_id in (select doc_id from h) group by term order by docs desc, word limit 20")
+def related_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = keyword_rows(spark, sf_dir).where("mentions > 0").select(F.col("doc_id").alias("content_id"), "keyword")
+    return insights.related_words(hits, top_words(spark, sf_dir).withColumnRenamed("doc_id", "content_id"), "der")
+
+
+# Lists.
+@query("select doc_id, source, n_chars from documents where contains(lower(split_part(coalesce(text, ''), chr(10), 1)), 'the') order by n_chars desc nulls last, doc_id desc limit 20 offset 20")
+def content_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of documents with a word in their title, longest first."""
+    found = documents(spark, sf_dir).where(search.contains_literally(F.col("title"), "THE")).select("doc_id", "source", "n_chars")
+    return search.paged(search.ordered(found, "n_chars", id_col="doc_id"), 2, 20)
+
+
+@query(r"""with p as (select * from documents order by n_chars desc nulls last, doc_id desc limit 20)
+    select p.doc_id, p.source, l.quality, trim(regexp_replace(substr(coalesce(p.text, ''), 1, 120), '\s+', ' ', 'g')) as excerpt from p left join labels l using (doc_id)""")
+def list_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    page = search.paged(search.ordered(docs.select("doc_id", "source", "n_chars"), "n_chars", id_col="doc_id"), 1, 20)
+    texts = docs.join(F.broadcast(page.select("doc_id")), "doc_id", "left_semi").select("doc_id", excerpt(F.col("text")).alias("excerpt"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return F.broadcast(page).join(labels.join(F.broadcast(page.select("doc_id")), "doc_id", "left_semi"), "doc_id", "left").join(texts, "doc_id", "left").select("doc_id", "source", "quality", "excerpt")
+
+
+# Days, jobs.
+SQL_DAY = "(ts + interval 9 hour)::date"
+
+
+@query(f"with d as (select unnest(generate_series(date '2024-01-01', date '2024-01-31', interval 1 day))::date as day), c as (select {SQL_DAY} as day, count(*) as n from events group by 1) select d.day, coalesce(n, 0) as n from d left join c using (day)")
+def daily_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.daily_counts(events(spark, sf_dir), "ts", FIRST_DAY, LAST_DAY)
+
+
+@query(f"""with d as (select unnest(generate_series(date '2024-01-01', date '2024-01-31', interval 1 day))::date as day)
+    select d.day, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'view') as view from d left join events e on {SQL_DAY} = d.day group by d.day""")
+def daily_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.daily_counts_by(events(spark, sf_dir), "ts", "event_type", ["click", "view"], FIRST_DAY, LAST_DAY)
+
+
+@query(f"with c as (select {SQL_DAY} as day, count(*) as n from events group by 1), d as (select unnest(generate_series(date '2024-01-01', date '2024-01-31', interval 1 day))::date as day), z as (select d.day, coalesce(n, 0) as n from d left join c using (day)) select day, n, n - lag(n, 1, 0) over (order by day) as delta from z")
+def day_over_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.day_over_day(daily_counts_zero_filled(spark, sf_dir))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ts as an instant; the session's zone is UTC."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select event_type, strftime(max(ts) + interval 9 hour, '%Y-%m-%dT%H:%M:%S') || '+09:00' as latest from events group by event_type")
+def latest_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy("event_type").agg(F.max("ts").alias("ts")).select("event_type", display_iso(F.col("ts")).alias("latest"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as jobs of the user's source: clicks failed, views succeeded, others wait; value decides what they found."""
+    status = F.when(F.col("event_type") == "click", "failed").when(F.col("event_type") == "view", "success").otherwise("queued")
+    return events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), status.alias("status"), F.col("ts").alias("queued_at"), F.when(F.col("value") > 60, F.floor("value")).otherwise(0).cast("int").alias("collected_count"))
+
+
+SQL_JOBS = "j as (select event_id as id, user_id as source_id, case event_type when 'click' then 'failed' when 'view' then 'success' else 'queued' end as status, ts as queued_at, case when value > 60 then floor(value) else 0 end::int as collected_count from events)"
+
+
+@query(f"""with {SQL_JOBS} select source_id, count(*) as jobs, count(*) filter (where status = 'failed') as failed,
+    case when count(*) filter (where status <> 'queued') > 0 then round_even(count(*) filter (where status = 'success') * 100.0::double / count(*) filter (where status <> 'queued'), 0) end as success_rate
+    from j where queued_at >= timestamp '2024-01-24' and queued_at < timestamp '2024-01-31' group by source_id""")
+def job_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.success_rate(jobs(spark, sf_dir), ["source_id"], NOW)
+
+
+@query(f"with {SQL_JOBS}, r as (select *, row_number() over (partition by source_id order by id desc) as k from j) select source_id from r where k <= 3 group by source_id having count(*) = 3 and max(collected_count) = 0")
+def zero3_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.empty_runs(jobs(spark, sf_dir), "source_id", F.desc("id"), "collected_count")
+
+
+@query(f"with {SQL_JOBS} select id, status, coalesce(c_name, '') as source_name from (select * from j order by id desc limit 100) x left join customer on c_custkey = source_id")
+def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest jobs with their source's name; customers stand for sources."""
+    top = jobs(spark, sf_dir).orderBy(F.desc("id")).limit(100)
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("source_name"))
+    return F.broadcast(top).join(names.join(F.broadcast(top.select("source_id").distinct()), "source_id", "left_semi"), "source_id", "left").select("id", "status", F.coalesce("source_name", F.lit("")).alias("source_name"))
+
+
+@query("""with r as (select event_type, count(*) filter (where ts >= timestamp '2024-01-24') as recent, count(*) filter (where ts < timestamp '2024-01-24') / 4.0::double as weekly_mean
+    from events where ts >= timestamp '2023-12-27' and ts < timestamp '2024-01-31' group by event_type) select event_type, recent, weekly_mean, case when weekly_mean > 0 then round_even(recent / weekly_mean, 2) end as ratio from r""")
+def rising_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.rising(events(spark, sf_dir), "event_type", "ts", NOW)
+
+
+@query("select event_type, event_id, row_number() over (partition by event_type order by ts desc, event_id desc)::int as place from events qualify place <= 5")
+def recent_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.latest_per_group(events(spark, sf_dir), "event_type", [F.desc("ts"), F.desc("event_id")]).select("event_type", "event_id", "place")
+
+
+@query("select event_id, event_type, value from events where user_id = 7")
+def tenant_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where(F.col("user_id") == 7).select("event_id", "event_type", "value")
+
+
+@query("select user_id, count(*) as items, max(ts) as last_activity, count(distinct event_type) as kinds from events group by user_id")
+def tenant_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("items"), F.max("ts").alias("last_activity"), F.count_distinct("event_type").alias("kinds"))
+
+
+# Changes of stored rows.
+@query("select doc_id, quality, toxic from labels where doc_id not in (select doc_id from documents where source = 'src0')")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that stay when the documents of a source go."""
+    gone = table(spark, sf_dir, "documents").where("source = 'src0'").select("doc_id")
+    return table(spark, sf_dir, "labels").join(gone, "doc_id", "left_anti").select("doc_id", "quality", "toxic")
+
+
+@query("select doc_id, coalesce(l.quality, -1) as quality from (select doc_id from documents where lang = 'fr') d left join labels l using (doc_id) union all select doc_id, quality from labels where doc_id not in (select doc_id from documents where lang = 'fr')")
+def replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, with a new set for French documents in the place of their old ones."""
+    from textloom.operators.store import replaced
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    batch = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    return replaced(labels, batch, ["doc_id"])
+
+
+@query(f"with t as (select doc_id, coalesce(text, '') as a, {sql_whitespace(sql_no_email("coalesce(text, '')"))} as b from documents) select doc_id, length(a) as before, length(b) as after, length(b) < 100 as short from t where a <> b")
+def reclean_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that two of the steps change, and what is too short then."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("a"), F.coalesce("text", F.lit("")).alias("b"))
+    for step in ("emails", "whitespace"):
+        df = clean.applied(df, next(s for s in clean.STEPS if s.name == step), "b")
+    return df.where("a <> b").select("doc_id", F.length("a").alias("before"), F.length("b").alias("after"), (F.length("b") < 100).alias("short"))
+
+
+# Pages.
+SQL_LINKS = """(select page_id, url, regexp_extract_all(html, '<a href="/[^"]*">[^<]*</a>') as a from pages)"""
+
+
+@query(f"""
+    with l as (select page_id, url, unnest(a) as a, generate_subscripts(a, 1) - 1 as ordinal from {SQL_LINKS})
+    select page_id, ordinal::int as ordinal, replace(regexp_extract(url, '^https?://[^/]*') || regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') as url, trim(replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&')) as text from l""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of menus too: the fixtures have no others."""
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(html.all_links("html", "url")).alias("l"))
+    return each.select("page_id", "l.ordinal", "l.url", "l.text")
+
+
+@query()
+def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", html.page_content("html").alias("c"))
+    return pages.select("page_id", "c.body", "c.title", F.length("c.body").alias("n_chars")).where(strip(F.col("body")) != "")
+
+
+@query(r"select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')) as title from pages")
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.page_content("html")["title"].alias("title"))
+
+
+BOARD = """<html><body><header><a href="/menu?id=1">Menu</a></header><table>
+<tr><td>공지</td><td><a href="/view?no=100">오늘의 공지 사항</a></td><td>2026-09-01</td></tr>
+<tr><td>3</td><td><a href="/view?no=103">대회 결과 안내</a> <a href="/view?no=103#comments">[2]</a></td><td>14:32</td></tr>
+<tr><td>2</td><td><a href="/view?no=102">승단 심사 일정</a></td><td>09-25</td></tr>
+<tr><td>1</td><td><a href="/view?no=101">도장 이전 알림</a></td><td>2025.12.01</td></tr>
+</table><div><a href="/list?page=2">2</a><a href="/list?page=3">3</a></div><footer><a href="/about/1">About</a></footer></body></html>"""
+
+
+@query("""select * from (values ('대회 결과 안내', 'https://b.example/view?no=103', '2026-09-26T14:32:00+09:00'), ('승단 심사 일정', 'https://b.example/view?no=102', '2026-09-25T00:00:00+09:00'),
+    ('도장 이전 알림', 'https://b.example/view?no=101', '2025-12-01T00:00:00+09:00')) as t(title, url, published)""")
+def board_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts that are found on a board's page without selectors, notices left out."""
+    pages = spark.createDataFrame([(1, BOARD, "https://b.example/list")], "page_id int, html string, base string")
+    groups = html.candidate_groups(pages, "page_id", "html", "base")
+    found = html.posts(groups, F.lit(datetime(2026, 9, 26, 3, 0)).cast("timestamp"), exclude_notice=True)
+    return found.select("title", "url", display_iso(F.col("published")).alias("published"))
+
+
+@query("select count(*) as collected, count(*) filter (where n_chars >= 0 and ts is not null) as recent from (select n_chars, null::timestamp as ts from documents union all select 0, ts from events where ts >= timestamp '2024-01-25')")
+def recency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows within the wider of two windows; those without a date pass too."""
+    rows = documents(spark, sf_dir).select(F.lit(None).cast("timestamp").alias("ts")).union(events(spark, sf_dir).select("ts"))
+    kept = rows.where(collect.recent(F.col("ts"), [datetime(2024, 1, 25), datetime(2024, 1, 28)]))
+    return kept.agg(F.count("*").alias("collected"), F.count_if(F.col("ts").isNotNull()).alias("recent"))
