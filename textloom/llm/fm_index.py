@@ -27,21 +27,23 @@ class Bits:
 
 class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, top: int):
-        self.levels = []
+        self.levels, starts, every = [], np.zeros(top + 1, np.int64), np.arange(top + 1)
         for shift in range(max(1, int(top).bit_length()) - 1, -1, -1):
-            bits = (symbols >> shift & 1).astype(bool)
-            self.levels.append((shift, Bits(bits)))
-            symbols = np.concatenate([symbols[~bits], symbols[bits]])
+            set_bits = (symbols >> shift & 1).astype(bool)
+            bits = Bits(set_bits)
+            self.levels.append((shift, bits))
+            symbols = np.concatenate([symbols[~set_bits], symbols[set_bits]])
+            ones = bits.ones(starts)
+            starts = np.where(every >> shift & 1, bits.zeros + ones, starts - ones)
+        # Where each symbol's own places begin on the last level.
+        self.starts = starts
 
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands in the first `at` places."""
-        start = np.zeros_like(at)
         for shift, bits in self.levels:
-            one = (symbols >> shift & 1).astype(bool)
-            ones, ones_start = bits.ones(at), bits.ones(start)
-            at = np.where(one, bits.zeros + ones, at - ones)
-            start = np.where(one, bits.zeros + ones_start, start - ones_start)
-        return at - start
+            ones = bits.ones(at)
+            at = np.where(symbols >> shift & 1, bits.zeros + ones, at - ones)
+        return at - self.starts[symbols]
 
 
 class FmIndex:

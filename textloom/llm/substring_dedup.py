@@ -15,7 +15,6 @@ not count as smaller than each other; texts shorter than a window stay as they a
 columns are not read.
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import NULL_ID, WORD_HASHES, by_name, gram_hashes, stored, text_slices
+from textloom.llm.common import NULL_ID, WORD_HASHES, by_name, gram_hashes, mixed, stored, text_slices
 from textloom.llm.fm_index import FmIndex
 
 WINDOW = 50
@@ -32,9 +31,12 @@ GRAM = 8
 #: Windows of a segment: longer runs are cut.
 MOST_WINDOWS = 512
 SHARD_WORDS = 150_000
-HOT_SEGMENTS = 1_000
-BROADCAST_ROWS = 300_000
-BROADCAST_BYTES = 32 << 20
+HOT_SEGMENTS = 5_000
+#: Of ids or hashes, 8 or 16 bytes each.
+BROADCAST_ROWS = 1_000_000
+#: An odd number and its inverse, to hash runs of words by differences of sums.
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 2**64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,8 +67,20 @@ def runs(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, sizes
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words from each start to each end; equal runs have equal ones wherever they stand."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(BASE, len(words)), dtype=np.uint64)])
+    return mixed((sums[ends] - sums[starts]) * powers(INVERSE, len(words) + 1)[starts], 3)
+
+
 def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, segment (a digest of its words), id, tie, start, windows."""
+    """anchor, segment (a hash of its words), id, tie, start, windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,10 +88,10 @@ def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
             for key, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = WORD_HASHES.of(words_of(text.as_py()))
                 found = anchors(words, window, gram)
-                starts, sizes = runs(found, MOST_WINDOWS)
-                data = memoryview(words.tobytes())
-                digests = [hashlib.blake2b(data[8 * s : 8 * (s + n + window - 1)], digest_size=8).digest() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                out.append((found[starts].view(np.int64), np.frombuffer(b"".join(digests), np.int64), np.full(len(starts), key), np.full(len(starts), tie), starts.astype(np.int32), sizes.astype(np.int32)))
+                if len(found):
+                    starts, sizes = runs(found, MOST_WINDOWS)
+                    hashes = run_hashes(words, starts, starts + sizes + (window - 1))
+                    out.append((found[starts].view(np.int64), hashes.view(np.int64), np.full(len(starts), key), np.full(len(starts), tie), starts.astype(np.int32), sizes.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["anchor", "segment", "id", "tie", "start", "windows"])
 
@@ -88,6 +102,7 @@ def least_ids(window: int):
     """For a shard's segments: the smallest id that has each window."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["anchor", "segment", "offset"])
         texts = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
         sizes = np.array([len(x) for x in texts])
         _, numbers = np.unique(np.concatenate(texts), return_inverse=True)
@@ -99,38 +114,46 @@ def least_ids(window: int):
     return search
 
 
-def checked(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def checked(df: DataFrame) -> DataFrame:
+    """Broadcast behind a check of its size. df: a stored table of narrow rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS, shard_words: int = SHARD_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space)."""
     rows = by_name(docs, id=id_col, text=text_col).select(F.coalesce("id", F.lit(NULL_ID)).cast("long").alias("id"), F.xxhash64("text").alias("tie"), "text")
     every = stored(segments(rows, window, gram), "segments")
     shared = stored(every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high")).select(F.col("anchor").alias("of")), "anchors")
-    places = stored(every.join(checked(shared, shared.count()), F.col("anchor") == F.col("of"), "left_semi"), "places")
+    places = stored(every.join(checked(shared), F.col("anchor") == F.col("of"), "left_semi"), "places")
 
     distinct = stored(places.groupBy("anchor", "segment").agg(F.min(F.struct("id", "tie", "start", "windows")).alias("at")).select("anchor", "segment", F.col("at.id").alias("least"), F.col("at.tie").alias("own"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows")), "distinct")
     hot = distinct.groupBy("anchor").agg((F.floor(F.count("*") / hot_segments) + 1).cast("int").alias("ways")).where(F.col("ways") > 1).withColumnRenamed("anchor", "hot")
     wanted = distinct.join(hot, F.col("anchor") == F.col("hot"), "left").groupBy("least", "own").agg(F.collect_list(F.struct("anchor", "segment", "start", "windows", F.coalesce("ways", F.lit(1)).alias("ways"))).alias("segments"))
-    total, n = distinct.agg(F.sum(F.col("windows") + window - 1), F.count("*")).first()
-    texts = rows.join(checked(wanted, n), (F.col("id") == F.col("least")) & (F.col("tie") == F.col("own"))).select("least", "text", "segments")
+    total = distinct.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
+    # The documents that are read for their segments, found before their texts are shuffled.
+    sources = stored(distinct.select(F.col("least").alias("source_id"), F.col("own").alias("source_tie")).distinct(), "sources")
+    own_rows = rows.join(checked(sources), (F.col("id") == F.col("source_id")) & (F.col("tie") == F.col("source_tie")), "left_semi")
+    texts = own_rows.join(wanted, (F.col("id") == F.col("least")) & (F.col("tie") == F.col("own"))).select("least", "text", "segments")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for least, text, some in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            lists = batch.column(2)
+            cuts, flat = lists.offsets.to_numpy(), [x.to_numpy(zero_copy_only=False) for x in lists.values.flatten()]
+            for i, (least, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 words, out = WORD_HASHES.of(words_of(text.as_py())), []
-                for x in some.as_py():
-                    own = words[x["start"] : x["start"] + x["windows"] + window - 1]
-                    ways = gram_hashes(own, window) % np.uint64(x["ways"]) if x["ways"] > 1 else np.zeros(x["windows"], np.uint64)
-                    for s, size in zip(*(y.tolist() for y in runs(ways, MOST_WINDOWS)), strict=True):
-                        out.append((x["anchor"], x["segment"], s, int(ways[s]), least, own[s : s + size + window - 1].tobytes()))
-                names = ["anchor", "segment", "offset", "way", "least", "words"]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([y[i] for y in out], k) for i, k in enumerate(kinds)], names)
-
-    pieces = texts.mapInArrow(extract, "anchor long, segment long, offset int, way int, least long, words binary").dropDuplicates(["anchor", "segment", "offset"])
-    shards = 1 + (total or 0) // shard_words
+                for anchor, segment, start, windows, many in zip(*(x[cuts[i] : cuts[i + 1]].tolist() for x in flat), strict=True):
+                    own = words[start : start + windows + window - 1]
+                    if many == 1:
+                        out.append((anchor, segment, 0, 0, own.tobytes()))
+                        continue
+                    ways = gram_hashes(own, window) % np.uint64(many)
+                    out += [(anchor, segment, s, int(ways[s]), own[s : s + size + window - 1].tobytes()) for s, size in zip(*(y.tolist() for y in runs(ways, MOST_WINDOWS)), strict=True)]
+                kinds = {"anchor": pa.int64(), "segment": pa.int64(), "offset": pa.int32(), "way": pa.int32(), "words": pa.binary()}
+                arrays = [pa.array([y[k] for y in out], kind) for k, kind in enumerate(kinds.values())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(out), least, np.int64))], [*kinds, "least"])
+
+    pieces = texts.mapInArrow(extract, "anchor long, segment long, offset int, way int, words binary, least long")
+    shards = 1 + total // shard_words
     found = pieces.groupBy(F.pmod(F.xxhash64("anchor", "way"), F.lit(shards)).alias("shard")).applyInPandas(least_ids(window), "anchor long, segment long, offset int, found binary")
     found = found.withColumnsRenamed({"anchor": "found_anchor", "segment": "found_segment"})
     met = places.join(found, (F.col("anchor") == F.col("found_anchor")) & (F.col("segment") == F.col("found_segment"))).select("id", "tie", (F.col("start") + F.col("offset")).alias("start"), "found")
@@ -149,8 +172,11 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans = met.mapInArrow(covered, "id long, tie long, low int, high int").groupBy("id", "tie").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     spans = stored(spans.withColumnsRenamed({"id": "span_id", "tie": "span_tie"}), "spans")
-    size = spans.agg(F.sum(F.size("spans") * 16 + 64)).first()[0] or 0
-    joined = rows.join(F.broadcast(spans) if size <= broadcast_bytes else spans, (F.col("id") == F.col("span_id")) & (F.col("tie") == F.col("span_tie")), "left").select("id", "text", "spans")
+    # Texts without spans are not shuffled.
+    hit = spans.select("span_id", "span_tie")
+    same = (F.col("id") == F.col("span_id")) & (F.col("tie") == F.col("span_tie"))
+    touched = rows.join(checked(hit), same, "left_semi").join(spans, same).select("id", "text", "spans")
+    others = rows.join(checked(hit), same, "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,5 +198,5 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    done = joined.mapInArrow(rewrite, "id long, n_words long, n_removed long, kept string")
+    done = touched.union(others).mapInArrow(rewrite, "id long, n_words long, n_removed long, kept string")
     return done.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
