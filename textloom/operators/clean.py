@@ -211,6 +211,9 @@ def cleaned(df: DataFrame, text_col: str, out_col: str = "cleaned", title_col: s
             out = out.withColumn(f"_size_{i}", F.length(out_col))
             sizes.append(f"_size_{i}")
         out = applied(out, step, out_col)
+    # Filters on the result must stay above the steps: moved below, they would repeat every step within the next. Spark moves no
+    # filter below a projection that is not deterministic.
+    out = out.withColumn(out_col, F.when(F.monotonically_increasing_id() >= 0, F.col(out_col)))
     if report_col:
         after = [F.col(x) for x in sizes[1:]] + [F.length(out_col)]
         parts = [F.struct(F.lit(step.name).alias("step"), (F.col(before) - now).alias("removed")) for step, before, now in zip(todo, sizes, after, strict=True)]

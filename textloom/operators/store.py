@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions.urls import url_hash
 from textloom.operators.analysis import Settings, best_relevance, judge, keyword_stats, term_counts, text_metrics
 from textloom.operators.clean import cleaned
-from textloom.schema import CONTENT_CHILDREN, TABLES, assert_unique
+from textloom.schema import CONTENT_CHILDREN, assert_unique, schema_of
 
 POINTER = "_current"
 
@@ -38,7 +38,7 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         version = self.versions().get(table)
-        schema = TABLES[table]
+        schema = schema_of(table)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{version}") if version else self.spark.createDataFrame([], schema)
 
     def commit(self, **tables: DataFrame) -> None:
@@ -46,11 +46,11 @@ class Store:
         versions = self.versions()
         for name, df in tables.items():
             version = uuid.uuid4().hex
-            own = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]])
+            own = df.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(name)])
             writer = own.write.partitionBy("workspace_id") if "workspace_id" in own.columns else own.write
             writer.parquet(f"{self.root}/{name}/{version}")
             versions[name] = version
-            assert_unique(self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}"), name)
+            assert_unique(self.spark.read.schema(schema_of(name)).parquet(f"{self.root}/{name}/{version}"), name)
         path, fs = self._fs()
         new = path.suffix("-" + uuid.uuid4().hex)
         out = fs.create(new)

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(**columns: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in columns.items()))
+def _schema(**columns: str) -> dict[str, str]:
+    return columns
 
 
-TABLES: dict[str, T.StructType] = {
+TABLES: dict[str, dict[str, str]] = {
     "workspaces": _schema(id="string", name="string", type="string", plan="string", created_at="timestamp"),
     "sources": _schema(
         id="long", workspace_id="string", name="string", type="string", is_active="boolean", schedule_type="string", schedule_time="string", cron_expr="string", next_run_at="timestamp", last_collected_at="timestamp",
@@ -34,6 +34,11 @@ TABLES: dict[str, T.StructType] = {
     "content_keyword_stats": _schema(id="long", workspace_id="string", content_id="long", keyword="string", mentions="int", density="double", title_has="boolean", relevance="string"),
 }
 
+def schema_of(table: str) -> T.StructType:
+    """Needs a session."""
+    return T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in TABLES[table].items()))
+
+
 UNIQUE: dict[str, list[str]] = {
     "workspaces": ["id"], "sources": ["id"], "source_keywords": ["source_id", "keyword"], "collection_jobs": ["id"], "job_api_responses": ["id"], "contents": ["workspace_id", "url_hash"],
     "content_keyword_hits": ["content_id", "keyword"], "content_analyses": ["content_id"], "content_terms": ["content_id", "term", "pos"], "content_keyword_stats": ["content_id", "keyword"],
