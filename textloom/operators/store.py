@@ -16,7 +16,7 @@ from textloom.operators.analysis import Settings, best_relevance, judge, keyword
 from textloom.operators.clean import cleaned
 from textloom.schema import CONTENT_CHILDREN, assert_unique, schema_of
 
-POINTER = "_current"
+POINTER = "current.json"
 
 
 class Store:
