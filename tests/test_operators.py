@@ -161,6 +161,17 @@ def test_board(spark):
     assert html.posts(groups, now).count() == 4
 
 
+def test_selectors(spark):
+    page = '<ul class="list top"><li class="row"><b class="t">제목 하나</b><a href="/v?no=1">x</a><i>2026-09-01</i></li><li class="row">공지 <a href="/v?no=2">알림</a></li><li class="row"><a href="javascript:x">y</a></li></ul>'
+    pages = spark.createDataFrame([(1, page, "http://b.kr/l"), (2, page, "http://b.kr/l?page=2"), (3, page.replace("no=1", "no=9"), "http://b.kr/l?page=3")], "page int, html string, base string")
+    now = F.lit(datetime(2026, 9, 26, 3, 0)).cast("timestamp")
+    found = html.selected_posts(pages, "page", "html", "base", now, "ul.list li.row", title=".t", day="i", exclude_notice=True)
+    assert [(r["title"], r["url"], r["published"]) for r in found.where("page = 1").collect()] == [("제목 하나", "http://b.kr/v?no=1", datetime(2026, 8, 31, 15))]
+    assert [(r["rank"], r["url"]) for r in html.across_pages(found).collect()] == [(1, "http://b.kr/v?no=1")]
+    with pytest.raises(ValueError):
+        html.simple("a > b")
+
+
 def test_search_hits(spark):
     items = [("<b>가</b> &amp; 나", "http://a/1", "http://l/1", "요약", "Fri, 25 Sep 2026 10:00:00 +0900"), ("없음", "", "", "", "?"), ("다", " ", "http://l/3", "", "어제")]
     df = spark.createDataFrame([("k1", 0, True, items), ("k2", 0, False, [])], feeds.RESPONSE)
