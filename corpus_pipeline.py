@@ -15,37 +15,50 @@ from textloom.llm.common import NULL_ID, documents, stored
 ORACLE_SQL = None
 
 
-def _others(docs: DataFrame, *names: str) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c not in names)
+def _plain(docs: DataFrame, *named: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """docs with every column but the named ones under a name that no operator uses, and these names."""
+    others = [c for c in docs.columns if c not in named]
+    names = tuple(f"other_{i}" for i in range(len(others)))
+    return docs.select(*named, *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)]), names
+
+
+def _given(found: DataFrame, docs: DataFrame, *named: str) -> DataFrame:
+    """The columns of docs again."""
+    others = iter(range(len(docs.columns)))
+    return found.select(*[F.col(c) if c in named else F.col(f"other_{next(others)}").alias(c) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (no text, no letter, nothing learned) go; a missing lang is filled in."""
+    plain, others = _plain(docs, "doc_id", "text", "lang")
     learn = language_id.fold_of(F.col("id")) != 2
-    found = language_id.language_of(docs.withColumn("given_id", F.col("doc_id")), learn, id_col="given_id", carry=tuple(docs.columns))
+    found = language_id.language_of(plain, learn, carry=("doc_id", "text", "lang", *others))
     kept = found.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return _given(kept.withColumn("lang", F.coalesce("lang", "lang_pred")), docs, "doc_id", "text", "lang")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
-    found = line_dedup.dedup_lines(docs, carry=_others(docs, "doc_id", "text"))
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    plain, others = _plain(docs, "doc_id", "text")
+    found = _given(line_dedup.dedup_lines(plain, carry=others), docs, "doc_id", "text")
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, once."""
     key = F.coalesce("doc_id", F.lit(NULL_ID)).cast("long")
     kept = near_dedup.near_duplicates(docs).where("kept").select(key.alias("kept_key")).distinct()
-    left = docs.withColumns({"kept_key": key, "tie": F.xxhash64("text")}).join(kept, "kept_key", "left_semi")
+    plain, _ = _plain(docs, "doc_id", "text")
+    left = plain.withColumns({"kept_key": key, "tie": F.xxhash64("text")}).join(kept, "kept_key", "left_semi")
     # Repeated rows lie together already.
-    return left.dropDuplicates(["kept_key", "tie"]).select(*docs.columns)
+    return _given(left.dropDuplicates(["kept_key", "tie"]), docs, "doc_id", "text")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
-    found = decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=_others(docs, "doc_id"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    plain, others = _plain(docs, "doc_id", "text")
+    found = decontamination.decontaminated(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("text", *others))
+    return _given(found.where(~F.col("contaminated")), docs, "doc_id", "text")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
