@@ -36,6 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         seen = tuple(state)
         if not state[0]:
             break
-        edges = stored(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        edges = stored(_small_star(_large_star(edges)).distinct(), "edges")
     # Stars only: every node hangs on the least one of its component.
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,11 +8,12 @@ similarity of 0.75 exactly, signatures have more errors in every chunk with a pr
 components, 1 error); above it the probability falls fast.
 
 No bucket is expanded into all its pairs, and none is cut off:
-1. Each class is compared with the least class of each of its buckets. Links found so form first components.
-2. Buckets that still hold several components are compared in blocks, signature against signature, and give the pairs of
-   components that hold a pair of signatures near enough (at least NEAR of COMPONENTS equal; at similarity 0.75 that fails
-   with a probability below 1e-6). For each such pair the sets of all members of both are compared, the larger component in
-   blocks, until a link is found.
+1. Each class is compared with one class: of the least ones of its buckets, that which it meets in most of them. Links found
+   so form first components.
+2. Buckets that still hold several components are compared in blocks, signature against signature. Classes of different
+   components that are near enough (at least NEAR of COMPONENTS equal; at similarity 0.75 that fails with a probability below
+   1e-6) form groups, one row for each class, and the full sets of a group's classes are compared with each other. What comes
+   out are the links that join components.
 Links are always confirmed on full sets, and components follow from links alone.
 
 Defined cases: a null text has no words, hence an empty set, and is linked with nothing; a null id is smaller than any
@@ -33,15 +34,15 @@ from textloom.llm.common import NULL_ID, by_name, mixed, shuffle_partitions, sto
 from textloom.llm.components import components
 from textloom.llm.shingles import SHINGLE, shingles_of, signature, signature_seeds
 
-COMPONENTS = 128
+COMPONENTS = 256
 CHUNKS, CHUNK, ERRORS = 10, 4, 1
-NEAR = 72
+NEAR = 158
 #: A similarity of 75 of 100.
 SHARE = 75
 #: Of sets that meet in one group: shingles of each side.
 BLOCK_SHINGLES = 1_000_000
 #: Of signatures that meet in one group.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 BROADCAST_ROWS = 300_000
 
 
@@ -71,7 +72,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
-    """key, cid: a row for each chunk of a class and each choice of components left out."""
+    """key, number (of the chunk and the choice), cid: a row for each chunk of a class and each choice of components left out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,9 +88,10 @@ def index_keys(classes: DataFrame) -> DataFrame:
                         keys.append(key)
                 n = len(keys)
                 cids = part.column(0).take(pa.array(np.tile(np.arange(len(sig)), n)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), cids], ["key", "cid"])
+                numbers = pa.array(np.repeat(np.arange(n, dtype=np.int32), len(sig)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), numbers, cids], ["key", "number", "cid"])
 
-    return classes.select("cid", "sig").mapInArrow(read, "key long, cid binary")
+    return classes.select("cid", "sig").mapInArrow(read, "key long, number int, cid binary")
 
 
 def met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,49 +162,125 @@ def confirmed(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFram
     return met(both.select("home", F.struct("block", "slice").alias("part"), "role", "cid"), sets)
 
 
-def near_components(rows: DataFrame) -> DataFrame:
-    """left, right: pairs of components with signatures that are near enough. rows: key, cid, component, n, sig of buckets with several components."""
+#: For the components of a chunk that are equal, as bits: the first choice of components that are all among them.
+KEPT = [sum(1 << i for i in kept) for kept in itertools.combinations(range(CHUNK), CHUNK - ERRORS)]
+FIRST_CHOICE = np.array([next((k for k, kept in enumerate(KEPT) if kept & bits == kept), len(KEPT)) for bits in range(1 << CHUNK)])
+
+
+def first_number(same: np.ndarray) -> np.ndarray:
+    """The number of the first key that two classes share, given which components are equal."""
+    bits = same[:, : CHUNKS * CHUNK].reshape(-1, CHUNKS, CHUNK) @ (1 << np.arange(CHUNK))
+    choice = FIRST_CHOICE[bits]
+    chunk = (choice < len(KEPT)).argmax(1)
+    return chunk * len(KEPT) + choice[np.arange(len(same)), chunk]
+
+
+def near_groups(rows: DataFrame) -> DataFrame:
+    """group, component, cid: classes of one bucket that hang together by near enough signatures of different components.
+
+    rows: key, number, cid, component, n, sig of buckets with several components. Of the keys that two classes share, only the
+    first one compares them. There is at most a row for each row of a bucket's block, whatever the number of pairs.
+    """
     counts = rows.groupBy("key").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).cast("int").alias("blocks")).withColumnRenamed("key", "of")
     own = rows.join(counts, F.col("key") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     # A block meets itself and each other block once.
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.select("key", "cid", "component", "n", "sig", "block", partner.alias("partner"))
-    dealt = dealt.select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("two"), "block", "component", "n", "sig")
+    dealt = own.select("key", "number", "cid", "component", "n", "sig", "block", partner.alias("partner"))
+    dealt = dealt.select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("two"), "number", "cid", "component", "n", "sig")
     spread = dealt.repartition(shuffle_partitions(rows.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, out = None, [], set()
+        group, number, held, out = None, None, [], []
 
-        def pairs() -> None:
-            if len(held) < 2:
+        def close() -> None:
+            if len({x[1] for x in held}) < 2:
                 return
-            names, code = np.unique(np.array([x[0].hex() for x in held]), return_inverse=True)
-            if len(names) < 2:
-                return
-            sig, n = np.frombuffer(b"".join(x[2] for x in held), np.uint16).reshape(-1, COMPONENTS), np.array([x[1] for x in held])
+            names = {c: k for k, c in enumerate({x[1] for x in held})}
+            code, n = np.array([names[x[1]] for x in held]), np.array([x[2] for x in held])
+            sig = np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, COMPONENTS)
+            roots = Roots(len(held))
             for i in range(len(held) - 1):
-                other = np.flatnonzero(code[i + 1 :] != code[i]) + i + 1
-                other = other[(100 * np.minimum(n[other], n[i]) >= SHARE * np.maximum(n[other], n[i]))]
+                other = np.flatnonzero((code[i + 1 :] != code[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= SHARE * np.maximum(n[i + 1 :], n[i]))) + i + 1
                 if len(other):
-                    near = other[(sig[other] == sig[i]).sum(1) >= NEAR]
-                    out.update((names[min(code[i], j)], names[max(code[i], j)]) for j in set(code[near].tolist()))
+                    same = sig[other] == sig[i]
+                    for j in other[(same.sum(1) >= NEAR) & (first_number(same) == number)].tolist():
+                        roots.join(i, j)
+            for i, x in enumerate(held):
+                if roots.joined[i]:
+                    name = hashlib.blake2b(repr((group, roots.of(i))).encode(), digest_size=8).digest()
+                    out.append((int.from_bytes(name, "little", signed=True), x[1], x[0]))
 
         for batch in batches:
-            for key, one, two, _, component, n, sig in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+            for key, one, two, own_number, cid, component, n, sig in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 if group != (key, one, two):
-                    pairs()
-                    group, held = (key, one, two), []
-                held.append((component, n, sig))
-            if len(out) > 100_000:
-                yield as_pairs(out)
+                    close()
+                    group, number, held = (key, one, two), own_number, []
+                held.append((cid, component, n, sig))
+            if len(out) > 50_000:
+                yield grouped(out)
                 out.clear()
-        pairs()
-        yield as_pairs(out)
+        close()
+        yield grouped(out)
+
+    def grouped(out: list) -> pa.RecordBatch:
+        kinds = {"group": pa.int64(), "component": pa.binary(), "cid": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+    return spread.mapInArrow(compare, "group long, component binary, cid binary")
+
+
+class Roots:
+    """Which of some numbers were joined."""
+
+    def __init__(self, n: int):
+        self.parent, self.joined = list(range(n)), [False] * n
+
+    def of(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
 
-    def as_pairs(out: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([bytes.fromhex(x[i]) for x in out], pa.binary()) for i in (0, 1)], ["left", "right"])
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.of(i), self.of(j)
+        self.parent[max(a, b)] = min(a, b)
+        self.joined[i] = self.joined[j] = True
+        return a != b
 
-    return spread.mapInArrow(compare, "left binary, right binary").distinct()
+
+def links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between components, confirmed on the full sets of all classes of a group; as many as join a group's components, not all."""
+    rows = groups.join(sets, "cid").select("group", "component", "shingles")
+    spread = rows.repartition(shuffle_partitions(groups.sparkSession), "group").sortWithinPartitions("group")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, out = None, [], []
+
+        def close() -> None:
+            if len(held) < 2:
+                return
+            names = {c: k for k, c in enumerate(dict.fromkeys(x[0] for x in held))}
+            code, sizes = [names[x[0]] for x in held], np.array([len(x[1]) for x in held])
+            values, owners = np.concatenate([x[1] for x in held]), np.repeat(np.arange(len(held)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owners, roots = values[order], owners[order], Roots(len(names))
+            for i, (component, shingles) in enumerate(held):
+                low = np.searchsorted(values, shingles, "left")
+                own = np.searchsorted(values, shingles, "right") - low
+                both = np.bincount(owners[np.repeat(low - np.cumsum(own) + own, own) + np.arange(int(own.sum()))], minlength=len(held))
+                for j in np.flatnonzero(100 * both >= SHARE * (sizes + len(shingles) - both)).tolist():
+                    if j > i and roots.join(code[i], code[j]):
+                        out.append((component, held[j][0]))
+
+        for batch in batches:
+            for now, component, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if group != now:
+                    close()
+                    group, held = now, []
+                held.append((component, np.frombuffer(data, np.uint64)))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return spread.mapInArrow(compare, "a binary, b binary")
 
 
 def labelled(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -210,6 +288,18 @@ def labelled(shared: DataFrame, found: DataFrame) -> DataFrame:
     return shared.join(found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid")).drop("node")
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """node, component of links a < b with one a for each b: everyone takes its parent's parent until all hang on roots."""
+    parents = stored(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "parents")
+    while True:
+        up = parents.select(F.col("node").alias("above"), F.col("component").alias("higher"))
+        parents = stored(parents.join(up, F.col("component") == F.col("above"), "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")), "parents")
+        moved = parents.where("moved").limit(1).count()
+        parents = parents.select("node", "component")
+        if not moved:
+            return parents
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach), kept (doc_id = component_id)."""
     rows = by_name(docs, id=id_col, text=text_col).withColumn("id", F.coalesce("id", F.lit(NULL_ID)).cast("long"))
@@ -218,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = index_keys(classes)
     firsts = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("first")).where(F.col("many") > 1).select(F.col("key").alias("of"), "first")
-    shared = stored(keys.join(firsts, F.col("key") == F.col("of")).select("key", "cid", "first"), "shared")
+    shared = stored(keys.join(firsts, F.col("key") == F.col("of")).select("key", "number", "cid", "first"), "shared")
 
     # The sets of classes that share a key, once.
     needed = stored(shared.select("cid").distinct().join(classes.select("cid", "rep", "n", "sig"), "cid"), "needed")
@@ -234,22 +324,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(texts.mapInArrow(full, "cid binary, shingles binary").dropDuplicates(["cid"]), "full-sets")
 
     alone = needed.select(F.col("cid").alias("component"), "cid", "n")
-    stars = shared.where(F.col("cid") != F.col("first")).select(F.col("first").alias("home"), F.col("cid").alias("visitor")).distinct()
-    first = components(confirmed(stars, alone, sets))
+    # Of the least classes of its buckets, each class is compared with the one that it meets most often.
+    often = shared.where(F.col("cid") != F.col("first")).groupBy("cid", "first").agg(F.count("*").alias("times"))
+    stars = often.groupBy("cid").agg(F.max(F.struct("times", "first")).alias("most")).select(F.col("most.first").alias("home"), F.col("cid").alias("visitor"))
+    first = roots(confirmed(stars, alone, sets))
 
     comps = stored(labelled(needed, first), "components")
     several = labelled(shared.select("key", "cid"), first).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select(F.col("key").alias("of"))
-    open_rows = shared.select("key", "cid").join(several, F.col("key") == F.col("of"), "left_semi").join(comps.select("cid", "component", "n", "sig"), "cid")
-    near = near_components(open_rows)
-    # The component with more members is the home.
-    many = comps.groupBy("component").agg(F.count("*").alias("members"))
-    sized = near.join(many.select(F.col("component").alias("left"), F.col("members").alias("lefts")), "left").join(many.select(F.col("component").alias("right"), F.col("members").alias("rights")), "right")
-    larger = F.col("lefts") >= F.col("rights")
-    pairs = stored(sized.select(F.when(larger, F.col("left")).otherwise(F.col("right")).alias("home"), F.when(larger, F.col("right")).otherwise(F.col("left")).alias("visitor")), "near")
-    links = confirmed(pairs, comps.select("component", "cid", "n"), sets)
-    of = comps.select("cid", F.col("component").alias("of"))
-    joined = links.join(of.select(F.col("cid").alias("a"), F.col("of").alias("one")), "a").join(of.select(F.col("cid").alias("b"), F.col("of").alias("two")), "b")
-    second = components(joined.select(F.col("one").alias("a"), F.col("two").alias("b"))).select(F.col("node").alias("first_component"), F.col("component").alias("last_component"))
+    open_rows = shared.select("key", "number", "cid").join(several, F.col("key") == F.col("of"), "left_semi").join(comps.select("cid", "component", "n", "sig"), "cid")
+    links = links_within(near_groups(open_rows), sets)
+    second = components(links).select(F.col("node").alias("first_component"), F.col("component").alias("last_component"))
 
     last = comps.join(second, F.col("component") == F.col("first_component"), "left").select("cid", "rep", F.coalesce("last_component", "component").alias("component"))
     least = last.groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "of")
