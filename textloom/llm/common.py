@@ -56,12 +56,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, mos
                 ids, texts, size = [], [], 0
         if ids:
             yield ids, texts
+        # Else a worker keeps what its largest batch took.
+        pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
     """Word (bytes) to a 64-bit number; holds at most `most` words and then starts afresh."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

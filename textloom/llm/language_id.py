@@ -89,7 +89,7 @@ class Model:
         """The number of pieces of each word (rows) under each language (columns)."""
         out = np.zeros((len(words), len(self.tables)), np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        for some in np.array_split(np.argsort(lengths, kind="stable"), max(1, len(words) // 20_000)):
+        for some in np.array_split(np.argsort(lengths, kind="stable"), max(1, len(words) // 10_000)):
             if not len(some):
                 continue
             own = lengths[some]
@@ -172,7 +172,7 @@ def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             at = 0
-            for _, texts in text_slices(iter([batch]), 0, 1, 16 << 20):
+            for _, texts in text_slices(iter([batch]), 0, 1):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 distinct, codes, offsets = words_of(texts)

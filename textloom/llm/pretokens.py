@@ -6,6 +6,7 @@ letters and plain marks has the ids of both. Any other chunk goes to the library
 of the library for whole texts. Every id comes from the library; nothing is cut, filled up or left out.
 """
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -28,6 +29,18 @@ def tokenizer(path: str) -> Tokenizer:
     return found
 
 
+def batches_of(texts: list[str], most: int, most_chars: int) -> Iterator[list[str]]:
+    """Up to `most` texts of about most_chars characters together; one longer text stands alone."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= most_chars or i - start + 1 >= most:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 def chunks(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct chunks between spaces and line ends, the place of each chunk among them, and where each text's begin."""
     column = pc.replace_substring(pc.fill_null(pa.array(texts, pa.large_string()), ""), "\n", " ")
@@ -55,7 +68,8 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """Some at a time, as encodings are large."""
+        return [np.array(x.ids, np.uint32).tobytes() for some in batches_of(texts, 2_000, 500_000) for x in self.library.encode_batch_fast(some, add_special_tokens=False)]
 
     def _learned(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters only are one pre-token each, whose last token marks its end; so they may share a call."""

@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
 from textloom.llm.common import by_name
-from textloom.llm.pretokens import LONGEST_WORD, MOST_WORDS, gathered
+from textloom.llm.pretokens import LONGEST_WORD, batches_of, gathered
 
 MARK = "▁"
+#: Chunks in each of a worker's two generations.
+MOST_CHUNKS = 150_000
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -127,19 +129,20 @@ class Codec:
         self.older: dict[str, bytes] = {}
 
     def checked(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts by the rebuilt tokenizer, held against sentencepiece."""
+        """Ids of texts by the rebuilt tokenizer, held against sentencepiece; some at a time, as encodings are large."""
         out = []
-        for found, right in zip(self.library.encode_batch_fast(texts, add_special_tokens=False), self.other.encode(texts), strict=True):
-            ids = found.ids
-            if ids != right:
-                self.differences += 1
-                ids = right
-            out.append(np.array(ids, np.uint32).tobytes())
+        for some in batches_of(texts, 2_000, 500_000):
+            for found, right in zip(self.library.encode_batch_fast(some, add_special_tokens=False), self.other.encode(some), strict=True):
+                ids = found.ids
+                if ids != right:
+                    self.differences += 1
+                    ids = right
+                out.append(np.array(ids, np.uint32).tobytes())
         return out
 
     def of_chunks(self, distinct: list[str]) -> list[bytes]:
         new = [x for x in distinct if x not in self.known]
-        if len(self.known) > MOST_WORDS and new:
+        if len(self.known) > MOST_CHUNKS and new:
             self.older, self.known, new = self.known, {}, distinct
         self.known.update((x, self.older[x]) for x in new if x in self.older)
         if rest := [x for x in new if x not in self.known]:
@@ -204,7 +207,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return found.select(*names[:7], *[F.col(x.name).alias(c) for x, c in zip(carried, carry, strict=True)])
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes of text (the second column)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]

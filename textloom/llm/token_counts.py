@@ -66,7 +66,7 @@ def token_counts(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id"
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def parts(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes (by the third column); one longer text stands alone."""
     size = np.cumsum(batch.column(2).to_numpy(zero_copy_only=False)) // most
     cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
