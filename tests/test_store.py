@@ -134,3 +134,17 @@ def test_stream_is_replayable(spark, store, tmp_path):
         incremental.save_stream(store, stream, f"file://{tmp_path}/checkpoint-{k}", lambda df, n: job(spark)).awaitTermination()
     assert store.read("contents").count() == 2
     assert store.read("content_analyses").count() == 2
+
+
+def test_sources_and_workspaces(store):
+    assert S.create_workspace(store, S.DEFAULT_WORKSPACE, "기본")
+    assert not S.create_workspace(store, S.DEFAULT_WORKSPACE, "기본")
+    number = S.create_source(store, A, " 새 소스 ", "url_list", {"urls": ["http://a", "http://a"]})
+    assert number == 3
+    assert S.update_source(store, A, number, name="이름", schedule_time="09:00")
+    assert not S.update_source(store, B, number, name="x")
+    row = store.read("sources").where("id = 3").first()
+    assert (row["name"], row["schedule_time"], row["min_body_length"], row["config"]) == ("이름", "09:00", 30, '{"urls": ["http://a"]}')
+    for bad in ({"type": "board"}, {"schedule_time": "9:00"}, {"config": {"urls": []}}):
+        with pytest.raises(ValueError):
+            S.update_source(store, A, number, **bad)

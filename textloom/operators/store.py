@@ -251,3 +251,55 @@ def fail_active(store: Store, error: str = "interrupted") -> int:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+#: What may be changed of a source after it was made.
+EDITABLE = ("name", "is_active", "schedule_type", "schedule_time", "cron_expr", "min_body_length", "allow_non_korean", "config")
+DEFAULT_WORKSPACE = "00000000-0000-0000-0000-000000000001"
+
+
+def create_workspace(store: Store, workspace_id: str, name: str, kind: str = "company", plan: str = "free") -> bool:
+    """False if it is there already, so seeding twice changes nothing."""
+    uuid.UUID(workspace_id)
+    stored = store.read("workspaces")
+    if not stored.where(F.col("id") == workspace_id).isEmpty():
+        return False
+    row = store.spark.createDataFrame([(workspace_id, name, kind, plan)], "id string, name string, type string, plan string").withColumn("created_at", F.current_timestamp())
+    store.commit(workspaces=stored.unionByName(row))
+    return True
+
+
+def create_source(store: Store, workspace_id: str, name: str, kind: str, config: dict, min_body_length: int | None = None) -> int:
+    """The new source's id; its config is checked and filled up."""
+    from textloom.operators.collect import LEAST_BODY
+    from textloom.sources.feeds import validated_config
+
+    stored = store.read("sources")
+    least = LEAST_BODY[kind] if min_body_length is None else min_body_length
+    values = [(0, workspace_id, name.strip(), kind, True, "manual", least, False, json.dumps(validated_config(kind, config), ensure_ascii=False))]
+    row = store.spark.createDataFrame(values, "ordinal int, workspace_id string, name string, type string, is_active boolean, schedule_type string, min_body_length int, allow_non_korean boolean, config string")
+    new = with_ids(row, stored, ["ordinal"]).drop("ordinal").withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
+    store.commit(sources=stored.unionByName(new, allowMissingColumns=True))
+    return store.read("sources").agg(F.max("id")).first()[0]
+
+
+def update_source(store: Store, workspace_id: str, source_id: int, **changes) -> bool:
+    """False for a source that the tenant does not have. Only EDITABLE columns change; a new config is checked again."""
+    import re
+
+    from textloom.sources.feeds import validated_config
+
+    if unknown := set(changes) - set(EDITABLE):
+        raise ValueError(f"not editable: {sorted(unknown)}")
+    if changes.get("schedule_time") is not None and not re.fullmatch(r"([01]\d|2[0-3]):[0-5]\d", changes["schedule_time"]):
+        raise ValueError("schedule_time must be HH:MM")
+    stored = store.read("sources")
+    own = (F.col("workspace_id") == workspace_id) & (F.col("id") == source_id)
+    row = stored.where(own).select("type").first()
+    if row is None:
+        return False
+    if "config" in changes:
+        changes["config"] = json.dumps(validated_config(row[0], changes["config"]), ensure_ascii=False)
+    new = stored.withColumns({c: F.when(own, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
+    store.commit(sources=new.withColumn("updated_at", F.when(own, F.current_timestamp()).otherwise(F.col("updated_at"))))
+    return True
