@@ -63,7 +63,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, mos
 class WordHashes(dict):
     """Word (bytes) to a 64-bit number; holds at most `most` words and then starts afresh."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 

@@ -32,7 +32,7 @@ from textloom.llm.pretokens import LONGEST_WORD, batches_of, gathered
 
 MARK = "▁"
 #: Chunks in each of a worker's two generations.
-MOST_CHUNKS = 150_000
+MOST_CHUNKS = 80_000
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
