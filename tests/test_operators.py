@@ -197,3 +197,16 @@ def test_insights(spark):
     new = spark.createDataFrame([("w", " a ", None), ("w", "c", "NNP"), ("w", "c", None), ("w", "", None)], "workspace_id string, word string, pos string")
     assert sorted(r["word"] for r in insights.add_words(words, new).collect()) == ["a", "b", "c"]
     assert sorted(r["word"] for r in insights.delete_words(words, ["a", "b"]).collect()) == ["b"]
+
+
+def test_words_beyond_the_top_count(spark, tmp_path):
+    """core_words and related_words count all terms of a document, not its 15 most frequent ones."""
+    often = [" ".join(f"{w}{x} {w}{x}" for x in "abcdefghijklmnop") for w in ("qa", "qb", "qc")]
+    rows = [(i, f"{t} zz der") for i, t in enumerate(often)] + [(3, "alone"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("x"), "source": F.lit("s"), "n_chars": F.lit(1)}).write.parquet(f"{tmp_path}/documents.parquet")
+    core = [(r["word"], r["docs"], r["mean_share"]) for r in catalog.core_words(spark, str(tmp_path)).collect()]
+    assert core[:3] == [("der", 3, 2.9), ("zz", 3, 2.9), ("alone", 1, 100.0)]
+    assert len(core) == 8
+    related = [(r["word"], r["docs"]) for r in catalog.related_words(spark, str(tmp_path)).collect()]
+    assert related[:2] == [("zz", 3), ("qaa", 1)]
+    assert len(related) == 20

@@ -93,10 +93,10 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, tokens_col: str | Non
     return each.groupBy(id_col, term.alias("term"), F.col("t.tag").alias("pos")).agg(F.count("*").cast("int").alias("count"))
 
 
-def top_words(terms: DataFrame, id_col: str, settings: Settings = Settings(), stopwords: DataFrame | None = None) -> DataFrame:
-    """id, rank, term, pos, count, share (% of the denominator, 1 place): the most frequent words of each document.
+def term_shares(terms: DataFrame, id_col: str, settings: Settings = Settings(), stopwords: DataFrame | None = None) -> DataFrame:
+    """id, term, pos, count, share (% of the denominator, 1 place): all words of each document.
 
-    Stop words (a column `word`) leave both the ranking and the denominator.
+    Stop words (a column `word`) leave both the words and the denominator.
     """
     allowed = POS_RANGES.get(settings.pos_range, POS_RANGES["vva"])
     kept = terms.where(F.col("pos").isin(*allowed))
@@ -104,9 +104,14 @@ def top_words(terms: DataFrame, id_col: str, settings: Settings = Settings(), st
         kept = kept.join(stopwords.select(F.col("word").alias("term")), "term", "left_anti")
     counted = F.when(F.col("pos").isin(*(NOUNS if settings.denom == "noun" else allowed)), F.col("count")).otherwise(0)
     total = F.sum(counted).over(Window.partitionBy(id_col))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("count"), "term", "pos"))
     share = F.when(total > 0, F.bround(F.col("count") * 100 / total, 1)).otherwise(0.0)
-    return kept.withColumns({"rank": rank, "share": share}).where(F.col("rank") <= settings.top_n).select(id_col, "rank", "term", "pos", "count", "share")
+    return kept.withColumn("share", share).select(id_col, "term", "pos", "count", "share")
+
+
+def top_words(terms: DataFrame, id_col: str, settings: Settings = Settings(), stopwords: DataFrame | None = None) -> DataFrame:
+    """id, rank, term, pos, count, share: the most frequent words of each document, with their term_shares."""
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("count"), "term", "pos"))
+    return term_shares(terms, id_col, settings, stopwords).withColumn("rank", rank).where(F.col("rank") <= settings.top_n).select(id_col, "rank", "term", "pos", "count", "share")
 
 
 def keyword_stats(df: DataFrame, keyword: Column, title: Column, body: Column) -> DataFrame:
