@@ -226,6 +226,23 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.language_of(df, F.lit(False)).collect()} == {"und"}
 
 
+def test_more_languages_than_a_group(spark, monkeypatch):
+    """Every label is learned, and groups of languages give what one model gives."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 280)]
+    words = {f"l{k:02}": [x + y for x in letters[4 * k : 4 * k + 4] for y in letters[4 * k : 4 * k + 4]] for k in range(70)}
+    rng = random.Random(6)
+    rows = [(3 * k + i, " ".join(rng.choices(own, k=20)), lang) for k, (lang, own) in enumerate(words.items()) for i in range(3)] + [(900, None, "l00"), (None, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    result = lambda **k: {r["id"]: (r["lang_pred"], r["score"], r["pieces"], r["text"]) for r in language_id.language_of(df, F.lit(True), carry=("text",), **k).collect()}
+    found = result()
+    assert all(found[i][0] == lang for i, _, lang in rows[:210])
+    assert found[900][:3] == found[None][:3] == ("und", 0.0, 0.0)
+    monkeypatch.setattr(language_id, "GROUP_LANGUAGES", 1000)
+    assert result() == found
+    monkeypatch.setattr(language_id, "DENSE_BYTES", 0)
+    assert result() == found
+
+
 def test_automaton_knows_substrings():
     text = "abracadabra"
     model = language_id.Model(["x"], [language_id.Automaton(" " + text + " ")])

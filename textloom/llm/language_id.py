@@ -6,7 +6,8 @@ document's words are parsed under every language, whole texts long, and the lang
 wins (ties: the first in the alphabet).
 
 Model bounds: words come from at most about SAMPLE_DOCS labelled documents of a language, and an automaton holds at most
-MODEL_CHARS characters of words, so the model has the same size for any corpus. Everything else covers all rows.
+MODEL_CHARS characters of words, so a language's model has the same size for any corpus. Every language with labelled words
+is learned, and all rows are scored under all of them: in groups of languages where the tables outgrow one worker.
 
 Defined cases: a null text and one without a letter are "und" with score 0, as are all where there is no labelled text; a
 null id counts as an empty one; score is how much fewer pieces the winner needs than the next language (1 if it is alone).
@@ -14,6 +15,7 @@ null id counts as an empty one; score is how much fewer pieces the winner needs
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import by_name, text_slices
+from textloom.llm.common import by_name, scratch_path, stored, text_slices
 from textloom.llm.pretokens import chunks
 
 SAMPLE_DOCS = 500
 MODEL_CHARS = 40_000
-MOST_LANGUAGES = 64
+#: What one worker holds at a time; further languages make further groups.
+GROUP_BYTES, GROUP_LANGUAGES = 256 << 20, 64
+#: An automaton with a larger table (of a script with thousands of letters) is looked up by its sorted edges.
+DENSE_BYTES = 32 << 20
+#: More labels than these are not broadcast.
+BROADCAST_LABELS = 1_000_000
 UNKNOWN = "und"
 #: Stands at both ends of a word.
 EDGE = " "
@@ -69,21 +76,51 @@ class Automaton:
             last = now
         edges = [(state, ord(c), to) for state, out in enumerate(following) for c, to in out.items()]
         self.states, self.edges = len(following), np.array(edges, np.int32).reshape(-1, 3)
+        self.letters = np.unique(self.edges[:, 1])
+        self.dense = 4 * self.states * (len(self.letters) + 1) <= DENSE_BYTES
+        self.bytes = 4 * self.states * (len(self.letters) + 1) if self.dense else 24 * len(self.edges)
+
+
+class Dense:
+    """Transitions as a table of states and letters."""
+
+    def __init__(self, a: Automaton, own: np.ndarray):
+        self.table = np.zeros((a.states, len(a.letters) + 1), np.int32)
+        self.table[a.edges[:, 0], own[a.edges[:, 1]]] = a.edges[:, 2]
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        return self.table[at]
+
+
+class Sparse:
+    """Transitions by binary search."""
+
+    def __init__(self, a: Automaton, own: np.ndarray):
+        self.width = len(a.letters) + 1
+        keys = a.edges[:, 0].astype(np.int64) * self.width + own[a.edges[:, 1]]
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], a.edges[order, 2]
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        key = np.asarray(at[0], np.int64) * self.width + at[1]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.to[place], 0)
 
 
 class Model:
-    """The automata's transitions over one alphabet, for many words at a time."""
+    """The automata's transitions, each over its own alphabet, for many words at a time."""
 
     def __init__(self, languages: list[str], automata: list[Automaton]):
         self.languages = languages
-        letters = np.unique(np.concatenate([a.edges[:, 1] for a in automata])) if automata else np.empty(0, np.int32)
-        self.codes = np.zeros(0x110000, np.int16)
+        letters = np.unique(np.concatenate([a.letters for a in automata])) if automata else np.empty(0, np.int32)
+        self.codes = np.zeros(0x110000, np.int32)
         self.codes[letters] = np.arange(1, len(letters) + 1)
-        self.tables = []
+        self.tables, self.own = [], []
         for a in automata:
-            table = np.zeros((a.states, len(letters) + 1), np.int32)
-            table[a.edges[:, 0], self.codes[a.edges[:, 1]]] = a.edges[:, 2]
-            self.tables.append(table)
+            own = np.zeros(0x110000, np.int32)
+            own[a.letters] = np.arange(1, len(a.letters) + 1)
+            self.tables.append(Dense(a, own) if a.dense else Sparse(a, own))
+            self.own.append(np.concatenate([[0], own[letters]]).astype(np.int32))
 
     def pieces(self, words: list[str]) -> np.ndarray:
         """The number of pieces of each word (rows) under each language (columns)."""
@@ -94,8 +131,9 @@ class Model:
                 continue
             own = lengths[some]
             letters = np.frombuffer("".join(EDGE + words[i] + EDGE for i in some).encode("utf-32-le", "surrogatepass"), np.uint32)
-            codes, starts = self.codes[letters], np.cumsum(own) - own
+            shared, starts = self.codes[letters], np.cumsum(own) - own
             for j, table in enumerate(self.tables):
+                codes = self.own[j][shared]
                 # All words step on together; the longest stand last and go on alone.
                 state, count = np.zeros(len(some), np.int32), np.zeros(len(some), np.int64)
                 for step in range(int(own[-1])):
@@ -106,22 +144,21 @@ class Model:
                     stuck = to == 0
                     # The piece in hand ends, and the letter begins the next one; a letter unknown to the model is one itself.
                     count[a:] += stuck & (now > 0)
-                    again = np.where(stuck, table[0, c], to)
+                    again = np.where(stuck, table[np.zeros_like(now), c], to)
                     count[a:] += again == 0
                     state[a:] = again
                 out[some, j] = count + (state > 0)
         return out
 
 
-def labelled_words(docs: DataFrame, sample_docs: int, model_chars: int) -> dict[str, list[str]]:
-    """The most frequent words of each language, up to model_chars characters, from a bounded sample of labelled documents."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return {}
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, max(1, sample_docs * 1_000_000 // n)).otherwise(share)
-    sample = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share)
+def labelled_words(docs: DataFrame, sample_docs: int, model_chars: int) -> Iterator[tuple[str, list[str]]]:
+    """Languages in order, each with its most frequent words, up to model_chars characters, from a bounded sample of its documents."""
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).persist()
+    few = counts.count() <= BROADCAST_LABELS
+    share = F.greatest(F.lit(1), F.floor(F.lit(sample_docs * 1_000_000) / F.col("n")))
+    # The least one, so that no language is without a document.
+    sample = docs.join(F.broadcast(counts) if few else counts, "lang").where((place < share) | (place == F.col("least")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,21 +175,90 @@ def labelled_words(docs: DataFrame, sample_docs: int, model_chars: int) -> dict[
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
     words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    out = {}
     words = words.where(F.length("word") < model_chars).persist()
-    for lang in sorted(counts):
+
+    def fitting(words: Iterator[str]) -> list[str]:
         best, chars = [], 0
-        for r in words.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(model_chars // 3).select("word").collect():
-            chars += len(r["word"]) + 1
-            if chars > model_chars:
+        for word in words:
+            chars += len(word) + 1
+            if chars > model_chars or len(best) == model_chars // 3:
                 break
-            best.append(r["word"])
-        out[lang] = best
+            best.append(word)
+        return best
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((lang, word) for batch in batches for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for lang, some in groupby(rows, lambda r: r[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([fitting(w for _, w in some)], pa.list_(pa.string()))], ["lang", "words"])
+
+    # A language may lie in several partitions, one after the other.
+    best = words.orderBy("lang", F.desc("n"), "word").select("lang", "word").mapInArrow(cut, "lang string, words array<string>")
+    for lang, parts in groupby(best.toLocalIterator(), lambda r: r["lang"]):
+        yield lang, fitting(chain.from_iterable(r["words"] for r in parts))
     words.unpersist()
-    return {lang: best for lang, best in out.items() if best}
+    counts.unpersist()
 
 
-def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), sample_docs: int = SAMPLE_DOCS, model_chars: int = MODEL_CHARS) -> DataFrame:
+def groups_of(words: Iterator[tuple[str, list[str]]], group_bytes: int) -> Iterator[tuple[list[str], list[Automaton]]]:
+    """Languages and automata, as many at a time as one worker holds."""
+    languages, automata, size = [], [], 0
+    for lang, some in words:
+        if not some:
+            continue
+        a = Automaton(EDGE + EDGE.join(some) + EDGE)
+        if languages and (size + a.bytes > group_bytes or len(languages) == GROUP_LANGUAGES):
+            yield languages, automata
+            languages, automata, size = [], [], 0
+        languages.append(lang)
+        automata.append(a)
+        size += a.bytes
+    yield languages, automata
+
+
+def pieces_of(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of each text under each language, and its letters."""
+    distinct, codes, offsets = words_of(texts)
+    spelled = distinct.to_pylist()
+    letters = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    found = np.zeros((len(texts), max(1, len(model.tables))), np.int64)
+    pieces = model.pieces(spelled) * (letters > 0)[:, None]
+    for j in range(len(model.tables)):
+        found[:, j] = np.diff(np.concatenate([[0], np.cumsum(pieces[codes, j])])[offsets])
+    return found, np.diff(np.concatenate([[0], np.cumsum(letters[codes])])[offsets])
+
+
+def best_of_groups(given: DataFrame, groups: Iterator[tuple[list[str], list[Automaton]]]) -> DataFrame:
+    """given with lang_pred, score, pieces: each group of languages reads the texts once, and each row keeps the best of all."""
+    spark = given.sparkSession
+    rows = stored(given.withColumn("row", F.monotonically_increasing_id()), "language_rows")
+    path = scratch_path(spark, "language_groups")
+    for group in groups:
+        sent = spark.sparkContext.broadcast(group)
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            model = Model(*sent.value)
+            names = np.array(model.languages, object)
+            for batch in batches:
+                for ids, texts in text_slices(iter([batch]), 0, 1):
+                    found, total = pieces_of(model, texts)
+                    second = pa.array(np.partition(found, 1, 1)[:, 1]) if found.shape[1] > 1 else pa.nulls(len(texts), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found.min(1)), pa.array(names[found.argmin(1)].tolist(), pa.string()), second, pa.array(total)], ["row", "least", "lang", "second", "total"])
+
+        rows.select("row", "text").mapInArrow(score, "row long, least long, lang string, second long, total long").write.mode("append").parquet(path)
+        sent.destroy()
+    each = spark.read.schema("row long, least long, lang string, second long, total long").parquet(path)
+    best = each.groupBy("row").agg(F.min_by("lang", F.struct("least", "lang")).alias("lang"), F.first("total").alias("total"), F.sort_array(F.flatten(F.collect_list(F.array_compact(F.array("least", "second"))))).alias("all"))
+    known, least = F.col("total") > 0, F.col("all")[0]
+    best = best.select(
+        "row",
+        F.when(known, F.col("lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, 1 - least / F.greatest(F.col("all")[1], F.lit(1))).otherwise(0.0).alias("score"),
+        F.when(known, least / F.greatest("total", F.lit(1))).otherwise(0.0).alias("pieces"),
+    )
+    return rows.join(best, "row")
+
+
+def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), sample_docs: int = SAMPLE_DOCS, model_chars: int = MODEL_CHARS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """id, lang_pred, score, pieces (for each letter, of the winner), and the columns to carry along, the text among them.
 
     learn: a condition on the columns id and lang; the rows that meet it are the labelled text.
@@ -160,9 +266,14 @@ def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     others = [c for c in carry if c != text_col]
     given = by_name(docs, id=id_col, text=text_col, lang=lang_col, **{f"carried_{i}": c for i, c in enumerate(others)})
     labelled = given.select("id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    words = labelled_words(labelled, sample_docs, model_chars)
-    languages = sorted(words)
-    sent = docs.sparkSession.sparkContext.broadcast((languages, [Automaton(EDGE + EDGE.join(words[x]) + EDGE) for x in languages]))
+    back = {text_col: "text"} | {c: f"carried_{i}" for i, c in enumerate(others)}
+    groups = groups_of(labelled_words(labelled, sample_docs, model_chars), group_bytes)
+    first, more = next(groups), next(groups, None)
+    if more:
+        wanted = given.select("id", "text", *[f"carried_{i}" for i in range(len(others))])
+        found = best_of_groups(wanted, chain([first, more], groups))
+        return found.select("id", "lang_pred", "score", "pieces", *[F.col(back[c]).alias(c) for c in carry])
+    sent = docs.sparkSession.sparkContext.broadcast(first)
     carried = ([given.schema["text"]] if text_col in carry else []) + [given.schema[f"carried_{i}"] for i in range(len(others))]
     key = given.schema["id"]
     schema = ", ".join([f"id {key.dataType.simpleString()}", "lang_pred string", "score double", "pieces double", *[f"{x.name} {x.dataType.simpleString()}" for x in carried]])
@@ -175,14 +286,7 @@ def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             for _, texts in text_slices(iter([batch]), 0, 1):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
-                distinct, codes, offsets = words_of(texts)
-                spelled = distinct.to_pylist()
-                letters = np.fromiter(map(len, spelled), np.int64, len(spelled))
-                found = np.zeros((len(texts), max(1, len(model.tables))), np.int64)
-                pieces = model.pieces(spelled) * (letters > 0)[:, None]
-                for j in range(len(model.tables)):
-                    found[:, j] = np.diff(np.concatenate([[0], np.cumsum(pieces[codes, j])])[offsets])
-                total = np.diff(np.concatenate([[0], np.cumsum(letters[codes])])[offsets])
+                found, total = pieces_of(model, texts)
                 known = (total > 0) & bool(model.tables)
                 best = np.where(known, found.argmin(1), len(names) - 1)
                 least = found.min(1)
@@ -192,7 +296,6 @@ def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rate), *part.columns[1 if text_col in carry else 2 :]], ["id", "lang_pred", "score", "pieces", *[x.name for x in carried]])
 
     found = given.select("id", "text", *[f"carried_{i}" for i in range(len(others))]).mapInArrow(predict, schema)
-    back = {text_col: "text"} | {c: f"carried_{i}" for i, c in enumerate(others)}
     return found.select("id", "lang_pred", "score", "pieces", *[F.col(back[c]).alias(c) for c in carry])
 
 
