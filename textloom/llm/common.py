@@ -17,9 +17,11 @@ NULL_ID = -(2**63)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a new temporary one only where the session names none."""
+    """The folder that all executors share. Where the session names none, a new temporary one in local mode; a cluster has to name one."""
     root = spark.conf.get(SCRATCH_SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SCRATCH_SETTING} to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.conf.set(SCRATCH_SETTING, root)
     return root.rstrip("/")
@@ -41,6 +43,49 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Words (of 64 bits) of a filter of keys: about 60 MB where it is broadcast.
+FILTER_WORDS = 1 << 20
+#: A key with fewer rows than this is never called hot, and no more keys than this are.
+HOT_ROWS, MOST_HOT = 1000, 4096
+#: Bits of a filter for each key.
+KEY_BITS = 16
+
+
+def marked(rows: DataFrame, keys: DataFrame, on: list[str], flag: str = "marked") -> DataFrame:
+    """rows with a flag: true wherever the columns `on` are a key of `keys` (a stored table), and for few other rows.
+
+    A Bloom filter as a table of words that is broadcast: KEY_BITS bits a key, and never more than FILTER_WORDS, whatever the number
+    of keys. Beyond that more rows are marked than need be, but never fewer. What is marked still has to be joined.
+    """
+    words = 1 << min(FILTER_WORDS.bit_length() - 1, max(10, (keys.count() * KEY_BITS // 64).bit_length()))
+    hashed = F.xxhash64(*on)
+    slot = F.pmod(hashed, F.lit(words))
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(hashed, shift).bitwiseAND(63).cast("int"))
+    bits = bit(40).bitwiseOR(bit(50))
+    table = keys.select(slot.alias("filter_slot"), bits.alias("filter_bits")).groupBy("filter_slot").agg(F.bit_or("filter_bits").alias("filter_bits"))
+    found = rows.join(F.broadcast(table), slot == F.col("filter_slot"), "left")
+    return found.withColumn(flag, F.coalesce(F.col("filter_bits").bitwiseAND(bits) == bits, F.lit(False))).drop("filter_slot", "filter_bits")
+
+
+def precise(keys: DataFrame) -> bool:
+    """Whether a filter of these keys has its full number of bits for each, so that it marks about one other row in forty."""
+    return keys.count() * KEY_BITS <= 64 * FILTER_WORDS
+
+
+def hot_keys(counts: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """The MOST_HOT keys with the most rows, if they have more than HOT_ROWS: those that would fill tasks of their own.
+
+    counts: a stored table with a row for each key and the number of its rows.
+    """
+    return counts.where(F.col(rows) > HOT_ROWS).orderBy(F.desc(rows), *on).limit(MOST_HOT).select(*on)
+
+
+def joined(rows: DataFrame, keys: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with keys (inner or left_semi): rows with a hot key stay where they are and get their few keys by broadcast; others are shuffled."""
+    few = F.broadcast(hot)
+    return rows.join(F.broadcast(keys.join(few, on, "left_semi")), on, how).unionByName(rows.join(few, on, "left_anti").join(keys, on, how))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
     """Ids and texts in lists of about `most` characters; one longer text stands alone."""
     for batch in batches:
