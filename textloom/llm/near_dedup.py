@@ -12,13 +12,13 @@ No bucket is expanded into all its pairs, and none is cut off:
    so form first components.
 2. Buckets that still hold several components are compared in blocks, signature against signature. Classes of different
    components that are near enough (at least NEAR of COMPONENTS equal; at similarity 0.75 that fails with a probability below
-   1e-6) form groups, one row for each class, and the full sets of a group's classes are compared with each other. What comes
-   out are the links that join components.
+   1e-6) form groups, one row for each class, and the full sets of a group's classes are compared with each other, in parts of
+   about BLOCK_SHINGLES shingles, so that no task holds a whole group. What comes out are the links that join components.
 Links are always confirmed on full sets, and components follow from links alone.
 
 Defined cases: a null text has no words, hence an empty set, and is linked with nothing; a null id is smaller than any
-other; rows that share an id are documents each; ties are settled by the smaller id; an empty table gives no rows; other
-columns are not read.
+other; rows that share an id are documents each, told apart by a hash of their texts; ties are settled by the smaller id; an
+empty table gives no rows; other columns are not read.
 """
 
 import hashlib
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import NULL_ID, by_name, mixed, shuffle_partitions, stored, text_slices
+from textloom.llm.common import NULL_ID, by_name, hot_keys, joined, marked, mixed, shuffle_partitions, stored, text_slices
 from textloom.llm.components import components
 from textloom.llm.shingles import SHINGLE, shingles_of, signature, signature_seeds
 
@@ -43,7 +43,6 @@ SHARE = 75
 BLOCK_SHINGLES = 1_000_000
 #: Of signatures that meet in one group.
 BLOCK_ROWS = 2048
-BROADCAST_ROWS = 300_000
 
 
 def digest_of(shingles: np.ndarray) -> bytes:
@@ -51,20 +50,24 @@ def digest_of(shingles: np.ndarray) -> bytes:
 
 
 def sets_of(rows: DataFrame, size: int) -> DataFrame:
-    """id, n, cid (the class: a digest of the set; null for an empty one), sig."""
+    """id, tie, n, cid (the class: a digest of the set; null for an empty one), sig."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = signature_seeds(COMPONENTS)
-        for ids, texts in text_slices(batches, 0, 1):
-            ns, cids, sigs = [], [], []
-            for text in texts:
-                found = shingles_of(text, size)
-                ns.append(len(found))
-                cids.append(digest_of(found) if len(found) else None)
-                sigs.append(signature(found, seeds).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(cids, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n", "cid", "sig"])
+        for batch in batches:
+            at = 0
+            for ids, texts in text_slices(iter([batch]), 0, 2):
+                ties = batch.column(1).slice(at, len(ids))
+                at += len(ids)
+                ns, cids, sigs = [], [], []
+                for text in texts:
+                    found = shingles_of(text, size)
+                    ns.append(len(found))
+                    cids.append(digest_of(found) if len(found) else None)
+                    sigs.append(signature(found, seeds).tobytes() if len(found) else None)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), ties, pa.array(ns, pa.int64()), pa.array(cids, pa.binary()), pa.array(sigs, pa.binary())], ["id", "tie", "n", "cid", "sig"])
 
-    return rows.mapInArrow(read, "id long, n long, cid binary, sig binary")
+    return rows.select("id", "tie", "text").mapInArrow(read, "id long, tie long, n long, cid binary, sig binary")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -176,7 +179,7 @@ def first_number(same: np.ndarray) -> np.ndarray:
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
-    """group, component, cid: classes of one bucket that hang together by near enough signatures of different components.
+    """group, component, cid, n: classes of one bucket that hang together by near enough signatures of different components.
 
     rows: key, number, cid, component, n, sig of buckets with several components. Of the keys that two classes share, only the
     first one compares them. There is at most a row for each row of a bucket's block, whatever the number of pairs.
@@ -208,7 +211,7 @@ def near_groups(rows: DataFrame) -> DataFrame:
             for i, x in enumerate(held):
                 if roots.joined[i]:
                     name = hashlib.blake2b(repr((group, roots.of(i))).encode(), digest_size=8).digest()
-                    out.append((int.from_bytes(name, "little", signed=True), x[1], x[0]))
+                    out.append((int.from_bytes(name, "little", signed=True), x[1], x[0], x[2]))
 
         for batch in batches:
             for key, one, two, own_number, cid, component, n, sig in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
@@ -223,10 +226,10 @@ def near_groups(rows: DataFrame) -> DataFrame:
         yield grouped(out)
 
     def grouped(out: list) -> pa.RecordBatch:
-        kinds = {"group": pa.int64(), "component": pa.binary(), "cid": pa.binary()}
+        kinds = {"group": pa.int64(), "component": pa.binary(), "cid": pa.binary(), "n": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
-    return spread.mapInArrow(compare, "group long, component binary, cid binary")
+    return spread.mapInArrow(compare, "group long, component binary, cid binary, n long")
 
 
 class Roots:
@@ -248,9 +251,15 @@ class Roots:
 
 
 def links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links between components, confirmed on the full sets of all classes of a group; as many as join a group's components, not all."""
-    rows = groups.join(sets, "cid").select("group", "component", "shingles")
-    spread = rows.repartition(shuffle_partitions(groups.sparkSession), "group").sortWithinPartitions("group")
+    """a, b: links between components, confirmed on the full sets of all classes of a group; as many as join a group's components, not all.
+
+    groups: group, component, cid, n. A large group is cut into parts; each meets itself and every other one, in a task's group of its own.
+    """
+    total = groups.groupBy("group").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).cast("int").alias("parts")).withColumnRenamed("group", "of")
+    own = groups.join(total, F.col("group") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
+    met = own.select("group", "component", "cid", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("partner"))
+    rows = met.join(sets, "cid").select("group", F.least("part", "partner").alias("one"), F.greatest("part", "partner").alias("two"), "component", "shingles")
+    spread = rows.repartition(shuffle_partitions(groups.sparkSession), "group", "one", "two").sortWithinPartitions("group", "one", "two")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], []
@@ -272,10 +281,10 @@ def links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
                         out.append((component, held[j][0]))
 
         for batch in batches:
-            for now, component, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if group != now:
+            for g, one, two, component, data in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if group != (g, one, two):
                     close()
-                    group, held = now, []
+                    group, held = (g, one, two), []
                 held.append((component, np.frombuffer(data, np.uint64)))
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
@@ -300,28 +309,32 @@ def roots(links: DataFrame) -> DataFrame:
             return parents
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach), kept (doc_id = component_id)."""
-    rows = by_name(docs, id=id_col, text=text_col).withColumn("id", F.coalesce("id", F.lit(NULL_ID)).cast("long"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, ties: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach), kept (doc_id = component_id).
+
+    ties: also tie (xxhash64 of the text) and first: of the rows of a component, those with its smallest (id, tie) are. It tells
+    rows apart that share an id, or have none.
+    """
+    rows = by_name(docs, id=id_col, text=text_col).select(F.coalesce("id", F.lit(NULL_ID)).cast("long").alias("id"), F.xxhash64("text").alias("tie"), "text")
     every = stored(sets_of(rows, size), "sets")
-    classes = stored(every.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    of_class = every.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min(F.struct("id", "tie")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
+    classes = stored(of_class, "classes")
 
     keys = index_keys(classes)
     firsts = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("cid").alias("first")).where(F.col("many") > 1).select(F.col("key").alias("of"), "first")
     shared = stored(keys.join(firsts, F.col("key") == F.col("of")).select("key", "number", "cid", "first"), "shared")
 
-    # The sets of classes that share a key, once.
+    # The sets of classes that share a key, once; other texts are not shuffled for them.
     needed = stored(shared.select("cid").distinct().join(classes.select("cid", "rep", "n", "sig"), "cid"), "needed")
-    wanted = needed.select("cid", "rep")
-    wanted = F.broadcast(wanted) if needed.count() <= BROADCAST_ROWS else wanted
-    texts = rows.join(wanted, F.col("id") == F.col("rep")).select("cid", "text")
+    wanted = needed.select("cid", F.col("rep.id").alias("id"), F.col("rep.tie").alias("tie"))
+    texts = marked(rows, wanted, ["id", "tie"]).where("marked").select("id", "tie", "text").dropDuplicates(["id", "tie"]).join(wanted, ["id", "tie"]).select("cid", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cids, some in text_slices(batches, 0, 1):
             found = [(c, x.tobytes()) for c, x in ((c, shingles_of(t, size)) for c, t in zip(cids, some, strict=True)) if digest_of(x) == c]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["cid", "shingles"])
 
-    sets = stored(texts.mapInArrow(full, "cid binary, shingles binary").dropDuplicates(["cid"]), "full-sets")
+    sets = stored(texts.mapInArrow(full, "cid binary, shingles binary"), "full-sets")
 
     alone = needed.select(F.col("cid").alias("component"), "cid", "n")
     # Of the least classes of its buckets, each class is compared with the one that it meets most often.
@@ -338,8 +351,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = comps.join(second, F.col("component") == F.col("first_component"), "left").select("cid", "rep", F.coalesce("last_component", "component").alias("component"))
     least = last.groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "of")
     reached = last.join(least, F.col("component") == F.col("of")).select(F.col("cid").alias("linked"), "least")
-    # Classes without a shared key are on their own.
-    class_ids = classes.join(reached, F.col("cid") == F.col("linked"), "left").select(F.col("cid").alias("class"), F.coalesce("least", "rep").alias("least"))
-    out = every.select("id", "n", "cid").join(class_ids, F.col("cid") == F.col("class"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("least"))
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(back("id").alias("doc_id"), "n_shingles", back("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    # Classes without a shared key are on their own, and so is each row without a set. Rows of a class with very many copies are not shuffled.
+    class_ids = classes.join(reached, F.col("cid") == F.col("linked"), "left").select("cid", F.coalesce("least", "rep").alias("least"))
+    own = every.select("id", "tie", "n", "cid")
+    placed = joined(own.where(F.col("cid").isNotNull()), stored(class_ids, "class-ids"), ["cid"], hot_keys(classes, ["cid"], "rows")).select("id", "tie", "n", "least")
+    out = placed.unionByName(own.where(F.col("cid").isNull()).select("id", "tie", "n", F.struct("id", "tie").alias("least")))
+    back = lambda c: F.when(c != NULL_ID, c)
+    more = [F.col("tie"), (F.struct("id", "tie") == F.col("least")).alias("first")] if ties else []
+    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.col("least.id")).alias("component_id"), (F.col("id") == F.col("least.id")).alias("kept"), *more)
