@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import NULL_ID, WORD_HASHES, by_name, gram_hashes, mixed, stored, text_slices
+from textloom.llm.common import NULL_ID, WORD_HASHES, by_name, gram_hashes, hot_keys, joined, marked, mixed, precise, stored, text_slices
 from textloom.llm.fm_index import FmIndex
 
 WINDOW = 50
@@ -32,8 +32,6 @@ GRAM = 8
 MOST_WINDOWS = 512
 SHARD_WORDS = 150_000
 HOT_SEGMENTS = 5_000
-#: Of ids or hashes, 8 or 16 bytes each.
-BROADCAST_ROWS = 1_000_000
 #: An odd number and its inverse, to hash runs of words by differences of sums.
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 2**64)
@@ -114,25 +112,26 @@ def least_ids(window: int):
     return search
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """Broadcast behind a check of its size. df: a stored table of narrow rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space)."""
     rows = by_name(docs, id=id_col, text=text_col).select(F.coalesce("id", F.lit(NULL_ID)).cast("long").alias("id"), F.xxhash64("text").alias("tie"), "text")
     every = stored(segments(rows, window, gram), "segments")
-    shared = stored(every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high")).select(F.col("anchor").alias("of")), "anchors")
-    places = stored(every.join(checked(shared), F.col("anchor") == F.col("of"), "left_semi"), "places")
-
-    distinct = stored(places.groupBy("anchor", "segment").agg(F.min(F.struct("id", "tie", "start", "windows")).alias("at")).select("anchor", "segment", F.col("at.id").alias("least"), F.col("at.tie").alias("own"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows")), "distinct")
-    hot = distinct.groupBy("anchor").agg((F.floor(F.count("*") / hot_segments) + 1).cast("int").alias("ways")).where(F.col("ways") > 1).withColumnRenamed("anchor", "hot")
-    wanted = distinct.join(hot, F.col("anchor") == F.col("hot"), "left").groupBy("least", "own").agg(F.collect_list(F.struct("anchor", "segment", "start", "windows", F.coalesce("ways", F.lit(1)).alias("ways"))).alias("segments"))
+    anchors_of_two = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows")).where(F.col("low") < F.col("high"))
+    shared = stored(anchors_of_two.select("anchor", "rows"), "anchors")
+    near = marked(every, shared, ["anchor"]).where("marked").drop("marked")
+    # A few anchors of one document more do no harm: nothing is found for them.
+    places = stored(near if precise(shared) else joined(near, shared.select("anchor"), ["anchor"], hot_keys(shared, ["anchor"], "rows"), "left_semi"), "places")
+
+    least = F.min(F.struct("id", "tie", "start", "windows")).alias("at")
+    distinct = places.groupBy("anchor", "segment").agg(least, F.count("*").alias("rows")).select("anchor", "segment", "rows", F.col("at.id").alias("least"), F.col("at.tie").alias("own"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"))
+    distinct = stored(distinct, "distinct")
+    ways = stored(distinct.groupBy("anchor").agg(F.count("*").alias("segments"), (F.floor(F.count("*") / hot_segments) + 1).cast("int").alias("ways")), "ways")
+    dealt = joined(distinct, ways.select("anchor", "ways"), ["anchor"], hot_keys(ways, ["anchor"], "segments"))
+    wanted = dealt.groupBy("least", "own").agg(F.collect_list(F.struct("anchor", "segment", "start", "windows", "ways")).alias("segments"))
     total = distinct.agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
-    # The documents that are read for their segments, found before their texts are shuffled.
-    sources = stored(distinct.select(F.col("least").alias("source_id"), F.col("own").alias("source_tie")).distinct(), "sources")
-    own_rows = rows.join(checked(sources), (F.col("id") == F.col("source_id")) & (F.col("tie") == F.col("source_tie")), "left_semi")
+    # The documents that are read for their segments, found before their texts are shuffled; of repeated rows one is enough.
+    sources = stored(distinct.select(F.col("least").alias("id"), F.col("own").alias("tie")).distinct(), "sources")
+    own_rows = marked(rows, sources, ["id", "tie"]).where("marked").select("id", "tie", "text").dropDuplicates(["id", "tie"])
     texts = own_rows.join(wanted, (F.col("id") == F.col("least")) & (F.col("tie") == F.col("own"))).select("least", "text", "segments")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +154,9 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = texts.mapInArrow(extract, "anchor long, segment long, offset int, way int, words binary, least long")
     shards = 1 + total // shard_words
     found = pieces.groupBy(F.pmod(F.xxhash64("anchor", "way"), F.lit(shards)).alias("shard")).applyInPandas(least_ids(window), "anchor long, segment long, offset int, found binary")
-    found = found.withColumnsRenamed({"anchor": "found_anchor", "segment": "found_segment"})
-    met = places.join(found, (F.col("anchor") == F.col("found_anchor")) & (F.col("segment") == F.col("found_segment"))).select("id", "tie", (F.col("start") + F.col("offset")).alias("start"), "found")
+    # A hot segment's rows (a passage that very many documents hold) meet its few results where they are.
+    pair = ["anchor", "segment"]
+    met = joined(places, stored(found, "found"), pair, hot_keys(distinct, pair, "rows")).select("id", "tie", (F.col("start") + F.col("offset")).alias("start"), "found")
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The spans of words in windows that a smaller id has too."""
@@ -171,12 +171,11 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["id", "tie", "low", "high"])
 
     spans = met.mapInArrow(covered, "id long, tie long, low int, high int").groupBy("id", "tie").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    spans = stored(spans.withColumnsRenamed({"id": "span_id", "tie": "span_tie"}), "spans")
+    spans = stored(spans, "spans")
     # Texts without spans are not shuffled.
-    hit = spans.select("span_id", "span_tie")
-    same = (F.col("id") == F.col("span_id")) & (F.col("tie") == F.col("span_tie"))
-    touched = rows.join(checked(hit), same, "left_semi").join(spans, same).select("id", "text", "spans")
-    others = rows.join(checked(hit), same, "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    told = marked(rows, spans, ["id", "tie"])
+    touched = told.where("marked").join(spans, ["id", "tie"], "left").select("id", "text", "spans")
+    others = told.where(~F.col("marked")).select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
