@@ -1,7 +1,10 @@
 """A pipeline that prepares training text: each stage works on all documents that the one before it kept.
 
-Every stage but the last returns the columns it was given. Nulls: a document without text or without a letter goes in the
-first stage; null ids, languages and sources are kept as they are.
+Every stage but the last returns the columns it was given. Defined cases: a document without text or without a letter goes in
+the first stage; null ids, languages and sources are kept as they are; rows that share an id, or have none, are told apart by
+their texts, and of repeated rows one stays; of near-duplicates the one with the smallest id (null first) and then the smallest
+hash of its text stays; texts of any length are worked on whole; an empty table gives an empty result; other columns, whatever
+their names, are carried along to the last stage.
 """
 
 import public_tokenizers
@@ -45,13 +48,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, once."""
-    key = F.coalesce("doc_id", F.lit(NULL_ID)).cast("long")
-    kept = near_dedup.near_duplicates(docs).where("kept").select(key.alias("kept_key")).distinct()
+    """One document of each group of near-duplicates stays, once. What is decided holds for a row (id and hash of its text), not for its id."""
+    row = {"kept_key": F.coalesce("doc_id", F.lit(NULL_ID)).cast("long"), "tie": F.xxhash64("text")}
+    kept = near_dedup.near_duplicates(docs, ties=True).where("first").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept_key"), "tie").distinct()
     plain, _ = _plain(docs, "doc_id", "text")
-    left = plain.withColumns({"kept_key": key, "tie": F.xxhash64("text")}).join(kept, "kept_key", "left_semi")
+    left = plain.withColumns(row).join(kept, list(row), "left_semi")
     # Repeated rows lie together already.
-    return _given(left.dropDuplicates(["kept_key", "tie"]), docs, "doc_id", "text")
+    return _given(left.dropDuplicates(list(row)), docs, "doc_id", "text")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
