@@ -52,13 +52,19 @@ def test_title_lines(spark):
 URLS = [
     "https://Example.com/A/?utm_source=x&id=3#top", "HTTP://a.kr", "http://a.kr/", "http://a.kr/view?no=1&ref=y&b=", "http://a.kr/x?q=a+b%20c&UTM_Medium=1", "not a url", "  http://a.kr/p/  ", "//a.kr/x", "http://a.kr/?a",
     "http://a.kr/한글?제목=값", "http://a.kr/x?a=1;b=2", "http://u:p@a.kr:80/x//", "http://a.kr/x?a==b", "mailto:x@y.z", "", "http://a.kr?x=1&&y=2",
+    "http://a.kr/x?%zz=1&a=%E3%81", "http://a.kr/x?a=*~b c", "http://[a.kr/x", "http://a.kr/x?a=%ff", "HTTP://A.kr/%7Eb/?Gclid=1&%72ef=2&x=%26", "ftp://X.y//",
+]
+CANONICAL = [
+    "https://example.com/A?id=3", "http://a.kr/", "http://a.kr/", "http://a.kr/view?no=1&b=", "http://a.kr/x?q=a+b+c", "not a url", "http://a.kr/p", "//a.kr/x", "http://a.kr/?a=",
+    "http://a.kr/한글?%EC%A0%9C%EB%AA%A9=%EA%B0%92", "http://a.kr/x?a=1%3Bb%3D2", "http://u:p@a.kr:80/x", "http://a.kr/x?a=%3Db", "mailto:x@y.z", "", "http://a.kr/?x=1&y=2",
+    "http://a.kr/x?%25zz=1&a=%EF%BF%BD", "http://a.kr/x?a=%2A~b+c", "http://[a.kr/x", "http://a.kr/x?a=%EF%BF%BD", "http://a.kr/%7Eb?x=%26", "ftp://x.y/",
 ]
 
 
 def test_canonical_url(spark):
     found = column(spark, URLS, urls.canonical_url)
-    assert found == [urls._encoded(u) for u in URLS]
-    assert found[0] == "https://example.com/A?id=3"
+    assert found == CANONICAL
+    assert column(spark, [None], urls.canonical_url) == [None]
     again = column(spark, found, urls.canonical_url)
     assert again == found
 

@@ -17,7 +17,7 @@ PASSING_MOST = 2
 
 @dataclass(frozen=True)
 class Settings:
-    """What is stored are numbers; verdicts and top words follow from them and these settings."""
+    """What is stored are numbers; verdicts and top words follow from them and these settings. The defaults."""
 
     version: int = 1
     top_n: int = 15
@@ -72,25 +72,55 @@ def sentences(text: Column) -> Column:
 def text_metrics(df: DataFrame, text_col: str, tokens_col: str | None = None) -> DataFrame:
     """tokens, unique_tokens, nouns, sentences, avg_sentence_len (1 place), ttr (3 places); all 0 without tokens."""
     found = df.withColumn("_tokens", kept_tokens(F.col(tokens_col) if tokens_col else tokens(F.col(text_col)))).withColumn("_sentences", sentences(F.col(text_col)))
+    # As plain strings, of which distinct ones are found by hash: structs would be compared pair by pair.
+    names = F.transform("_tokens", lambda t: F.concat(t["tag"], F.lit(" "), t["form"]))
+    counted = found.withColumns({"_unique": F.size(F.array_distinct(names)), "_length": F.length(F.array_join("_sentences", ""))})
     n, some, parts = F.size("_tokens"), F.size("_tokens") > 0, F.size("_sentences")
-    unique = F.size(F.array_distinct(F.transform("_tokens", lambda t: F.struct(t["form"], t["tag"]))))
-    total = F.aggregate(F.transform("_sentences", F.length), F.lit(0), lambda a, b: a + b)
-    return found.withColumns({
+    return counted.withColumns({
         "tokens": n,
-        "unique_tokens": unique,
+        "unique_tokens": F.col("_unique"),
         "nouns": F.size(F.filter("_tokens", lambda t: t["tag"].isin(*NOUNS))),
         "sentences": F.when(some, parts).otherwise(0),
-        "avg_sentence_len": F.when(some & (parts > 0), F.bround(total / parts, 1)).otherwise(0.0),
-        "ttr": F.when(some, F.bround(unique / n, 3)).otherwise(0.0),
-    }).drop("_tokens", "_sentences")
+        "avg_sentence_len": F.when(some & (parts > 0), F.bround(F.col("_length") / parts, 1)).otherwise(0.0),
+        "ttr": F.when(some, F.bround(F.col("_unique") / n, 3)).otherwise(0.0),
+    }).drop("_tokens", "_sentences", "_unique", "_length")
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None) -> DataFrame:
-    """id, term (lemma of verbs, form of others; up to 100 characters), pos, count of content words."""
+def counted_terms(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None) -> DataFrame:
+    """id, terms: an array of (term, pos, count), counted within the row: no token becomes a row.
+
+    The terms are sorted, and the places where they change give their counts.
+    """
     found = F.col(tokens_col) if tokens_col else tokens(F.col(text_col))
-    each = df.select(F.col(id_col), F.explode(F.filter(found, lambda t: t["tag"].isin(*TERMS))).alias("t"))
-    term = F.substring(F.when(F.col("t.tag").isin(*VERBS), F.col("t.lemma")).otherwise(F.col("t.form")), 1, 100)
-    return each.groupBy(id_col, term.alias("term"), F.col("t.tag").alias("pos")).agg(F.count("*").cast("int").alias("count"))
+    term = lambda t: F.struct(F.substring(F.when(t["tag"].isin(*VERBS), t["lemma"]).otherwise(t["form"]), 1, 100).alias("term"), t["tag"].alias("pos"))
+    in_order = df.select(F.col(id_col), F.sort_array(F.transform(F.filter(found, lambda t: t["tag"].isin(*TERMS)), term)).alias("_t"))
+    first = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (F.get("_t", i - 1) != t), i)), lambda i: i.isNotNull())
+    changes = in_order.select(id_col, "_t", first.alias("_first"))
+    count = lambda i, k: (F.coalesce(F.get("_first", k + 1), F.size("_t")) - i).alias("count")
+    return changes.select(id_col, F.transform("_first", lambda i, k: F.struct(F.get("_t", i)["term"].alias("term"), F.get("_t", i)["pos"].alias("pos"), count(i, k))).alias("terms"))
+
+
+def term_counts(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None) -> DataFrame:
+    """id, term (lemma of verbs, form of others; up to 100 characters), pos, count of content words. df: a row for each id."""
+    # Outer, as for a plain one Spark would add a filter on the array below, which computes it again for each of its elements.
+    return counted_terms(df, id_col, text_col, tokens_col).select(id_col, F.explode_outer("terms").alias("t")).where("t is not null").select(id_col, "t.*")
+
+
+def document_words(df: DataFrame, id_col: str, text_col: str, settings: Settings | None = None, tokens_col: str | None = None) -> DataFrame:
+    """id, rank, term, pos, count, share: what term_shares gives for all words of each document, with their places, without a shuffle.
+
+    df: a row for each id. Words of the same count stand in the order of term and part of speech.
+    """
+    settings = settings or Settings()
+    allowed = POS_RANGES.get(settings.pos_range, POS_RANGES["vva"])
+    counted = counted_terms(df, id_col, text_col, tokens_col)
+    kept = F.filter("terms", lambda t: t["pos"].isin(*allowed))
+    ranked = counted.select(id_col, F.sort_array(F.transform(kept, lambda t: F.struct((-t["count"]).alias("less"), t["term"].alias("term"), t["pos"].alias("pos")))).alias("_w"))
+    for_total = NOUNS if settings.denom == "noun" else allowed
+    total = F.aggregate(F.filter("_w", lambda w: w["pos"].isin(*for_total)), F.lit(0).cast("long"), lambda a, w: a - w["less"])
+    each = ranked.select(id_col, total.alias("_total"), F.posexplode_outer("_w").alias("_place", "w")).where("w is not null")
+    share = F.when(F.col("_total") > 0, F.bround(-F.col("w.less") * 100 / F.col("_total"), 1)).otherwise(0.0)
+    return each.select(id_col, (F.col("_place") + 1).alias("rank"), "w.term", "w.pos", (-F.col("w.less")).alias("count"), share.alias("share"))
 
 
 def term_shares(terms: DataFrame, id_col: str, settings: Settings = Settings(), stopwords: DataFrame | None = None) -> DataFrame:

@@ -44,6 +44,7 @@ PAREN_BYLINE = r"(?mU)^(\s*)\([^()=]{0,20}[가-힣]{2,4}\s*(?:기자|특파원)\
 CAPTION_TAIL = r"(?U)(?:모습|장면)\s*\.?\s*$"
 TERMINATOR = r"(?U)^\s*\(끝\)"
 ORNAMENTS = r"^[\[\]<>()【】〔〕·■□◆◇●○▶▷►▸☞※★☆|\-*• \t]+|[\[\]<>()【】〔〕·■□◆◇●○▶▷►▸☞※★☆|\-*• \t]+$"
+# Headers of other articles, as lines of their own and glued to the text.
 SECTION_HEADERS = (
     "관련기사", "관련 기사", "연관기사", "추천기사", "추천 기사", "많이 본 뉴스", "많이본 뉴스", "많이 본 기사", "인기기사", "인기 기사", "주요뉴스", "주요 뉴스", "핫이슈", "실시간 뉴스", "최신기사", "최신 기사", "이시각 주요뉴스",
     "포토뉴스", "많이 읽은 기사", "베스트 클릭", "이 기사 어때요", "함께 보면 좋은 기사", "오늘의 주요뉴스", "관련 키워드", "관련키워드", "제보하기",
@@ -63,6 +64,11 @@ def joined(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def where_any(text: Column, pattern: str, changed: Column) -> Column:
+    """changed, but only for texts in which the pattern occurs: without it, the step has nothing to do. A plain search is far cheaper than the step."""
+    return F.when(matches(text, pattern), changed).otherwise(text)
+
+
 def _length(lines: Column) -> Column:
     return F.length(F.array_join(F.transform(lines, strip), ""))
 
@@ -71,20 +77,20 @@ def caption_lines(text: Column, lines: Column) -> Column:
     """Lines that begin or end with a pipe go, unless hardly anything would be left: then the page was a table."""
     piped = lambda line: strip(line).startswith("|") | strip(line).endswith("|")
     kept = F.filter(lines, lambda line: ~piped(line))
-    return F.when((_length(lines) > 0) & (_length(kept) < _length(lines) * CAPTION_KEEPS), text).otherwise(joined(kept))
+    return where_any(text, r"\|", F.when((_length(lines) > 0) & (_length(kept) < _length(lines) * CAPTION_KEEPS), text).otherwise(joined(kept)))
 
 
 def summary_box(text: Column, lines: Column) -> Column:
     """All up to a note that ends an automatic summary, if it stands near the top."""
     at = F.array_position(F.transform(F.slice(lines, 1, SUMMARY_LINES), lambda line: matches(line, SUMMARY_NOTE)), True)
-    return F.when(at > 0, joined(F.slice(lines, at.cast("int") + 1, F.greatest(F.size(lines), F.lit(1))))).otherwise(text)
+    return where_any(text, "내용을", F.when(at > 0, joined(F.slice(lines, at.cast("int") + 1, F.greatest(F.size(lines), F.lit(1))))).otherwise(text))
 
 
 def agency_prefixes(text: Column, lines: Column) -> Column:
     """Photo captions of agencies go; of a lead, only the prefix does."""
     first = F.transform(lines, lambda line: F.when(matches(line, RESALE_TAIL), F.when(~matches(line, AGENCY_TAG), F.regexp_replace(line, RESALE_TAIL, ""))).otherwise(line))
     then = F.transform(first, lambda line: F.when(matches(line, AGENCY_PREFIX), F.when(~matches(line, DATE_TAIL), F.regexp_replace(line, AGENCY_PREFIX, ""))).otherwise(line))
-    return joined(F.filter(then, lambda line: line.isNotNull()))
+    return where_any(text, "재판매|기자|특파원", joined(F.filter(then, lambda line: line.isNotNull())))
 
 
 def boilerplate_lines(text: Column, lines: Column) -> Column:
@@ -92,42 +98,48 @@ def boilerplate_lines(text: Column, lines: Column) -> Column:
     cut = F.transform(lines, lambda line: F.when(matches(line, COPYRIGHT), F.when(F.length(line) > COPYRIGHT_LINE, F.regexp_replace(line, COPYRIGHT_NOTICE, " "))).otherwise(line))
     footer = lambda line: (F.length(line) <= COPYRIGHT_LINE) & matches(line, OUTLET_FOOTER)
     hint = lambda line: (F.length(strip(line)) <= UI_LINE) & matches(line, UI_TEXT)
-    return joined(F.filter(cut, lambda line: line.isNotNull() & ~matches(line, BYLINE) & ~footer(line) & ~hint(line)))
+    return where_any(text, "(?iu)무단|재배포|저작권자|ⓒ|©|copyright|기사|기자|공감언론|읽어주기|브라우저에서만|Google", joined(F.filter(cut, lambda line: line.isNotNull() & ~matches(line, BYLINE) & ~footer(line) & ~hint(line))))
 
 
 def bylines(text: Column, lines: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BRACKET_BYLINE, ""), ANGLE_BYLINE, ""), PAREN_BYLINE, "$1")
+    return where_any(text, "기자|특파원", F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BRACKET_BYLINE, ""), ANGLE_BYLINE, ""), PAREN_BYLINE, "$1"))
 
 
 def unmarked_captions(text: Column, lines: Column) -> Column:
     """Short lines that end like a caption."""
-    return joined(F.filter(lines, lambda line: ~((strip(line) != "") & (F.length(strip(line)) <= CAPTION_LINE) & matches(strip(line), CAPTION_TAIL))))
+    return where_any(text, "모습|장면", joined(F.filter(lines, lambda line: ~((strip(line) != "") & (F.length(strip(line)) <= CAPTION_LINE) & matches(strip(line), CAPTION_TAIL)))))
 
 
 def terminator(text: Column, lines: Column) -> Column:
     at = F.array_position(F.transform(lines, lambda line: matches(line, TERMINATOR)), True).cast("int")
-    return F.when(at > 0, joined(F.slice(lines, 1, at - 1))).otherwise(text)
+    return where_any(text, r"\(끝\)", F.when(at > 0, joined(F.slice(lines, 1, at - 1))).otherwise(text))
 
 
 def section_headers(text: Column, lines: Column) -> Column:
     """The text ends at a header of other articles behind enough body; headers before that only lose their line."""
     bare = lambda line: F.regexp_replace(strip(line), ORNAMENTS, "")
-    header = lambda line: (F.length(bare(line)) <= HEADER_LINE) & matches(bare(line), f"^(?:{'|'.join(SECTION_HEADERS)})")
+    named = f"(?:{'|'.join(SECTION_HEADERS)})"
+    # Of each line once: its length, and whether it is a header, for which it must hold one's words.
+    header = lambda line: matches(line, named) & (F.length(bare(line)) <= HEADER_LINE) & matches(bare(line), f"^{named}")
+    seen = F.transform(lines, lambda line: F.struct(line.alias("line"), F.length(strip(line)).alias("length"), header(line).alias("header")))
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("body"), F.lit(None).cast("int").alias("cut"))
 
-    def step(state: Column, line: Column) -> Column:
-        ends = state["cut"].isNull() & header(line) & (state["body"] >= BODY_BEFORE_HEADER)
-        body = state["body"] + F.when(header(line), 0).otherwise(F.length(strip(line)))
-        return F.struct((state["i"] + 1).alias("i"), body.alias("body"), F.when(ends, state["i"]).otherwise(state["cut"]).alias("cut"))
+    def step(state: Column, x: Column) -> Column:
+        ends = state["cut"].isNull() & x["header"] & (state["body"] >= BODY_BEFORE_HEADER)
+        return F.struct((state["i"] + 1).alias("i"), (state["body"] + F.when(x["header"], 0).otherwise(x["length"])).alias("body"), F.when(ends, state["i"]).otherwise(state["cut"]).alias("cut"))
+
+    def left(all_lines: Column) -> Column:
+        cut = F.aggregate(all_lines, start, step, lambda state: F.coalesce(state["cut"], state["i"]))
+        return joined(F.transform(F.filter(F.slice(all_lines, 1, cut), lambda x: ~x["header"]), lambda x: x["line"]))
 
-    cut = F.aggregate(lines, start, step, lambda state: F.coalesce(state["cut"], state["i"]))
-    return joined(F.filter(F.slice(lines, 1, cut), lambda line: ~header(line)))
+    # An array of one, so that the lines' properties have a name and are computed once.
+    return where_any(text, named, F.transform(F.array(seen), left)[0])
 
 
 def inline_headers(text: Column, lines: Column) -> Column:
     """The text ends at a header that is glued to the word before it, behind enough body."""
     pattern = rf"(?sU)^(\s*\S.{{{BODY_BEFORE_HEADER - 1},}}?(?<=\S))(?:{'|'.join(INLINE_HEADERS)})"
-    return F.when(matches(text, pattern), F.regexp_extract(text, pattern, 1)).otherwise(text)
+    return where_any(text, "|".join(INLINE_HEADERS), F.when(matches(text, pattern), F.regexp_extract(text, pattern, 1)).otherwise(text))
 
 
 def photo_captions(text: Column, lines: Column) -> Column:
@@ -142,7 +154,7 @@ def photo_captions(text: Column, lines: Column) -> Column:
         some = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, left(p)).otherwise(p))
         return F.when(F.size(parts) > 1, F.array_join(F.filter(some, lambda p: strip(p) != ""), " ")).otherwise(line)
 
-    return joined(F.transform(lines, line_of))
+    return where_any(text, "[ⓒ©]", joined(F.transform(lines, line_of)))
 
 
 def edge_lists(text: Column, lines: Column) -> Column:
@@ -153,7 +165,7 @@ def edge_lists(text: Column, lines: Column) -> Column:
 
 
 def emails(text: Column, lines: Column | None = None) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, ""), EMAIL_PROTECTED, "")
+    return F.regexp_replace(F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "")).otherwise(text), EMAIL_PROTECTED, "")
 
 
 def foreign_lines(text: Column, lines: Column, own: str = HANGUL, foreign: str = LATIN) -> Column:

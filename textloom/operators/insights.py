@@ -105,6 +105,13 @@ def usage(workspaces: DataFrame, sources: DataFrame, keywords: DataFrame, conten
     return out.na.fill(0, ["sources", "keywords", "items"])
 
 
+def queue_figures(jobs: DataFrame, now: datetime, last: timedelta = timedelta(hours=1)) -> DataFrame:
+    """One row: waiting, running, mean_wait (seconds from queued to started, 1 place; null if none started), failures of the last hour."""
+    wait = (F.unix_micros("started_at") - F.unix_micros("queued_at")) / 1e6
+    recent = (F.col("status") == "failed") & (F.col("finished_at") >= F.lit(now - last)) & (F.col("finished_at") < F.lit(now))
+    return jobs.agg(F.count_if(F.col("status") == "queued").alias("waiting"), F.count_if(F.col("status") == "running").alias("running"), F.bround(F.avg(wait), 1).alias("mean_wait"), F.count_if(recent).alias("failures"))
+
+
 def popular_keywords(keywords: DataFrame, top: int = 20) -> DataFrame:
     return keywords.groupBy("keyword").agg(F.count_distinct("workspace_id").alias("workspaces"), F.count_distinct("source_id").alias("sources")).orderBy(F.desc("workspaces"), F.desc("sources"), "keyword").limit(top)
 

@@ -1,10 +1,13 @@
 """The content store: versions of Parquet tables with a pointer to the current ones, and changes as functions of frames.
 
-A change never touches stored files: it writes new versions of the tables it alters, and then the pointer, which is what
-makes them current. A run that dies in between leaves the old state.
+A change never touches stored files: it writes new versions of the tables it alters, and then a pointer with the next number;
+the highest one is current. A run that dies in between leaves the old state, and of two that take the same number one fails.
+The functions of frames are the operators; the store itself is kept small on purpose: a change rewrites the tables it alters,
+so at scale one batch of many rows should be a change, not one row.
 """
 
 import json
+import re
 import uuid
 from functools import reduce
 
@@ -15,8 +18,9 @@ from textloom.functions.urls import url_hash
 from textloom.operators.analysis import Settings, best_relevance, judge, keyword_stats, term_counts, text_metrics
 from textloom.operators.clean import cleaned
 from textloom.schema import CONTENT_CHILDREN, assert_unique, schema_of
+from textloom.session import stored as written
 
-POINTER = "current.json"
+POINTERS = "current"
 
 
 class Store:
@@ -25,16 +29,19 @@ class Store:
 
     def _fs(self):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{POINTER}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{POINTERS}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _last(self) -> int:
+        """The number of the last pointer; 0 if there is none."""
+        path, fs = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return max((int(x[: -len(".json")]) for x in names if re.fullmatch(r"\d+\.json", x)), default=0)
+
     def versions(self) -> dict[str, str]:
         """The current version of each table that was ever written."""
-        path, fs = self._fs()
-        if not fs.exists(path):
-            return {}
-        rows = self.spark.read.text(f"{self.root}/{POINTER}").collect()
-        return json.loads(rows[0][0])
+        last = self._last()
+        return json.loads(self.spark.read.text(f"{self.root}/{POINTERS}/{last}.json").first()[0]) if last else {}
 
     def read(self, table: str) -> DataFrame:
         version = self.versions().get(table)
@@ -43,7 +50,7 @@ class Store:
 
     def commit(self, **tables: DataFrame) -> None:
         """Write new versions of the tables, check their keys, then make all current at once."""
-        versions = self.versions()
+        number, versions = self._last() + 1, self.versions()
         for name, df in tables.items():
             version = uuid.uuid4().hex
             own = df.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(name)])
@@ -52,23 +59,31 @@ class Store:
             versions[name] = version
             assert_unique(self.spark.read.schema(schema_of(name)).parquet(f"{self.root}/{name}/{version}"), name)
         path, fs = self._fs()
-        new = path.suffix("-" + uuid.uuid4().hex)
+        new, place = path.suffix("-" + uuid.uuid4().hex), self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{number}.json")
         out = fs.create(new)
         out.write(bytearray(json.dumps(versions).encode()))
         out.close()
-        old = path.suffix("-old")
-        if fs.exists(old):
-            fs.delete(old, False)
-        if fs.exists(path):
-            fs.rename(path, old)
-        fs.rename(new, path)
+        fs.mkdirs(path)
+        # The old pointer stays until the new one is there under the next number, which nobody else may have taken.
+        if fs.exists(place) or not fs.rename(new, place):
+            raise RuntimeError(f"another change was committed as number {number}")
 
 
-def with_ids(rows: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
-    """Ids that go on from the stored ones, in order. rows: one batch of a job, of bounded size."""
-    last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = rows.withColumn("id", F.row_number().over(Window.orderBy(*order)))
-    return numbered.withColumn("_k", F.lit(1)).join(F.broadcast(last.withColumn("_k", F.lit(1))), "_k").withColumn("id", F.col("id") + F.col("last")).drop("_k", "last")
+def with_ids(rows: DataFrame, kept: DataFrame, order: list[str]) -> DataFrame:
+    """Ids that go on from the stored ones, gapless and in order, for any number of rows.
+
+    Rows are sorted by ranges and stored with their range and their place in it; the counts of the ranges, a row for each, say
+    where a range begins. So no task holds all rows.
+    """
+    last = kept.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    spread = rows.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(spread, "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    starts = counts.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_start")).withColumn("_k", F.lit(1)).join(F.broadcast(last.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    found = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return found.withColumn("id", F.col("last") + F.col("_start") + place + 1).drop("_at", "_part", "_start", "last")
 
 
 def new_contents(batch: DataFrame, contents: DataFrame) -> DataFrame:
@@ -92,10 +107,11 @@ def new_hits(candidates: DataFrame, contents: DataFrame, keywords: DataFrame, hi
     return with_ids(once.join(hits.select("content_id", "keyword"), ["content_id", "keyword"], "left_anti"), hits, ["priority", "ordinal"])
 
 
-def save(store: Store, batch: DataFrame, candidates: DataFrame, job: DataFrame) -> dict[str, int]:
-    """One collection: new contents and hits, the job's end, the source's watermark, all or nothing. Saving the same again adds nothing.
+def save(store: Store, batch: DataFrame, candidates: DataFrame, job: DataFrame, responses: DataFrame | None = None) -> dict[str, int]:
+    """One collection: raw responses, new contents and hits, the job's end, the source's watermark, all or nothing. Saving the same again adds nothing.
 
-    job: a row of collection_jobs with its final state.
+    job: a row of collection_jobs with its final state. responses: workspace_id, job_id, keyword, response, created_at; those of a job
+    and keyword that are stored already stay as they are.
     """
     contents, hits, jobs, sources = (store.read(x) for x in ("contents", "content_keyword_hits", "collection_jobs", "sources"))
     fresh = new_contents(batch, contents).persist()
@@ -104,7 +120,12 @@ def save(store: Store, batch: DataFrame, candidates: DataFrame, job: DataFrame)
     latest = batch.groupBy("source_id").agg(F.max("published_at").alias("_latest")).withColumnRenamed("source_id", "id")
     moved = sources.join(latest, "id", "left").withColumn("last_published_at", F.greatest("last_published_at", "_latest")).drop("_latest")
     summary = {"new": fresh.count(), "known": batch.count() - fresh.count(), "new_hits": found.count()}
-    store.commit(contents=all_contents, content_keyword_hits=hits.unionByName(found.select(*hits.columns)), collection_jobs=replaced(jobs, job.select(*jobs.columns), ["id"]), sources=moved.select(*sources.columns))
+    more = {}
+    if responses is not None:
+        raw = store.read("job_api_responses")
+        late = with_ids(responses.join(raw.select("job_id", "keyword"), ["job_id", "keyword"], "left_anti"), raw, ["job_id", "keyword"])
+        more["job_api_responses"] = raw.unionByName(late.select(*raw.columns))
+    store.commit(**more, contents=all_contents, content_keyword_hits=hits.unionByName(found.select(*hits.columns)), collection_jobs=replaced(jobs, job.select(*jobs.columns), ["id"]), sources=moved.select(*sources.columns))
     fresh.unpersist()
     found.unpersist()
     return summary
@@ -174,11 +195,16 @@ def reclean(store: Store, dry_run: bool = False, settings: Settings = Settings()
     return summary
 
 
+def without(children: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows that do not hang on the contents that go. gone: id."""
+    return children.join(gone.select(F.col("id").alias("content_id")), "content_id", "left_anti")
+
+
 def delete_contents(store: Store, workspace_id: str, ids: list[int]) -> None:
     """Contents of the tenant go with all that hangs on them."""
     contents = store.read("contents")
     gone = contents.where((F.col("workspace_id") == workspace_id) & F.col("id").isin(ids)).select("id")
-    children = {x: store.read(x).join(gone.withColumnRenamed("id", "content_id"), "content_id", "left_anti") for x in CONTENT_CHILDREN}
+    children = {x: without(store.read(x), gone) for x in CONTENT_CHILDREN}
     store.commit(contents=contents.join(gone, "id", "left_anti"), **children)
 
 
@@ -221,6 +247,12 @@ def queue_jobs(store: Store, workspace_id: str, source_ids: list[int] | None = N
 TRANSITIONS = {"queued": ("running", "failed"), "running": ("success", "failed"), "success": (), "failed": ()}
 
 
+def partial_error(failed: list[str], skipped: int = 0) -> str | None:
+    """What a successful job tells of keywords that failed and rows that were skipped; None if all went well."""
+    parts = [f"failed: {', '.join(failed)}"] * bool(failed) + [f"skipped: {skipped}"] * bool(skipped)
+    return "; ".join(parts) or None
+
+
 def advance_job(store: Store, job_id: int, status: str, error: str | None = None) -> None:
     """The job's next state. A state that may not follow is refused, so an ended job is not run again."""
     jobs = store.read("collection_jobs")
@@ -285,8 +317,6 @@ def create_source(store: Store, workspace_id: str, name: str, kind: str, config:
 
 def update_source(store: Store, workspace_id: str, source_id: int, **changes) -> bool:
     """False for a source that the tenant does not have. Only EDITABLE columns change; a new config is checked again."""
-    import re
-
     from textloom.sources.feeds import validated_config
 
     if unknown := set(changes) - set(EDITABLE):

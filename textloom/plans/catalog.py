@@ -360,27 +360,27 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOREIGN = analysis.Settings(pos_range="foreign")
 
 
-def placed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term_counts with each document's rows in one partition: what follows needs no further shuffle by document."""
-    return analysis.term_counts(table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id"), "doc_id", "text")
-
-
 @query(f"with {SQL_RUNS} select doc_id, rank::int as rank, term, pos, count, share from rk where rank <= 15")
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.top_words(term_counts(spark, sf_dir), "doc_id", FOREIGN)
+    return analysis.document_words(table(spark, sf_dir, "documents"), "doc_id", "text", FOREIGN).where(F.col("rank") <= FOREIGN.top_n)
+
+
+@query(f"with {SQL_RUNS}, s as (select *, row_number() over (partition by doc_id order by count desc, term, pos) as place, round_even(count * 100.0::double / sum(count) over (partition by doc_id), 1) as part from tc where lower(term) not in ('the', 'der')) select doc_id, place::int as rank, term, count, part as share from s where place <= 15")
+def top_words_without_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored terms: stop words leave both the words and the denominator."""
+    stop = spark.createDataFrame([(w,) for x in ("the", "der") for w in (x, x.capitalize(), x.upper())], "word string")
+    return analysis.top_words(term_counts(spark, sf_dir), "doc_id", FOREIGN, stop).select("doc_id", "rank", "term", "count", "share")
 
 
-@query(f"with {SQL_RUNS}, g as (select term as word, count(distinct doc_id) as docs, round_even(avg(share), 2) as mean_share from rk where rank <= 15 group by term) select *, case when mean_share >= 5 then 'center' else 'background' end as kind from g order by docs desc, word limit 8")
+@query(f"with {SQL_RUNS}, g as (select term as word, count(distinct doc_id) as docs, round_even(avg(share), 2) as mean_share from rk group by term) select *, case when mean_share >= 5 then 'center' else 'background' end as kind from g order by docs desc, word limit 8")
 def core_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all terms; the SQL beside it still counts the top words alone."""
-    return insights.core_words(analysis.term_shares(placed_terms(spark, sf_dir), "doc_id", FOREIGN), "doc_id")
+    return insights.core_words(analysis.document_words(table(spark, sf_dir, "documents"), "doc_id", "text", FOREIGN), "doc_id")
 
 
-@query(f"with {SQL_RUNS}, h as (select doc_id from documents where regexp_matches(coalesce(text, ''), '(?i)der')) select term as word, count(distinct doc_id) as docs from rk where rank <= 15 and term <> 'der' and doc_id in (select doc_id from h) group by term order by docs desc, word limit 20")
+@query(f"with {SQL_RUNS}, h as (select doc_id from documents where regexp_matches(coalesce(text, ''), '(?i)der')) select term as word, count(distinct doc_id) as docs from rk where term <> 'der' and doc_id in (select doc_id from h) group by term order by docs desc, word limit 20")
 def related_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all terms; the SQL beside it still counts the top words alone."""
     hits = keyword_rows(spark, sf_dir).where("mentions > 0").select(F.col("doc_id").alias("content_id"), "keyword")
-    return insights.related_words(hits, placed_terms(spark, sf_dir).withColumnRenamed("doc_id", "content_id"), "der")
+    return insights.related_words(hits, term_counts(spark, sf_dir).withColumnRenamed("doc_id", "content_id"), "der")
 
 
 # Lists.

@@ -1,6 +1,11 @@
-"""The Spark session that the engine expects."""
+"""The Spark session that the engine expects, and tables of intermediate results."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+SCRATCH_SETTING = "spark.checkpoint.dir"
 
 
 def session(name: str = "textloom", master: str | None = None, **settings: str) -> SparkSession:
@@ -16,3 +21,25 @@ def session(name: str = "textloom", master: str | None = None, **settings: str)
     if master:
         builder = builder.master(master)
     return builder.config(map=base | settings).getOrCreate()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that all executors share. Where the session names none, a new temporary one in local mode; a cluster has to name one."""
+    root = spark.conf.get(SCRATCH_SETTING, None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SCRATCH_SETTING} to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
+        spark.conf.set(SCRATCH_SETTING, root)
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: the plan behind it runs once, and lost executors cost nothing."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
