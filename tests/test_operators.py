@@ -150,8 +150,9 @@ def test_html(spark):
     assert spark.createDataFrame([("가나다".encode("cp949"),)], "b binary").select(html.decoded("b")).first()[0] == "가나다"
 
 
-def test_board(spark):
-    found = [(r["title"], r["published"]) for r in catalog.board_groups(spark, "").collect()]
+def test_board(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.kr/", '<a href="/about">Über uns</a>'), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = [(r["title"], r["published"]) for r in catalog.board_groups(spark, str(tmp_path)).collect()]
     assert ("대회 결과 안내", "2026-09-26T14:32:00+09:00") in found
     pages = spark.createDataFrame([(1, catalog.BOARD, "https://b.example/list")], "page int, html string, base string")
     groups = html.candidate_groups(pages, "page", "html", "base")
@@ -210,3 +211,45 @@ def test_words_beyond_the_top_count(spark, tmp_path):
     related = [(r["word"], r["docs"]) for r in catalog.related_words(spark, str(tmp_path)).collect()]
     assert related[:2] == [("zz", 3), ("qaa", 1)]
     assert len(related) == 20
+
+
+def test_long_chains(spark):
+    """Rows that share a URL with the row before and a title with the row behind: no number of rounds is too many."""
+    rows = [(i, f"u{i // 2}", f"t{(i + 1) // 2}") for i in range(1000)] + [(2000, "u1", ""), (2001, None, None), (2002, "", "t0")]
+    df = spark.createDataFrame(rows, "o int, u string, t string")
+    want = fold([(o, u or "", t or "") for o, u, t in rows])
+    assert sorted(r["o"] for r in dedup.dedup_two_keys(df, "o", "u", "t").collect()) == want
+    short = df.where("o < 24 or o >= 2000")
+    want = fold([(o, u or "", t or "") for o, u, t in rows if o < 24 or o >= 2000])
+    # Groups that are too large for a fold go through rounds.
+    assert sorted(r["o"] for r in dedup.dedup_two_keys(short, "o", "u", "t", 1, 5).collect()) == want
+
+
+def test_words_within_the_row(spark):
+    """The same words, places and shares as from stored terms."""
+    texts = [(1, "b a b 가나 가나 b c1 D d"), (2, ""), (3, None), (4, "x")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    for denom in ("content", "noun"):
+        own = analysis.Settings(pos_range="foreign", denom=denom, top_n=100)
+        stored = analysis.top_words(analysis.term_counts(df, "id", "text"), "id", own)
+        found = analysis.document_words(df, "id", "text", own)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stored.select(*found.columns).collect()))
+    assert {r["term"]: r["count"] for r in analysis.term_counts(df, "id", "text").where("id = 1").collect()} == {"b": 3, "a": 1, "가나": 2, "c": 1, "D": 1, "d": 1}
+
+
+def test_charsets(spark):
+    pages = [("한글 문서입니다 가나다라마바사".encode("cp949"), "한글 문서입니다 가나다라마바사"), ("한글".encode(), "한글"), (b"plain", "plain"), (None, None)]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "i int, p binary")
+    assert [r["t"] for r in df.select("i", html.decoded(F.col("p")).alias("t")).orderBy("i").collect()] == [t for _, t in pages]
+
+
+def test_clashing_rows_of_a_view(spark):
+    from datetime import date as day
+
+    contents = spark.createDataFrame([(1, "Alpha", None, datetime(2026, 9, 25, 16)), (2, "b", "alpha", datetime(2026, 9, 20)), (3, "c", "d", datetime(2026, 9, 26))], "id int, title string, summary string, collected_at timestamp")
+    verdicts = spark.createDataFrame([(1, "passing"), (3, "main")], "content_id int, relevance string")
+    show = lambda **k: {r["id"]: r["dimmed"] for r in search.view(contents, verdicts, day(2026, 9, 26), **k).collect()}
+    assert show() == {1: True, 2: False, 3: False}
+    assert show(days=1) == {1: True, 3: False}
+    assert show(text="ALPHA", passing_mode="show") == {1: False, 2: False}
+    assert show(passing_mode="hide") == {2: False, 3: False}

@@ -118,9 +118,12 @@ def document_words(df: DataFrame, id_col: str, text_col: str, settings: Settings
     ranked = counted.select(id_col, F.sort_array(F.transform(kept, lambda t: F.struct((-t["count"]).alias("less"), t["term"].alias("term"), t["pos"].alias("pos")))).alias("_w"))
     for_total = NOUNS if settings.denom == "noun" else allowed
     total = F.aggregate(F.filter("_w", lambda w: w["pos"].isin(*for_total)), F.lit(0).cast("long"), lambda a, w: a - w["less"])
-    each = ranked.select(id_col, total.alias("_total"), F.posexplode_outer("_w").alias("_place", "w")).where("w is not null")
-    share = F.when(F.col("_total") > 0, F.bround(-F.col("w.less") * 100 / F.col("_total"), 1)).otherwise(0.0)
-    return each.select(id_col, (F.col("_place") + 1).alias("rank"), "w.term", "w.pos", (-F.col("w.less")).alias("count"), share.alias("share"))
+    share = lambda w, s: F.when(s["total"] > 0, F.bround(-w["less"] * 100 / s["total"], 1)).otherwise(0.0)
+    row = lambda s: F.transform(s["words"], lambda w: F.struct(w["term"].alias("term"), w["pos"].alias("pos"), (-w["less"]).alias("count"), share(w, s).alias("share")))
+    # An array of one gives the total a name within the row: a column of its own would be computed for each word.
+    words = ranked.select(id_col, F.transform(F.array(F.struct(total.alias("total"), F.col("_w").alias("words"))), row)[0].alias("_words"))
+    each = words.select(id_col, F.posexplode_outer("_words").alias("_place", "w")).where("w is not null")
+    return each.select(id_col, (F.col("_place") + 1).alias("rank"), "w.term", "w.pos", "w.count", "w.share")
 
 
 def term_shares(terms: DataFrame, id_col: str, settings: Settings = Settings(), stopwords: DataFrame | None = None) -> DataFrame:

@@ -37,10 +37,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from textloom.plans import library  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from textloom.plans import library  # noqa: F401
+
     return dict(ORACLE)
 
 
@@ -248,11 +252,6 @@ def known_urls_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(keyed.where(F.col("url").contains("?")).select("canonical"), "canonical", "left_semi").select("page_id", "canonical")
 
 
-@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
-def unanalyzed_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
 # Keywords.
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and keyword, with mentions, density and verdict."""
@@ -306,21 +305,6 @@ def hide_passing_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.without_passing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), verdicts(spark, sf_dir))
 
 
-@query(f"with {STATS} select doc_id, keyword from s where mentions > 0 and doc_id in (select doc_id from labels) and not (doc_id in (select doc_id from labels where quality = 1) and keyword = 'the')")
-def hits_without_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of labelled documents, but those of good ones for one keyword, which have their numbers."""
-    hits = keyword_rows(spark, sf_dir).where("mentions > 0").select("doc_id", "keyword")
-    labels = table(spark, sf_dir, "labels")
-    have = labels.where("quality = 1").select("doc_id", F.lit("the").alias("keyword"))
-    return hits.join(labels.select("doc_id"), "doc_id", "left_semi").join(have, ["doc_id", "keyword"], "left_anti")
-
-
-@query(f"with {STATS} select keyword, title_has, min(doc_id) as doc_id from s where mentions > 0 group by all")
-def first_hit_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = keyword_rows(spark, sf_dir).where("mentions > 0").select("doc_id", "keyword", "title_has")
-    return dedup.first_per_key(hits, ["keyword", "title_has"], "doc_id")
-
-
 @query(f"""with {STATS} select keyword, count(*) as docs, round_even(count(*) filter (where relevance = 'main') * 100.0::double / count(*), 1) as main, round_even(count(*) filter (where relevance = 'partial') * 100.0::double / count(*), 1) as partial,
     round_even(count(*) filter (where relevance = 'passing') * 100.0::double / count(*), 1) as passing, round_even(count(*) filter (where relevance = 'passing') * 100.0::double / count(*), 1) >= 50 as warn from s group by keyword""")
 def keyword_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,16 +375,6 @@ def content_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.paged(search.ordered(found, "n_chars", id_col="doc_id"), 2, 20)
 
 
-@query(r"""with p as (select * from documents order by n_chars desc nulls last, doc_id desc limit 20)
-    select p.doc_id, p.source, l.quality, trim(regexp_replace(substr(coalesce(p.text, ''), 1, 120), '\s+', ' ', 'g')) as excerpt from p left join labels l using (doc_id)""")
-def list_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    page = search.paged(search.ordered(docs.select("doc_id", "source", "n_chars"), "n_chars", id_col="doc_id"), 1, 20)
-    texts = docs.join(F.broadcast(page.select("doc_id")), "doc_id", "left_semi").select("doc_id", excerpt(F.col("text")).alias("excerpt"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return F.broadcast(page).join(labels.join(F.broadcast(page.select("doc_id")), "doc_id", "left_semi"), "doc_id", "left").join(texts, "doc_id", "left").select("doc_id", "source", "quality", "excerpt")
-
-
 # Days, jobs.
 SQL_DAY = "(ts + interval 9 hour)::date"
 
@@ -452,14 +426,6 @@ def zero3_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.empty_runs(jobs(spark, sf_dir), "source_id", F.desc("id"), "collected_count")
 
 
-@query(f"with {SQL_JOBS} select id, status, coalesce(c_name, '') as source_name from (select * from j order by id desc limit 100) x left join customer on c_custkey = source_id")
-def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest jobs with their source's name; customers stand for sources."""
-    top = jobs(spark, sf_dir).orderBy(F.desc("id")).limit(100)
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("source_name"))
-    return F.broadcast(top).join(names.join(F.broadcast(top.select("source_id").distinct()), "source_id", "left_semi"), "source_id", "left").select("id", "status", F.coalesce("source_name", F.lit("")).alias("source_name"))
-
-
 @query("""with r as (select event_type, count(*) filter (where ts >= timestamp '2024-01-24') as recent, count(*) filter (where ts < timestamp '2024-01-24') / 4.0::double as weekly_mean
     from events where ts >= timestamp '2023-12-27' and ts < timestamp '2024-01-31' group by event_type) select event_type, recent, weekly_mean, case when weekly_mean > 0 then round_even(recent / weekly_mean, 2) end as ratio from r""")
 def rising_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,22 +437,7 @@ def recent_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.latest_per_group(events(spark, sf_dir), "event_type", [F.desc("ts"), F.desc("event_id")]).select("event_type", "event_id", "place")
 
 
-@query("select event_id, event_type, value from events where user_id = 7")
-def tenant_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("user_id") == 7).select("event_id", "event_type", "value")
-
-
-@query("select user_id, count(*) as items, max(ts) as last_activity, count(distinct event_type) as kinds from events group by user_id")
-def tenant_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("items"), F.max("ts").alias("last_activity"), F.count_distinct("event_type").alias("kinds"))
-
-
 # Changes of stored rows.
-@query("select doc_id, quality, toxic from labels where doc_id not in (select doc_id from documents where source = 'src0')")
-def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels that stay when the documents of a source go."""
-    gone = table(spark, sf_dir, "documents").where("source = 'src0'").select("doc_id")
-    return table(spark, sf_dir, "labels").join(gone, "doc_id", "left_anti").select("doc_id", "quality", "toxic")
 
 
 @query("select doc_id, coalesce(l.quality, -1) as quality from (select doc_id from documents where lang = 'fr') d left join labels l using (doc_id) union all select doc_id, quality from labels where doc_id not in (select doc_id from documents where lang = 'fr')")
@@ -543,8 +494,9 @@ BOARD = """<html><body><header><a href="/menu?id=1">Menu</a></header><table>
 @query("""select * from (values ('대회 결과 안내', 'https://b.example/view?no=103', '2026-09-26T14:32:00+09:00'), ('승단 심사 일정', 'https://b.example/view?no=102', '2026-09-25T00:00:00+09:00'),
     ('도장 이전 알림', 'https://b.example/view?no=101', '2025-12-01T00:00:00+09:00')) as t(title, url, published)""")
 def board_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The posts that are found on a board's page without selectors, notices left out."""
-    pages = spark.createDataFrame([(1, BOARD, "https://b.example/list")], "page_id int, html string, base string")
+    """The posts that are found on pages without selectors, notices left out: over all pages, and a board's beside them, as no link of the others has a number."""
+    board = spark.createDataFrame([(-1, BOARD, "https://b.example/list")], "page_id long, html string, base string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.col("url").alias("base")).unionByName(board)
     groups = html.candidate_groups(pages, "page_id", "html", "base")
     found = html.posts(groups, F.lit(datetime(2026, 9, 26, 3, 0)).cast("timestamp"), exclude_notice=True)
     return found.select("title", "url", display_iso(F.col("published")).alias("published"))

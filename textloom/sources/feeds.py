@@ -100,11 +100,11 @@ def url_list(spark: SparkSession, urls: list[str]) -> DataFrame:
     return ordered.select(F.col("x.url").alias("url"), (F.col("pos") + 1).alias("rank"))
 
 
-def words_from_text(rows: DataFrame, column: str) -> DataFrame:
-    """word, pos of pasted text: split at line ends; a second cell counts as part of speech if it is one."""
-    lines = rows.select(F.explode(F.split(column, "\n")).alias("line"))
-    cells = lines.select(F.transform(F.split("line", ","), strip).alias("c"))
-    return cells.select(F.col("c")[0].alias("word"), F.when(F.try_element_at("c", F.lit(2)).rlike("^NN[PG]$"), F.try_element_at("c", F.lit(2))).alias("pos")).where("word <> ''")
+def words_from_text(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """word, pos and the columns to keep, of pasted text: split at line ends; a second cell counts as part of speech if it is one."""
+    lines = rows.select(*keep, F.explode(F.split(column, "\n")).alias("line"))
+    cells = lines.select(*keep, F.transform(F.split("line", ","), strip).alias("c"))
+    return cells.select(*keep, F.col("c")[0].alias("word"), F.when(F.try_element_at("c", F.lit(2)).rlike("^NN[PG]$"), F.try_element_at("c", F.lit(2))).alias("pos")).where("word <> ''")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
