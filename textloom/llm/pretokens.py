@@ -1,11 +1,17 @@
 """Token ids of whole texts by the tokenizers library, with caches of words in each worker.
 
-For word_bpe_49k.json white space never is part of a token, and its pattern splits a run of letters from the marks behind
-it. So the ids of a text are those of its chunks between spaces and line ends, one after the other, and a chunk of Latin
-letters and plain marks has the ids of both. Any other chunk goes to the library whole. Tests compare the result with that
-of the library for whole texts. Every id comes from the library; nothing is cut, filled up or left out.
+Some tokenizer files drop white space, so that it never is part of a token, and split a run of letters from the marks behind
+it. With these the ids of a text are those of its chunks between spaces and line ends, one after the other, and a chunk of
+Latin letters and plain marks has the ids of both. Any other chunk goes to the library whole. A file is known for one of
+these by its normaliser, its pattern and its mark of word ends, which are read when it is loaded; with any other file, whole
+texts go to the library. Tests compare the results with those of the library for whole texts. Every id comes from the
+library; nothing is cut, filled up or left out.
+
+Defined cases: a null text is an empty one, without ids; an empty list gives none; words over LONGEST_WORD characters are
+encoded and not kept.
 """
 
+import json
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,6 +27,21 @@ LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 MARKS = ".,;:!?*$%&#"
 
 
+# Fixed values of the file format: the parts of a tokenizer that drops white space and splits letters from marks.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+WORD_END = "</w>"
+
+
+def drops_space(parts: dict) -> bool:
+    """Whether a tokenizer file's chunks between spaces can be encoded one by one. Added tokens must hold no white space and no letter apart from marks of their own."""
+    added = all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not x["single_word"] and x["content"].startswith("<|") and not any(c.isspace() for c in x["content"]) for x in parts["added_tokens"])
+    model = parts["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == WORD_END and not model.get("continuing_subword_prefix") and not model.get("dropout")
+    return added and plain and parts["normalizer"] == NORMALISER and parts["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+
+
 @cache
 def tokenizer(path: str) -> Tokenizer:
     found = Tokenizer.from_file(path)
@@ -61,9 +82,10 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
+        self.chunked = drops_space(json.loads(self.library.to_str()))
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.ends[[i for word, i in vocabulary.items() if word.endswith(WORD_END)]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -120,6 +142,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts as 32-bit numbers, and where each text's begin (one more entry than texts)."""
+        if not self.chunked:
+            whole = self._ids([t or "" for t in texts])
+            return np.frombuffer(b"".join(whole), np.uint32), np.concatenate([[0], np.cumsum([len(x) // 4 for x in whole])]).astype(np.int64)
         distinct, codes, offsets = chunks(texts)
         ids = self.of_chunks(distinct)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

@@ -15,7 +15,8 @@ ascending (shard, block) order, documents within them in ascending id order:
     prints            a 32-bit fingerprint for each number that the hash gives
     places, repeats   for each number: the key's first document in the block, and how many documents have that id
 
-A look-up hashes the id, compares the fingerprint and slices the payload; no key is searched for.
+A look-up hashes the id, compares the fingerprint, then the id of the document that it leads to, and slices the payload; no
+key is searched for.
 
 Defined cases: a null text is an empty one; a null id is kept as the smallest 64-bit number (so it comes first and that
 number itself may not be used); rows that share an id all stay, in the order of their texts' hashes; an empty table gives an
@@ -67,6 +68,8 @@ class Block:
         self.prints, self.places, self.repeats = (np.frombuffer(row[x], np.uint32) for x in ("prints", "places", "repeats"))
         self.bounds, self.payload = np.frombuffer(row["bounds"], np.int64), np.frombuffer(row["payload"], "<u2" if row["width"] == 2 else "<u4")
         self.keys = np.frombuffer(row["keys"], np.int64)
+        # The id of each document: a number of repeats for each key, in the order of ids.
+        self.ids = np.repeat(self.keys, self.repeats[self.index.find(self.keys.view(np.uint64))])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first document of each key, -1 if the block has none, and how many documents have it."""
@@ -75,6 +78,9 @@ class Block:
         ok[ok] = self.prints[at[ok]] == prints_of(keys[ok])
         first, many = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         first[ok], many[ok] = self.places[at[ok]], self.repeats[at[ok]]
+        # An absent id may have the fingerprint of another: the documents' own ids decide.
+        other = ok & (self.ids[np.maximum(first, 0)] != keys)
+        first[other], many[other] = -1, 0
         return first, many
 
     def ids_of(self, document: int) -> np.ndarray:
