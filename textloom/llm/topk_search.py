@@ -8,9 +8,11 @@ are probed in the other lists, in the order of their bounds, while their score c
 for each query, and these are merged.
 
 Vectors are packed into shards of at most SHARD_VECTORS where they lie; blocks of at most QUERY_BLOCK queries go to every
-group of shards once. Nothing else is paired.
+group of shards once. Nothing else is paired. Where the largest components of a query and a shard show that no sum can leave
+64 bits, sums are taken in 64 bits, else in whole numbers of any size.
 
 Defined cases: a vector that is null or holds null or non-finite components takes no part, nor does a row without an id;
+scores are compared as they are, and one that does not fit into 64 bits is given as the nearest number that does;
 shorter vectors are filled up with zeros; of queries that share an id the one with the least vector counts, while candidates
 that share an id count each; a query's own rows are those with its id; an empty table gives no rows.
 """
@@ -24,24 +26,48 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import by_name, stored
+from textloom.llm.common import by_name, shuffle_partitions, stored
 
-SHARD_VECTORS = 8192
+SHARD_VECTORS = 2048
 QUERY_BLOCK = 512
 SEEDS = 32
 
 
+#: Sums stay below this where 64 bits are enough.
+SAFE = 1 << 62
+LONG = np.iinfo(np.int64)
+
+
 def packed(ids: np.ndarray, vectors: np.ndarray) -> bytes:
-    return struct.pack("<II", *vectors.shape) + ids.astype("<i8").tobytes() + vectors.astype("<i4").tobytes()
+    """vectors: whole numbers, as 64-bit integers, or as doubles where some are larger."""
+    return struct.pack("<IIc", *vectors.shape, b"i" if vectors.dtype == np.int64 else b"f") + ids.astype("<i8").tobytes() + vectors.tobytes()
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, width = struct.unpack_from("<II", data)
-    return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i4", n * width, 8 + 8 * n).reshape(n, width)
+    n, width, kind = struct.unpack_from("<IIc", data)
+    return np.frombuffer(data, "<i8", n, 9), np.frombuffer(data, "<i8" if kind == b"i" else "<f8", n * width, 9 + 8 * n).reshape(n, width)
+
+
+def whole(vectors: np.ndarray) -> np.ndarray:
+    """As 64-bit integers, or as Python's integers where some are larger."""
+    if vectors.dtype == np.int64:
+        return vectors
+    out = np.empty(vectors.shape, object)
+    out.reshape(-1)[:] = [int(x) for x in vectors.reshape(-1).tolist()]
+    return out
+
+
+def largest(x: np.ndarray) -> int:
+    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0)))) if x.size else 0
+
+
+def kth(values: np.ndarray, k: int):
+    """The k-th largest."""
+    return sorted(values.tolist())[-k] if values.dtype == object else np.partition(values, len(values) - k)[len(values) - k]
 
 
 def packs(rows: DataFrame, most: int) -> DataFrame:
-    """number, pack: rows (id, vector as array of long) in packs of at most `most`."""
+    """number, pack: rows (id, vector as array of whole numbers, long or double) in packs of at most `most`."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -50,8 +76,11 @@ def packs(rows: DataFrame, most: int) -> DataFrame:
                 part = batch.slice(start, most)
                 ids, lists = part.column(0).to_numpy(), part.column(1)
                 lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-                vectors = np.zeros((len(ids), int(lengths.max(initial=1))), np.int64)
-                vectors[np.arange(vectors.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy()
+                numbers = lists.flatten().to_numpy(zero_copy_only=False)
+                if numbers.dtype != np.int64 and np.abs(numbers).max(initial=0) < 2.0**62:
+                    numbers = numbers.astype(np.int64)
+                vectors = np.zeros((len(ids), int(lengths.max(initial=1))), numbers.dtype)
+                vectors[np.arange(vectors.shape[1]) < lengths[:, None]] = numbers
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed(ids, vectors)], pa.binary())], ["number", "pack"])
                 number += 1
 
@@ -61,30 +90,40 @@ def packs(rows: DataFrame, most: int) -> DataFrame:
 class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.int64)
+        self.ids, self.given, self.exact = ids[order], vectors[order], None
+        self.vectors = whole(self.given)
+        self.most = largest(self.vectors)
         self.columns = np.ascontiguousarray(self.vectors.T)
         self.lists = {}
-        for t, column in enumerate(self.columns):
+        for t, (column, size) in enumerate(zip(self.columns, np.abs(self.given.astype(float)).T, strict=True)):
             for sign in (1, -1):
                 at = np.flatnonzero(column * sign > 0)
                 if len(at):
                     # The strongest impacts come first: they give a query its first scores.
-                    strong = at[np.argpartition(-np.abs(column[at]), min(SEEDS, len(at)) - 1)[:SEEDS]]
-                    self.lists[t, sign] = at, column[at], int(np.abs(column[at]).max()), strong
+                    strong = at[np.argpartition(-size[at], min(SEEDS, len(at)) - 1)[:SEEDS]]
+                    self.lists[t, sign] = at, column[at], largest(column[at]), strong
+
+    def wide(self) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors and columns as integers of any size."""
+        if self.exact is None:
+            self.exact = self.vectors.astype(object), self.columns.astype(object)
+        return self.exact
 
     def best(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, ties to the smaller id."""
         width = min(len(query), len(self.columns))
-        query = query[:width].astype(np.int64)
+        query, vectors, columns = whole(query[:width]), self.vectors, self.columns
+        if largest(query) * self.most * width >= SAFE:
+            query, (vectors, columns) = query.astype(object), self.wide()
         terms = [(abs(int(q)) * found[2], t, found) for t, q in enumerate(query.tolist()) if q and (found := self.lists.get((t, 1 if q > 0 else -1)))]
         terms.sort(key=lambda x: (-x[0], x[1]))
-        bounds = np.array([x[0] for x in terms], np.int64)
+        bounds = np.array([x[0] for x in terms], query.dtype)
         # rest[i]: what the lists from i on can add at most.
         rest = np.concatenate([np.cumsum(bounds[::-1])[::-1], [0]])
         seeds = np.unique(np.concatenate([x[2][3] for x in terms[:4]])) if terms else np.empty(0, np.int64)
         seeds = seeds[self.ids[seeds] != own_id]
-        scores = self.vectors[seeds][:, :width] @ query
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else None
+        scores = vectors[seeds][:, :width] @ query
+        least = kth(scores, k) if len(scores) >= k else None
         essential = len(terms)
         if least is not None:
             # An equal score may still win by its id, so only bounds below the least one make lists non-essential.
@@ -99,32 +138,35 @@ class Shard:
                 met[found[0]] = True
             candidates = np.flatnonzero(met)
         candidates = candidates[self.ids[candidates] != own_id]
-        totals = np.zeros(len(candidates), np.int64)
+        totals = np.zeros(len(candidates), query.dtype)
         # Components where lists of the other sign only lower the score come with their own component, in the order of bounds.
         order = [t for _, t, _ in terms] + sorted(set(np.flatnonzero(query).tolist()) - {t for _, t, _ in terms})
         step = 8
         for i in range(0, len(order), step):
             some = order[i : i + step]
-            totals += (query[some] @ self.columns[some][:, candidates]) if len(candidates) * 4 > len(self.ids) else query[some] @ self.columns[np.ix_(some, candidates)]
+            totals = totals + (query[some] @ columns[some][:, candidates] if len(candidates) * 4 > len(self.ids) else query[some] @ columns[np.ix_(some, candidates)])
             if least is not None:
-                able = totals + rest[min(i + step, len(terms))] >= least
+                able = (totals + rest[min(i + step, len(terms))] >= least).astype(bool)
                 if not able.all():
                     candidates, totals = candidates[able], totals[able]
         if len(totals) > k:
-            kth = np.partition(totals, len(totals) - k)[len(totals) - k]
-            candidates, totals = candidates[totals >= kth], totals[totals >= kth]
-        first = np.lexsort([self.ids[candidates], -totals])[:k]
+            enough = (totals >= kth(totals, k)).astype(bool)
+            candidates, totals = candidates[enough], totals[enough]
+        first = np.array(sorted(range(len(totals)), key=lambda i: (-totals[i], self.ids[candidates[i]]))[:k], np.int64)
         return self.ids[candidates[first]], totals[first]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "vector", shard_vectors: int = SHARD_VECTORS, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score. vector_col: array of whole numbers; is_query: a condition on the column `id`."""
+    """query_id, rank (from 1), vec_id, score. vector_col: array of whole numbers, long or double; is_query: a condition on the column `id`."""
     rows = by_name(vectors, id=id_col, vector=vector_col).where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
     shards = stored(packs(rows, shard_vectors), "vectors")
     groups = max(1, shards.count())
     queries = packs(rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector")), query_block)
-    sent = queries.select(F.col("pack").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("of"))
-    pairs = shards.select("number", "pack", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int").alias("group")).join(sent, F.col("group") == F.col("of")).select("number", "pack", "queries")
+    # A number of partitions that is given is kept: small packs take much work.
+    parts = min(groups, shuffle_partitions(vectors.sparkSession))
+    sent = queries.select(F.col("pack").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("of")).repartition(parts, "of")
+    own = shards.select("number", "pack", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int").alias("group")).repartition(parts, "group")
+    pairs = own.join(sent, F.col("group") == F.col("of")).select("number", "pack", "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = None, None
@@ -138,15 +180,30 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
                     ids, totals = shard.best(int(own), query, k)
                     query_ids.append(np.full(len(ids), own))
                     found_ids.append(ids)
-                    scores.append(totals)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.empty(0)]).astype(np.int64)) for x in (query_ids, found_ids, scores)], ["query_id", "vec_id", "score"])
+                    scores += totals.tolist()
+                ids, near = (pa.array(np.concatenate(x or [np.empty(0)]).astype(np.int64)) for x in (query_ids, found_ids))
+                fitting = pa.array([min(max(x, LONG.min), LONG.max) for x in scores], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, near, fitting, pa.array([place_of(x) for x in scores], pa.string())], ["query_id", "vec_id", "score", "place"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long, place string")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("place"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def place_of(score: int) -> str:
+    """Orders scores beyond 64 bits among each other and around all others, as text."""
+    if LONG.min <= score <= LONG.max:
+        return "1"
+    digits = f"{abs(score):0700d}"
+    return "2" + digits if score > 0 else "0" + digits.translate(NINES)
+
+
+NINES = str.maketrans("0123456789", "9876543210")
+
+
 def whole_numbers(vector: Column, factor: int) -> Column:
-    """floor(factor * x) of each component, as double; null for a vector with a null or non-finite component."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * factor)))
+    """floor(factor * x) of each component, taken in double and kept as one; null for a vector with a null or non-finite component."""
+    scaled = F.transform(vector, lambda x: x.cast("double") * factor)
+    bad = F.exists(scaled, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # floor gives whole numbers of 64 bits; doubles from 2**53 on are whole already.
+    return F.when(~bad, F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)))
