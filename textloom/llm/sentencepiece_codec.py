@@ -2,8 +2,10 @@
 
 The model file's protobuf is read here, and its normaliser, white-space marker, pieces with their scores and byte fallback
 are rebuilt as a tokenizer of that library: unigram models by their scores, BPE models by merges in the order of the scores.
-Ids are those of the sentencepiece library: each new chunk of text is encoded by both, and where they differ, sentencepiece
-decides and the difference is counted.
+Parity is verified: each new chunk of text is encoded by the sentencepiece library too, and the column n_different tells in how
+many of a document's chunks the rebuilt tokenizer's ids were not the same; there, sentencepiece's ids stand. Ids are decoded
+through a table of the pieces' bytes, which is held against the rebuilt tokenizer's own decoder and the sentencepiece library
+for every piece when a model is loaded; a model for which they differ is refused.
 
 Where no piece joins a letter to a marker behind it, and the normaliser leaves texts alone, a text's ids are those of its
 chunks between single spaces, and workers keep chunks' ids; other texts go through the library whole.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from textloom.llm.common import by_name
+from textloom.llm.common import by_name, released
 from textloom.llm.pretokens import LONGEST_WORD, batches_of, gathered
 
 MARK = "▁"
@@ -121,22 +123,30 @@ class Codec:
         self.model = parsed(data)
         self.library = rebuilt(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.differences = 0
+        #: Chunks for which the rebuilt tokenizer was wrong.
+        self.different: set[str] = set()
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         joins = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED))
         self.chunked = self.model.dummy_prefix and not (joins or self.model.charsmap or self.model.trims or any(kind == USER_DEFINED for _, _, kind in self.model.pieces))
+        self._compare_decoders()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _compare_decoders(self) -> None:
+        """Every piece behind another one, as the first loses its space."""
+        ids = [i for i, (_, _, kind) in enumerate(self.model.pieces) if kind in (NORMAL, USER_DEFINED, BYTE)]
+        pairs = [[ids[-1], i] for i in ids]
+        for pair, own, other in zip(pairs, self.library.decode_batch(pairs, skip_special_tokens=False), self.other.decode(pairs), strict=True):
+            if not own == other == self.decode(np.array(pair)):
+                raise ValueError(f"the rebuilt decoder differs for the pieces {pair}: {own!r}, {other!r}")
+
     def checked(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by the rebuilt tokenizer, held against sentencepiece; some at a time, as encodings are large."""
         out = []
         for some in batches_of(texts, 2_000, 500_000):
-            for found, right in zip(self.library.encode_batch_fast(some, add_special_tokens=False), self.other.encode(some), strict=True):
-                ids = found.ids
-                if ids != right:
-                    self.differences += 1
-                    ids = right
+            for text, found, ids in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), self.other.encode(some), strict=True):
+                if found.ids != ids:
+                    self.different.add(text)
                 out.append(np.array(ids, np.uint32).tobytes())
         return out
 
@@ -153,22 +163,26 @@ class Codec:
                 del self.known[x]
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's begin (one more entry than texts)."""
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each text's begin (one more entry than texts), and the number of each text's chunks that differ."""
         column = pc.fill_null(pa.array(texts, pa.large_string()), "")
         whole = pc.match_substring_regex(column, f"^ | $|  |{MARK}") if self.chunked else pa.array([True] * len(texts))
         # A text that goes through whole stands as one chunk, told apart by a space before it.
         parts = pc.split_pattern(pc.if_else(whole, "", column), " ")
         coded = parts.values.dictionary_encode()
         codes, offsets = coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy()
-        ids = self.of_chunks(coded.dictionary.to_pylist())
+        distinct = coded.dictionary.to_pylist()
+        ids = self.of_chunks(distinct)
         if len(apart := np.flatnonzero(whole.to_numpy(zero_copy_only=False))):
             codes = codes.copy()
             codes[offsets[apart]] = len(ids) + np.arange(len(apart))
-            ids += self.checked([texts[i] or "" for i in apart])
+            rest = [texts[i] or "" for i in apart]
+            ids += self.checked(rest)
+            distinct += rest
+        wrong = np.fromiter((x in self.different for x in distinct), np.int64, len(distinct)) if self.different else np.zeros(len(distinct), np.int64)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         counts = np.concatenate([[0], np.cumsum(lengths[codes])])
-        return gathered(np.frombuffer(b"".join(ids), np.uint32), lengths, codes), counts[offsets]
+        return gathered(np.frombuffer(b"".join(ids), np.uint32), lengths, codes), counts[offsets], np.diff(np.concatenate([[0], np.cumsum(wrong[codes])])[offsets])
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -182,11 +196,11 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ids, n_pieces, n_bytes_pieces (by byte fallback), ids_crc32, decoded (text), round_trip, and the columns to carry."""
+    """doc_id, ids, n_pieces, n_byte_pieces (by byte fallback), ids_crc32, decoded (text), round_trip, n_different, and the columns to carry."""
     given = by_name(docs, id=id_col, text=text_col, **{f"carried_{i}": c for i, c in enumerate(carry)})
     carried = [given.schema[f"carried_{i}"] for i in range(len(carry))]
-    names = ["doc_id", "ids", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded", "round_trip", *[x.name for x in carried]]
-    schema = f"doc_id {given.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded string, round_trip boolean"
+    names = ["doc_id", "ids", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded", "round_trip", "n_different", *[x.name for x in carried]]
+    schema = f"doc_id {given.schema['id'].dataType.simpleString()}, ids array<int>, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded string, round_trip boolean, n_different long"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -194,23 +208,24 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(1).to_pylist()
-                ids, offsets = own.encode(texts)
+                ids, offsets, wrong = own.encode(texts)
                 runs = [ids[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
                 decoded = [own.decode(x) for x in runs]
                 bytes_before = np.concatenate([[0], np.cumsum(is_byte[ids])])[offsets]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
                 crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in runs], pa.int64())
                 same = pa.array([d == (t or "") for d, t in zip(decoded, texts, strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets)), pa.array(np.diff(bytes_before)), crc, pa.array(decoded, pa.string()), same, *part.columns[2:]], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets)), pa.array(np.diff(bytes_before)), crc, pa.array(decoded, pa.string()), same, pa.array(wrong), *part.columns[2:]], names)
 
     found = given.select("id", "text", *[x.name for x in carried]).mapInArrow(encode, ", ".join([schema, *[f"{x.name} {x.dataType.simpleString()}" for x in carried]]))
-    return found.select(*names[:7], *[F.col(x.name).alias(c) for x, c in zip(carried, carry, strict=True)])
+    return found.select(*names[:8], *[F.col(x.name).alias(c) for x, c in zip(carried, carry, strict=True)])
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes of text (the second column)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    released()
