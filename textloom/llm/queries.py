@@ -51,13 +51,13 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentencepiece_codec.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+    return found.select("doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip", "n_different")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language_id.fold_of(F.col("id")) == 2
     found = language_id.language_of(documents(spark, sf_dir), ~held_out)
-    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "pieces")
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "entropy")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL, "op10_sharding": OP10_SQL}
 
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -85,6 +85,42 @@ OP3_SQL = f"""
            sha256(coalesce(string_agg(k.line, chr(10) order by k.i) filter (where f.last is null or f.last = k.doc_id), '')) as kept_sha256
     from k left join f on f.key = k.key group by k.doc_id"""
 
+WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+OP2_SQL = f"""
+    with recursive w as (select doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} as w from documents),
+    s as (select doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from w where len(w) > 0),
+    n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+    c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+    l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+    e as (select a, b from l union all select b, a from l),
+    r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on e.a = r.other),
+    m as (select doc_id, min(other) as component_id from r group by doc_id)
+    select m.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, m.doc_id = component_id as kept from m left join n on n.doc_id = m.doc_id"""
+
+OP4_SQL = f"""
+    with w as (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
+    g as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)),
+    f as (select h, min(doc_id) as least from g group by h),
+    p as (select distinct doc_id, unnest(range(i, i + 50)) as p from g join f using (h) where least < doc_id),
+    k as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from w),
+    s as (select k.doc_id, count(*) filter (where p.p is not null) as n, string_agg(word, ' ' order by k.p) filter (where p.p is null) as t from k left join p on p.doc_id = k.doc_id and p.p = k.p group by k.doc_id)
+    select w.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join s on s.doc_id = w.doc_id"""
+
+#: CRC-32 byte by byte, with its table; a jump goes from b to floor((b + 1) * 2**32 / (draw + 1)).
+OP10_SQL = """
+    with recursive b(i, k, v) as (select i, 0, i from range(256) t(i) union all select i, k + 1, xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end) from b where k < 8),
+    t as (select list(v order by i) as t from b where k = 8),
+    d as (select doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, 'null') as key from documents),
+    c as (select doc_id, key, strlen(text) + 1 as size,
+        case when text = '' then 0 else xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) end as crc from d, t),
+    j(key, shards, here, there, step) as (
+        select key, n, 0::bigint, 0::bigint, 0 from (select distinct key from d), (values (8), (9)) s(n)
+        union all select key, shards, there, floor((there + 1) * 4294967296.0::double / (('0x' || substr(md5(key || ':' || (step + 1)), 1, 8))::bigint + 1))::bigint, step + 1 from j where there < shards),
+    g as (select key, max(here) filter (where shards = 8) as shard, max(here) filter (where shards = 9) as grown from j group by key)
+    select doc_id, size::bigint as size, crc::bigint as text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by doc_id nulls first, crc, size) - 1 as slot, grown::int as grown_shard
+    from c join g on g.key = c.key"""
+
 OP7_SQL = """
     with v as (
         select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings

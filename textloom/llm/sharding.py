@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import by_name, shuffle_partitions, stored
 
 LAW = "key"
+#: A key makes about as many jumps as the logarithm of the number of shards.
+JUMPS = 128
 
 
 def draw(key: Column, step: Column | int) -> Column:
@@ -31,7 +33,13 @@ def jump_shard(key: Column, shards: int) -> Column:
         return F.when(state["next"] >= shards, state).otherwise(F.struct(state["next"].alias("at"), there.alias("next")))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("next"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, lambda state: state["at"]).cast("int")
+    steps = min(shards, JUMPS)
+    reached = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, jump)
+    if shards <= JUMPS:
+        return reached["at"].cast("int")
+    # A key that needs more jumps than any is likely to goes on through all that are possible.
+    longest = F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump)
+    return F.when(reached["next"] >= shards, reached["at"]).otherwise(longest["at"]).cast("int")
 
 
 def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
