@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from textloom.llm import decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search
+from textloom.llm import common, decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search
 from textloom.llm.common import scratch_path
-from textloom.llm.components import components
+from textloom.operators.components import components
 from textloom.llm.fm_index import FmIndex
 from textloom.llm.mph import PerfectHash
 from textloom.llm.shingles import shingles_of, signature, signature_seeds
@@ -88,9 +88,11 @@ def test_near_duplicates(docs, corpus):
 
 
 def test_near_duplicates_in_small_blocks(docs, corpus, monkeypatch):
+    """Groups in many parts, a filter that keeps nothing out, every frequent key a hot one."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
-    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 0)
     assert by_id(near_dedup.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute.near(corpus)
 
 
@@ -130,6 +132,34 @@ def test_passages(docs, corpus, options):
     assert sum(x[1] > 0 for x in found.values()) > 10
 
 
+def test_passages_beyond_the_filter(docs, corpus, monkeypatch):
+    """What is joined with a full filter and with hot keys alone is the same."""
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 0)
+    found = by_id(substring_dedup.repeated_words(docs, hot_segments=1).withColumn("sha", F.sha2("kept", 256)), "n_words", "n_removed", "sha")
+    assert found == brute.passages(corpus)
+
+
+def test_filter_and_hot_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7, None if i % 5 == 0 else str(i % 11), i) for i in range(500)], "a int, b string, n int")
+    keys = common.stored(rows.where("a = 3").select("a", "b").distinct(), "t")
+    for words in (1, 1 << 20):
+        monkeypatch.setattr(common, "FILTER_WORDS", words)
+        flags = common.marked(rows, keys, ["a", "b"])
+        assert flags.where("a = 3 and not marked").count() == 0
+        assert flags.count() == 500
+        assert (flags.where("a <> 3 and marked").count() > 0) == (words == 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    counts = common.stored(rows.where("a < 5").groupBy("a").count(), "t")
+    hot = common.hot_keys(counts, ["a"], "count")
+    assert hot.count() == 5
+    monkeypatch.setattr(common, "MOST_HOT", 2)
+    hot = common.hot_keys(counts, ["a"], "count")
+    assert hot.count() == 2
+    for how in ("inner", "left_semi"):
+        assert sorted(common.joined(rows, counts, ["a"], hot, how).select("n").collect()) == sorted(rows.where("a < 5").select("n").collect())
+
+
 def test_matching_statistics():
     rng = random.Random(5)
     texts = [np.array([rng.randint(1, 3) for _ in range(rng.randint(3, 40))]) for _ in range(15)]
@@ -177,13 +207,71 @@ def test_top_k(spark):
         assert found == want
 
 
+def test_large_components(spark):
+    """Products beyond 32 and 64 bits; scores that do not fit are compared as they are and given as the nearest number that fits."""
+    rows = [(50, [1.0, 2.0]), (1, [1e8, 0.0]), (2, [5.0, 5.0]), (3, [1e30, 0.0]), (4, [1e31, -1.0]), (5, [-1e30, 0.0]), (6, [-1e31, 0.0]), (100, [3e15, 3e15]), (7, [0.0, float("nan")])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", topk_search.whole_numbers(F.col("v"), 256).alias("vector"))
+    good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if all(np.isfinite(x) for x in v)}
+    for shard in (2048, 2):
+        found = {}
+        for r in topk_search.top_k(df, F.col("id") % 50 == 0, 8, shard_vectors=shard).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        for q in (50, 100):
+            want = sorted(((i, sum(a * b for a, b in zip(good[q], v, strict=True))) for i, v in good.items() if i != q), key=lambda x: (-x[1], x[0]))[:8]
+            assert found[q] == [(i, min(max(x, -(2**63)), 2**63 - 1)) for i, x in want]
+
+
+def test_other_tokenizer_files(spark, docs, corpus, tmp_path):
+    """A file whose texts can't be taken apart at white space."""
+    model = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(model)
+    counts = by_id(token_counts.token_counts(docs, model, 100), "n_tokens")
+    path = scratch_path(spark, "t")
+    token_store.write_store(docs, path, model, 1)
+    ids = {r["doc_id"]: r["ids"] for r in token_store.look_up(token_store.read_store(spark, path), [i for i, _ in corpus]).collect()}
+    for i, text in corpus:
+        own = library.encode(text or "", add_special_tokens=False).ids
+        assert counts[i] == (len(own),)
+        assert ids[i] == [*own, 1]
+
+
+def test_absent_ids_are_not_found(spark, docs, corpus):
+    path = scratch_path(spark, "t")
+    token_store.write_store(docs, path, WORD_MODEL, 1)
+    store = token_store.read_store(spark, path)
+    absent = np.array([i for i in range(-200_000, 200_000) if i not in dict(corpus)])
+    assert token_store.look_up(store, absent[199_950:200_050].tolist()).count() == 0
+    for row in store.collect():
+        block = token_store.Block(row.asDict())
+        block.prints = token_store.prints_of(absent)[np.zeros(len(block.prints), int)]
+        # Even with a fingerprint that fits.
+        assert (block.find(absent[:1])[0] == -1).all()
+        assert (token_store.Block(row.asDict()).find(absent)[0] == -1).all()
+
+
 def test_pieces(docs, corpus):
     library = sentencepiece_codec.codec(PIECE_MODEL).other
     found = by_id(sentencepiece_codec.encoded(docs, PIECE_MODEL), "ids", "decoded", "round_trip")
     for i, text in corpus:
         ids = library.encode(text or "")
         assert found[i] == (ids, library.decode(ids), library.decode(ids) == (text or ""))
-    assert sentencepiece_codec.codec(PIECE_MODEL).differences == 0
+    assert sentencepiece_codec.encoded(docs, PIECE_MODEL).where("n_different > 0").count() == 0
+
+
+def test_a_wrong_rebuild_is_told(corpus, monkeypatch):
+    """Wrong merges show in n_different, and the ids stay right; a wrong decoder is refused."""
+    with open(PIECE_MODEL, "rb") as f:
+        data = f.read()
+    right, joins = sentencepiece_codec.rebuilt, sentencepiece_codec.merges
+    monkeypatch.setattr(sentencepiece_codec, "merges", lambda pieces: joins(pieces)[::-1])
+    own = sentencepiece_codec.Codec(data)
+    texts = [t for _, t in corpus if t][:30]
+    ids, offsets, wrong = own.encode(texts)
+    assert wrong.sum() > 0
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == own.other.encode(texts)
+    monkeypatch.setattr(sentencepiece_codec, "rebuilt", lambda model: right(model._replace(pieces=[(p[::-1] if len(p) == 3 and p.isalpha() else p, s, k) for p, s, k in model.pieces])))
+    with pytest.raises(ValueError, match="decoder differs"):
+        sentencepiece_codec.Codec(data)
 
 
 def piece(text, score, kind=1):
@@ -202,8 +290,8 @@ def test_unigram_model():
     data = pieces + b"\x12" + bytes([len(trainer)]) + trainer + b"\x1a" + bytes([len(normaliser)]) + normaliser
     own = sentencepiece_codec.Codec(data)
     texts = ["ab ba", "aab  bab", " cab é", "", "abababab", "日"]
-    ids, offsets = own.encode(texts)
-    assert own.differences == 0
+    ids, offsets, wrong = own.encode(texts)
+    assert wrong.tolist() == [0] * len(texts)
     for text, a, b in zip(texts, offsets, offsets[1:], strict=False):
         assert ids[a:b].tolist() == own.other.encode(text)
         assert own.decode(ids[a:b]) == own.other.decode(own.other.encode(text))
@@ -233,34 +321,66 @@ def test_more_languages_than_a_group(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(3 * k + i, " ".join(rng.choices(own, k=20)), lang) for k, (lang, own) in enumerate(words.items()) for i in range(3)] + [(900, None, "l00"), (None, "12", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    result = lambda **k: {r["id"]: (r["lang_pred"], r["score"], r["pieces"], r["text"]) for r in language_id.language_of(df, F.lit(True), carry=("text",), **k).collect()}
+    result = lambda: {r["id"]: (r["lang_pred"], round(r["score"], 9), round(r["entropy"], 9), r["text"]) for r in language_id.language_of(df, F.lit(True), carry=("text",)).collect()}
     found = result()
     assert all(found[i][0] == lang for i, _, lang in rows[:210])
     assert found[900][:3] == found[None][:3] == ("und", 0.0, 0.0)
     monkeypatch.setattr(language_id, "GROUP_LANGUAGES", 1000)
     assert result() == found
-    monkeypatch.setattr(language_id, "DENSE_BYTES", 0)
-    assert result() == found
+
+
+def test_languages_by_brute_force(spark):
+    """Prediction, score and entropy against a parse by plain search, with phrases over word ends and stretches."""
+    rng = random.Random(9)
+    words = {"aa": ["kalo", "mitu", "loka"], "bb": ["esch", "ungver", "ein"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 90))).capitalize() + rng.choice(["", ". 3", "\n"]), lang) for i, lang in enumerate(rng.choices(["aa", "bb"], k=40))]
+    rows += [(50, "Kalo-mitu, ein ungver!", "aa"), (51, "ωω kalo", "bb"), (52, "x" * 600, None), (53, "kalo", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    found = {r["id"]: (r["lang_pred"], r["score"], r["entropy"]) for r in language_id.language_of(df, F.lit(True)).collect()}
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.col("doc_id"), "text").alias("h")).collect()}
+    model = {}
+    for lang in words:
+        some = sorted((hashes[i], i) for i, t, own_lang in rows if own_lang == lang)[: language_id.SAMPLE_DOCS]
+        model[lang] = " " + "".join(own(dict((r[0], r[1]) for r in rows)[i])[1:] for _, i in some)
+
+    def phrases(text, known):
+        n = 0
+        for start in range(0, len(text), language_id.STRETCH):
+            rest = text[start : start + language_id.STRETCH]
+            while rest:
+                size = max([k for k in range(1, len(rest) + 1) if rest[:k] in known], default=1)
+                n, rest = n + 1, rest[size:]
+        return n
+
+    for i, text, _ in rows:
+        letters = sum(c.isalpha() for c in text)
+        rates = {lang: phrases(own(text), known) * np.log2(len(known) + 1) / letters for lang, known in model.items()}
+        best = min(sorted(rates), key=rates.get)
+        assert found[i] == (best, pytest.approx(1 - rates[best] / max(rates.values())), pytest.approx(rates[best]))
+
+
+def test_long_texts_are_learned_where_there_are_no_others(spark):
+    rows = [(1, "ka lo mi " * 600, "aa"), (2, "ka lo mi " * 700, "aa"), (3, "esch ein", "bb"), (4, "mi lo", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["id"]: r["lang_pred"] for r in language_id.language_of(df, F.lit(True), long_text=100).collect()} == {1: "aa", 2: "aa", 3: "bb", 4: "aa"}
 
 
 def test_automaton_knows_substrings():
-    text = "abracadabra"
-    model = language_id.Model(["x"], [language_id.Automaton(" " + text + " ")])
-    parts = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
-
-    def pieces(word):
-        word, n, i = f" {word} ", 0, 0
-        known = {p for p in {(" " + text + " ")[a:b] for a in range(13) for b in range(a + 1, 14)}}
-        while i < len(word):
-            j = i + 1
-            while j < len(word) and word[i : j + 1] in known:
-                j += 1
-            n, i = n + 1, j
+    text, rng = "abracadabra abba ßa", random.Random(1)
+    own = " " + text + " "
+    known = {own[a:b] for a in range(len(own)) for b in range(a + 1, len(own) + 1)}
+    model = language_id.Model(["x"], [language_id.Automaton.of(own)])
+
+    def phrases(rest):
+        n = 0
+        while rest:
+            size = max([k for k in range(1, len(rest) + 1) if rest[:k] in known], default=1)
+            n, rest = n + 1, rest[size:]
         return n
 
-    words = ["abracadabra", "cad", "xyz", "dab", "aaaa", "ßa"]
-    assert model.pieces(words)[:, 0].tolist() == [pieces(w) for w in words]
-    assert "cad" in parts
+    texts = [" abracadabra ", " cad xyz ", " dab ", "aaaa", " ßa ", " "] + ["".join(rng.choices("abcdrß ", k=rng.randint(1, 200))) for _ in range(200)]
+    assert model.phrases(texts)[:, 0].tolist() == [phrases(t) for t in texts]
 
 
 def test_sharding(docs, corpus):

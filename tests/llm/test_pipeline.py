@@ -44,3 +44,14 @@ def test_stages_keep_columns(spark, tmp_path):
             assert now.columns == docs.columns
             now = corpus_pipeline.stored(now, "t")
         assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == (2 if start is docs else 0)
+
+
+def test_rows_with_one_id_or_none(spark, tmp_path):
+    """Near copies go whatever their ids; what only shares an id stays."""
+    rng = random.Random(3)
+    text, other, third = (" ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(3))
+    rows = [(1, text), (5, text), (5, other), (None, text + " more"), (None, text.upper()), (None, third), (None, third + " end"), (7, third), (5, other), (9, other + " x y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    assert len(found) == 3
+    assert {(i, t[:20].lower()) for i, t in found} == {(None, text[:20]), (5, other[:20]), (None, third[:20])}
