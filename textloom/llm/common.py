@@ -1,8 +1,7 @@
 """Helpers that the operators of this subpackage share."""
 
+import ctypes
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,35 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCRATCH_SETTING = "spark.checkpoint.dir"
+from textloom.session import scratch_path, stored
+
+__all__ = ["scratch_path", "stored"]
 
 #: Stands for a null id inside binary structures that hold plain 64-bit ids.
 NULL_ID = -(2**63)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none, a new temporary one in local mode; a cluster has to name one."""
-    root = spark.conf.get(SCRATCH_SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SCRATCH_SETTING} to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        spark.conf.set(SCRATCH_SETTING, root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: the plan behind it runs once, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,7 +64,18 @@ def joined(rows: DataFrame, keys: DataFrame, on: list[str], hot: DataFrame, how:
     return rows.join(F.broadcast(keys.join(few, on, "left_semi")), on, how).unionByName(rows.join(few, on, "left_anti").join(keys, on, how))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
+#: Of the C library, where it has it: gives freed memory back to the system.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Gives unused memory back: else a worker, which serves many stages, keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, most: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """Ids and texts in lists of about `most` characters; one longer text stands alone."""
     for batch in batches:
         ids, texts, size = [], [], 0
@@ -101,14 +90,13 @@ def text_slices(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, mos
                 ids, texts, size = [], [], 0
         if ids:
             yield ids, texts
-        # Else a worker keeps what its largest batch took.
-        pa.default_memory_pool().release_unused()
+        released()
 
 
 class WordHashes(dict):
     """Word (bytes) to a 64-bit number; holds at most `most` words and then starts afresh."""
 
-    def __init__(self, most: int = 120_000):
+    def __init__(self, most: int = 80_000):
         super().__init__()
         self.most = most
 
@@ -160,6 +148,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows that go to Python at a time. Texts may be long, and a worker holds a batch several times over.
+MOST_RECORDS = 1000
+RECORDS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def by_name(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under the names that the operator uses: other columns and their names do not matter."""
+    """Only the named columns, under the names that the operator uses: other columns and their names do not matter.
+
+    Every operator begins here, so here the session's batches for Python are brought down to MOST_RECORDS rows if they are larger.
+    """
+    if not 0 < int(df.sparkSession.conf.get(RECORDS_SETTING)) <= MOST_RECORDS:
+        df.sparkSession.conf.set(RECORDS_SETTING, str(MOST_RECORDS))
     return df.select(*[F.col(f"`{given}`").alias(name) for name, given in columns.items()])
