@@ -148,3 +148,15 @@ def test_sources_and_workspaces(store):
     for bad in ({"type": "board"}, {"schedule_time": "9:00"}, {"config": {"urls": []}}):
         with pytest.raises(ValueError):
             S.update_source(store, A, number, **bad)
+
+
+def test_daily_rollup_counts_days_of_the_zone(spark, tmp_path):
+    """A day begins at 15:00 UTC, and a row that comes a day late still counts."""
+    rows = [("2026-09-25 14:59:59", "news"), ("2026-09-25 15:00:00", "news"), ("2026-09-26 14:59:59", "news"), ("2026-09-26 15:00:00", "board"), (None, "news")]
+    spark.createDataFrame(rows, "at string, kind string").coalesce(1).write.json(f"{tmp_path}/in/1")
+    query = lambda: incremental.daily_rollup(incremental.landed(spark, f"{tmp_path}/in/*", "at timestamp, kind string"), "at", "kind").writeStream.format("memory").queryName("rollup").outputMode("complete").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(120)
+    assert query()
+    spark.createDataFrame([("2026-09-25 16:00:00", "news")], "at string, kind string").coalesce(1).write.json(f"{tmp_path}/in/2")
+    assert query()
+    found = {(str(r["window"]["start"]), r["kind"]): r["n"] for r in spark.table("rollup").collect()}
+    assert found == {("2026-09-24 15:00:00", "news"): 1, ("2026-09-25 15:00:00", "news"): 3, ("2026-09-26 15:00:00", "board"): 1}

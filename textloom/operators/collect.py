@@ -61,7 +61,7 @@ def allowed(articles: DataFrame, robots: DataFrame, origin: Column) -> DataFrame
     from textloom.functions.urls import path
 
     rules = robots.select(F.col("origin").alias("_origin"), "blocked")
-    joined = articles.withColumn("_own", origin).join(F.broadcast(rules), F.col("_own") == F.col("_origin"), "left")
+    joined = articles.withColumn("_own", origin).join(rules, F.col("_own") == F.col("_origin"), "left")
     return joined.where(F.coalesce(~F.exists("blocked", lambda p: path(F.col("url")).startswith(p)), F.lit(True))).drop("_own", "_origin", "blocked")
 
 

@@ -118,7 +118,7 @@ def popular_keywords(keywords: DataFrame, top: int = 20) -> DataFrame:
 
 def effective_settings(sources: DataFrame, workspace: DataFrame, system: dict[str, float]) -> DataFrame:
     """For each source its own settings, else its workspace's, else the system's. sources, workspace: columns named as the settings."""
-    joined = sources.alias("s").join(F.broadcast(workspace.alias("w")), F.col("s.workspace_id") == F.col("w.workspace_id"), "left")
+    joined = sources.alias("s").join(workspace.alias("w"), F.col("s.workspace_id") == F.col("w.workspace_id"), "left")
     return joined.select(F.col("s.id").alias("source_id"), *[F.coalesce(F.col(f"s.{k}"), F.col(f"w.{k}"), F.lit(v)).alias(k) for k, v in system.items()])
 
 

@@ -174,7 +174,7 @@ def analyze_pending(store: Store, settings: Settings = Settings(), analyzer: str
 
 def recleaned(contents: DataFrame, limits: DataFrame) -> DataFrame:
     """id, before, after, changed, short: what cleaning the raw bodies again gives. limits: source_id, min_body_length."""
-    again = cleaned(contents, "raw_body", "again", title_col="title").join(F.broadcast(limits), "source_id", "left")
+    again = cleaned(contents, "raw_body", "again", title_col="title").join(limits, "source_id", "left")
     return again.select("id", F.length("cleaned_body").alias("before"), F.length("again").alias("after"), (F.col("cleaned_body") != F.col("again")).alias("changed"), (F.length("again") < F.coalesce("min_body_length", F.lit(0))).alias("short"), "again")
 
 

@@ -21,11 +21,13 @@ def save_stream(store: Store, articles: DataFrame, checkpoint: str, job_of: Call
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        candidates = batch.where(F.col("keyword").isNotNull()).select("workspace_id", "keyword", "url", "rank", F.col("first_job_id").alias("job_id"), F.col("collected_at").alias("found_at"), F.lit(0).alias("priority"), "ordinal")
-        save(store, batch.drop("keyword", "rank"), candidates, job_of(batch, number))
-        if analyze:
-            analyze_pending(store)
-        batch.unpersist()
+        try:
+            candidates = batch.where(F.col("keyword").isNotNull()).select("workspace_id", "keyword", "url", "rank", F.col("first_job_id").alias("job_id"), F.col("collected_at").alias("found_at"), F.lit(0).alias("priority"), "ordinal")
+            save(store, batch.drop("keyword", "rank"), candidates, job_of(batch, number))
+            if analyze:
+                analyze_pending(store)
+        finally:
+            batch.unpersist()
 
     return articles.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
