@@ -355,7 +355,8 @@ def test_languages_by_brute_force(spark):
 
     for i, text, _ in rows:
         letters = sum(c.isalpha() for c in text)
-        rates = {lang: phrases(own(text), known) * np.log2(len(known) + 1) / letters for lang, known in model.items()}
+        largest = np.log2(max(map(len, model.values())) + 1)
+        rates = {lang: (phrases(own(text), known) * largest + sum(c not in known for c in own(text)) * np.log2(0x110000)) / letters for lang, known in model.items()}
         best = min(sorted(rates), key=rates.get)
         assert found[i] == (best, pytest.approx(1 - rates[best] / max(rates.values())), pytest.approx(rates[best]))
 
@@ -366,6 +367,36 @@ def test_long_texts_are_learned_where_there_are_no_others(spark):
     assert {r["id"]: r["lang_pred"] for r in language_id.language_of(df, F.lit(True), long_text=100).collect()} == {1: "aa", 2: "aa", 3: "bb", 4: "aa"}
 
 
+def test_small_models_take_nothing_from_large_ones(spark):
+    """One short row of a further language changes no prediction of the others."""
+    rng = random.Random(4)
+    words = {"aa": ["kalo", "mitu", "loka", "ze"], "bb": ["esch", "ungver", "ein", "zu"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(2, 60))), lang) for i, lang in enumerate(rng.choices(["aa", "bb"], k=60))]
+    want = {i: lang for i, _, lang in rows}
+    for tiny in ("zzz", "esch ein", "ka mi"):
+        df = spark.createDataFrame([*rows, (1000, tiny, "cc")], "doc_id long, text string, lang string")
+        found = {r["id"]: r["lang_pred"] for r in language_id.language_of(df, F.col("id") % 2 == 0).collect()}
+        assert {i: found[i] for i in want} == want
+
+
+def test_equal_rows_are_learned(spark):
+    """A label all of whose rows are one row, a thousand times over."""
+    rows = [(None, "kalo mitu", "qq")] * 1000 + [(i, f"esch ungver {i}", "bb") for i in range(30)] + [(99, "mitu kalo", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.language_of(df, F.lit(True)).groupBy("id", "lang_pred").count().collect()
+    assert {(r["lang_pred"], r["count"]) for r in found if r["id"] in (None, 99)} == {("qq", 1000), ("qq", 1)}
+
+
+def test_the_stretch_decides_nothing(docs, spark):
+    """Predictions with phrases of any length and with ends after 256 characters."""
+    rng = random.Random(3)
+    words = {"aa": ["kalo", "mitu", "loka", "ze"], "bb": ["esch", "ungver", "ein", "zu"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(100, 3000))), lang) for i, lang in enumerate(rng.choices(["aa", "bb"], k=30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [{r["id"]: r["lang_pred"] for r in language_id.language_of(df, F.col("id") < 12, stretch=n).collect()} for n in (1 << 20, 256)]
+    assert found[0] == found[1] == {i: lang for i, _, lang in rows}
+
+
 def test_automaton_knows_substrings():
     text, rng = "abracadabra abba ßa", random.Random(1)
     own = " " + text + " "
@@ -380,7 +411,9 @@ def test_automaton_knows_substrings():
         return n
 
     texts = [" abracadabra ", " cad xyz ", " dab ", "aaaa", " ßa ", " "] + ["".join(rng.choices("abcdrß ", k=rng.randint(1, 200))) for _ in range(200)]
-    assert model.phrases(texts)[:, 0].tolist() == [phrases(t) for t in texts]
+    found, lacking = model.phrases(texts)
+    assert found[:, 0].tolist() == [phrases(t) for t in texts]
+    assert lacking[:, 0].tolist() == [sum(c not in own for c in t) for t in texts]
 
 
 def test_sharding(docs, corpus):

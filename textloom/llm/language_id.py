@@ -2,14 +2,16 @@
 
 For each language a suffix automaton holds labelled text: the whole texts of a bounded sample of rows, one after the other. A
 document's text (runs of letters in lower case, a space between them) is parsed from left to right into the longest phrases
-that occur in the automaton, across word ends, whole texts long. With c phrases for n letters and a model of N characters,
-c * log2(N) / n estimates the cross entropy, and the language with the least wins (ties: the first in the alphabet).
+that occur in the automaton, across word ends, whole texts long. A phrase costs log2(N) bits, with N the characters of the
+largest model: one price under all languages, else a tiny model's many short phrases would be the cheapest. A letter that the
+model lacks is a phrase of its own and is spelled out as well, for LETTER_BITS more. The sum for each of n letters estimates the
+cross entropy, and the language with the least wins (ties: the first in the alphabet).
 
-So that many texts are parsed side by side, a phrase also ends at every STRETCH characters of a text.
+So that many texts are parsed side by side, a phrase also ends at every `stretch` characters of a text (STRETCH, if not given).
 
 Model bounds: SAMPLE_DOCS labelled rows for each language, taken by a hash of id and text among those of at most LONG_TEXT
 characters, so a language's model does not grow with the corpus; of a language that has only longer texts, the shortest one.
-Every language with labelled text is learned, and all rows are scored under all of them: in groups of languages where the
+Rows with the same id and text count as one. Every language with labelled text is learned, and all rows are scored under all of them: in groups of languages where the
 automata outgrow one worker.
 
 Defined cases: a null text and one without a letter are "und" with score 0, as are all where there is no labelled text; a
@@ -17,6 +19,7 @@ null id counts as an empty one; score is how much smaller the winner's entropy i
 alone); repeated rows are told alike; an empty table gives no rows; other columns are read only to be carried along.
 """
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -42,6 +45,8 @@ UNKNOWN = "und"
 #: Stands between words and at both ends of a text.
 EDGE = " "
 CODES = 0x110000
+#: What it takes to spell a letter out by its code point.
+LETTER_BITS = math.log2(CODES)
 #: Parts of an automaton that are stored, as arrays of 64-bit numbers.
 ARRAYS = ("letters", "base", "slots", "root")
 
@@ -148,8 +153,10 @@ class Automaton(NamedTuple):
 class Model:
     """The automata of some languages, for many texts at a time."""
 
-    def __init__(self, languages: list[str], automata: list[Automaton]):
-        self.languages, self.automata = languages, automata
+    def __init__(self, languages: list[str], automata: list[Automaton], largest: int | None = None, stretch: int = STRETCH):
+        """largest: the characters of the largest model among all languages, if there are more than these."""
+        self.languages, self.automata, self.stretch = languages, automata, stretch
+        self.phrase_bits = math.log2((largest or max((a.size for a in automata), default=1)) + 1)
         letters = np.unique(np.concatenate([a.letters for a in automata])) if automata else np.empty(0, np.int64)
         self.codes = np.zeros(CODES, np.int32)
         self.codes[letters] = np.arange(1, len(letters) + 1)
@@ -158,18 +165,25 @@ class Model:
             own = np.zeros(CODES, np.int32)
             own[a.letters] = np.arange(1, len(a.letters) + 1)
             self.own.append(np.concatenate([[0], own[letters]]).astype(np.int64))
-        self.weights = np.log2([a.size + 1 for a in automata])
 
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """The number of phrases of each text (rows) under each language (columns)."""
-        out = np.zeros((len(texts), len(self.automata)), np.int64)
+    def bits(self, texts: list[str]) -> np.ndarray:
+        """What each text (rows) costs under each language (columns)."""
+        phrases, lacking = self.phrases(texts)
+        return phrases * self.phrase_bits + lacking * LETTER_BITS
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of phrases of each text (rows) under each language (columns), and of letters that the language lacks."""
+        out, lacking = np.zeros((2, len(texts), len(self.automata)), np.int64)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = self.codes[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        many = -(-sizes // STRETCH)
+        many = -(-sizes // self.stretch)
         owner = np.repeat(np.arange(len(texts)), many)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        starts = (np.cumsum(sizes) - sizes)[owner] + nth * STRETCH
-        lengths = np.minimum(sizes[owner] - nth * STRETCH, STRETCH)
+        starts = (np.cumsum(sizes) - sizes)[owner] + nth * self.stretch
+        lengths = np.minimum(sizes[owner] - nth * self.stretch, self.stretch)
+        whose = np.repeat(np.arange(len(texts)), sizes)
+        for j, own in enumerate(self.own):
+            lacking[:, j] = np.bincount(whose[own[codes] == 0], minlength=len(texts))
         order = np.argsort(-lengths, kind="stable")
         for k in range(0, len(order), ABREAST):
             some = order[k : k + ABREAST]
@@ -188,21 +202,26 @@ class Model:
                     count[:n] += (~known & (now > 0)).astype(np.int64) + (to == 0)
                     state[:n] = to
                 np.add.at(out[:, j], owner[some], count + (state > 0))
-        return out
+        return out, lacking
+
 
+def learned(docs: DataFrame, sample_docs: int, long_text: int) -> tuple[int, Iterator[tuple[str, Automaton]]]:
+    """The characters of the largest model; languages in order, each with the automaton of its sample, built in a task of its own.
 
-def learned(docs: DataFrame, sample_docs: int, long_text: int) -> Iterator[tuple[str, Automaton]]:
-    """Languages in order, each with the automaton of its sample, built in a task of its own. docs: id, text, lang, all labelled."""
+    docs: id, text, lang, all labelled.
+    """
     size, place = F.length("text"), F.xxhash64("id", "text")
     short = size <= long_text
-    counts = stored(docs.groupBy("lang").agg(F.count_if(short).alias("n"), F.min(F.struct(size, place)).alias("least")), "labels")
+    # The least hash among short texts, or else the shortest text: at least that one is learned.
+    least = F.min(F.struct((~short).alias("long"), F.when(short, 0).otherwise(size).alias("size"), place.alias("place")))
+    counts = stored(docs.groupBy("lang").agg(F.approx_count_distinct(F.when(short, place)).alias("n"), least.alias("least")), "labels")
     few = counts.count() <= BROADCAST_LABELS
     # Hashes below a language's bound: about three times the sample, which is then cut in the order of the hashes.
     bound = (F.least(F.lit(1.0), F.lit(3.0 * sample_docs) / F.col("n")) * 2.0**64 - 2.0**63).cast("long")
     picked = docs.join(F.broadcast(counts) if few else counts, "lang")
-    picked = picked.where((short & (place <= bound)) | ((F.col("n") == 0) & (F.struct(size, place) == F.col("least"))))
+    picked = picked.where((short & (place <= bound)) | ((short != F.col("least.long")) & (place == F.col("least.place"))))
     order = Window.partitionBy("lang").orderBy("place", "text")
-    best = picked.select("lang", "text", place.alias("place")).withColumn("number", F.row_number().over(order)).where(F.col("number") <= sample_docs)
+    best = picked.select("lang", "text", place.alias("place")).dropDuplicates(["lang", "place"]).withColumn("number", F.row_number().over(order)).where(F.col("number") <= sample_docs)
 
     def build(rows: pa.Table) -> pa.Table:
         """One row; none for a language without letters."""
@@ -213,8 +232,9 @@ def learned(docs: DataFrame, sample_docs: int, long_text: int) -> Iterator[tuple
         return pa.table(columns | {x: pa.array([getattr(a, x).tobytes() for _, a in found], pa.binary()) for x in ARRAYS})
 
     built = best.select("lang", "text", "number").groupBy("lang").applyInArrow(build, f"lang string, size long, {', '.join(f'{x} binary' for x in ARRAYS)}")
-    for row in stored(built, "automata").orderBy("lang").toLocalIterator():
-        yield row["lang"], Automaton(row["size"], *[np.frombuffer(bytes(row[x]), np.int64) for x in ARRAYS])
+    found = stored(built, "automata")
+    each = ((row["lang"], Automaton(row["size"], *[np.frombuffer(bytes(row[x]), np.int64) for x in ARRAYS])) for row in found.orderBy("lang").toLocalIterator())
+    return found.agg(F.max("size")).first()[0] or 0, each
 
 
 def groups_of(learned: Iterator[tuple[str, Automaton]], group_bytes: int) -> Iterator[tuple[list[str], list[Automaton]]]:
@@ -236,10 +256,10 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     letters = np.fromiter((len(x) - x.count(EDGE) for x in own), np.int64, len(own))
     if not model.automata:
         return np.zeros((len(texts), 1)), letters
-    return model.phrases(own) * model.weights / np.maximum(letters, 1)[:, None], letters
+    return model.bits(own) / np.maximum(letters, 1)[:, None], letters
 
 
-def best_of_groups(given: DataFrame, groups: Iterator[tuple[list[str], list[Automaton]]]) -> DataFrame:
+def best_of_groups(given: DataFrame, groups: Iterator[tuple[list[str], list[Automaton]]], largest: int, stretch: int) -> DataFrame:
     """given with lang_pred, score, entropy: each group of languages reads the texts once, and each row keeps the best of all."""
     spark = given.sparkSession
     rows = stored(given.withColumn("row", F.monotonically_increasing_id()), "language_rows")
@@ -248,7 +268,7 @@ def best_of_groups(given: DataFrame, groups: Iterator[tuple[list[str], list[Auto
         sent = spark.sparkContext.broadcast(group)
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            model = Model(*sent.value)
+            model = Model(*sent.value, largest, stretch)
             names = np.array(model.languages, object)
             for batch in batches:
                 for ids, texts in text_slices(iter([batch]), 0, 1):
@@ -270,7 +290,7 @@ def best_of_groups(given: DataFrame, groups: Iterator[tuple[list[str], list[Auto
     return rows.join(best, "row")
 
 
-def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), sample_docs: int = SAMPLE_DOCS, long_text: int = LONG_TEXT, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = (), sample_docs: int = SAMPLE_DOCS, long_text: int = LONG_TEXT, group_bytes: int = GROUP_BYTES, stretch: int = STRETCH) -> DataFrame:
     """id, lang_pred, score, entropy (bits for each letter, of the winner), and the columns to carry along, the text among them.
 
     learn: a condition on the columns id and lang; the rows that meet it are the labelled text.
@@ -279,11 +299,12 @@ def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     given = by_name(docs, id=id_col, text=text_col, lang=lang_col, **{f"carried_{i}": c for i, c in enumerate(others)})
     labelled = given.select("id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     back = {text_col: "text"} | {c: f"carried_{i}" for i, c in enumerate(others)}
-    groups = groups_of(learned(labelled, sample_docs, long_text), group_bytes)
+    largest, automata = learned(labelled, sample_docs, long_text)
+    groups = groups_of(automata, group_bytes)
     first, more = next(groups), next(groups, None)
     if more:
         wanted = given.select("id", "text", *[f"carried_{i}" for i in range(len(others))])
-        found = best_of_groups(wanted, chain([first, more], groups))
+        found = best_of_groups(wanted, chain([first, more], groups), largest, stretch)
         return found.select("id", "lang_pred", "score", "entropy", *[F.col(back[c]).alias(c) for c in carry])
     sent = docs.sparkSession.sparkContext.broadcast(first)
     carried = ([given.schema["text"]] if text_col in carry else []) + [given.schema[f"carried_{i}"] for i in range(len(others))]
@@ -291,7 +312,7 @@ def language_of(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     schema = ", ".join([f"id {key.dataType.simpleString()}", "lang_pred string", "score double", "entropy double", *[f"{x.name} {x.dataType.simpleString()}" for x in carried]])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*sent.value)
+        model = Model(*sent.value, largest, stretch)
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             at = 0

@@ -123,14 +123,13 @@ class Codec:
         self.model = parsed(data)
         self.library = rebuilt(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        #: Chunks for which the rebuilt tokenizer was wrong.
-        self.different: set[str] = set()
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         joins = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED))
         self.chunked = self.model.dummy_prefix and not (joins or self.model.charsmap or self.model.trims or any(kind == USER_DEFINED for _, _, kind in self.model.pieces))
         self._compare_decoders()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Ids of chunks, and whether the sentencepiece library has others.
+        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.older: dict[str, tuple[bytes, bool]] = {}
 
     def _compare_decoders(self) -> None:
         """Every piece behind another one, as the first loses its space."""
@@ -140,17 +139,16 @@ class Codec:
             if not own == other == self.decode(np.array(pair)):
                 raise ValueError(f"the rebuilt decoder differs for the pieces {pair}: {own!r}, {other!r}")
 
-    def checked(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts by the rebuilt tokenizer, held against sentencepiece; some at a time, as encodings are large."""
+    def checked(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of texts by the rebuilt tokenizer, and whether sentencepiece's differ; some at a time, as encodings are large."""
         out = []
         for some in batches_of(texts, 2_000, 500_000):
-            for text, found, ids in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), self.other.encode(some), strict=True):
-                if found.ids != ids:
-                    self.different.add(text)
-                out.append(np.array(ids, np.uint32).tobytes())
+            for found, other in zip(self.library.encode_batch_fast(some, add_special_tokens=False), self.other.encode(some), strict=True):
+                ids = found.ids
+                out.append((np.array(ids, np.uint32).tobytes(), ids != other))
         return out
 
-    def of_chunks(self, distinct: list[str]) -> list[bytes]:
+    def of_chunks(self, distinct: list[str]) -> list[tuple[bytes, bool]]:
         new = [x for x in distinct if x not in self.known]
         if len(self.known) > MOST_CHUNKS and new:
             self.older, self.known, new = self.known, {}, distinct
@@ -172,14 +170,12 @@ class Codec:
         coded = parts.values.dictionary_encode()
         codes, offsets = coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy()
         distinct = coded.dictionary.to_pylist()
-        ids = self.of_chunks(distinct)
+        found = self.of_chunks(distinct)
         if len(apart := np.flatnonzero(whole.to_numpy(zero_copy_only=False))):
             codes = codes.copy()
-            codes[offsets[apart]] = len(ids) + np.arange(len(apart))
-            rest = [texts[i] or "" for i in apart]
-            ids += self.checked(rest)
-            distinct += rest
-        wrong = np.fromiter((x in self.different for x in distinct), np.int64, len(distinct)) if self.different else np.zeros(len(distinct), np.int64)
+            codes[offsets[apart]] = len(found) + np.arange(len(apart))
+            found += self.checked([texts[i] or "" for i in apart])
+        ids, wrong = [x for x, _ in found], np.fromiter((x for _, x in found), np.int64, len(found))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         counts = np.concatenate([[0], np.cumsum(lengths[codes])])
         return gathered(np.frombuffer(b"".join(ids), np.uint32), lengths, codes), counts[offsets], np.diff(np.concatenate([[0], np.cumsum(wrong[codes])])[offsets])
