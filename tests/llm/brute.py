@@ -92,3 +92,52 @@ def jump(key, shards):
 
 def crc(data):
     return zlib.crc32(data)
+
+
+def cheapest_edits(rows):
+    """rows: (initial, fault). Cost and audit by going through all edits from the last row to the first, up to two inserts at a place."""
+    best = lambda ways: min(ways, key=lambda w: (w[0], w[1]))
+    final = {"": (0, ""), "a": (0, ""), "u": (5, "I"), "s": (10, "II")}
+    for initial, fault in reversed(rows):
+        own = {}
+        for state in ("", "s", "u", "a"):
+            ways = [(2 + final[state][0], "D" + final[state][1])]
+            after = "a" if state == "u" else "u"
+            if fault in ("", "truncated"):
+                more = 5 * (fault == "truncated")
+                if initial == after or initial == "s" and state == "":
+                    ways.append((more + final[initial][0], "K" + final[initial][1]))
+                ways.append((more + 1 + final[after][0], "R" + final[after][1]))
+            own[state] = best(ways)
+        final = {}
+        for state in own:
+            after = "a" if state == "u" else "u"
+            then = "u" if after == "a" else "a"
+            final[state] = best([own[state], (5 + own[after][0], "I" + own[after][1]), (10 + own[then][0], "II" + own[then][1])])
+    return final[""]
+
+
+def conversation(rows):
+    """rows: (turn, role, text) of one conversation, damaged. The columns of op13 behind conv_id, and what is left."""
+    strip = lambda t: t.strip(" \t\n\x0b\x0c\r")
+    rows = [(t, " " if r is None else r, " " if x is None else x) for t, r, x in rows]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{r[1]}:{r[2]}".encode()).hexdigest()))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        faults.append("blank" if not strip(text) else "duplicate" if (role, text) in seen else "truncated" if strip(text)[-1] not in ".!?" else "")
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    initials = [r[:1] for _, r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+    cost, audit = cheapest_edits(list(zip(initials, faults, strict=True)))
+    left, at, last = [], 0, ""
+    for edit in audit:
+        _, role, text = ("", "", "") if edit == "I" else rows[at]
+        at += edit != "I"
+        if edit != "D":
+            role = role if edit == "K" else "assistant" if last == "u" else "user"
+            last = role[:1]
+            left.append((edit, role, text))
+    assert at == len(rows) and re.fullmatch("(s?(ua)+)?", "".join(r[:1] for _, r, _ in left))
+    return (gaps, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost, audit, sha("\n".join(f"{r}:{t}" for _, r, t in left))), left

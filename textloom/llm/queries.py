@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search
+from textloom.llm import conversation_repair, decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search
 from textloom.llm.common import documents, scratch_path
 
 END_ID = 1
@@ -64,12 +64,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), SHARDS)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults of known kinds, dealt by crc32 of `conv_id:turn` (null: one space), of twenty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    dealt = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20).alias("dealt"))
+    changed = dealt.where("dealt <> 0").withColumns({
+        "text": F.when(F.col("dealt") == 1, "").when(F.col("dealt") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+        "role": F.when(F.col("dealt") == 4, "user").otherwise(F.col("role")),
+    })
+    return changed.withColumn("copy", F.explode(F.when(F.col("dealt") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("dealt", "copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversation_repair.repaired(damaged(rows)).conversations.withColumnRenamed("conv", "of")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    none = {c: F.coalesce(c, F.lit(0)) for c in counts} | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
+    return rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").withColumns(none).select("conv_id", *counts, "audit", "repaired_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL, "op10_sharding": OP10_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL, "op10_sharding": OP10_SQL, "op13_conversation_repair": OP13_SQL}
 
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -107,13 +126,17 @@ OP4_SQL = f"""
     s as (select k.doc_id, count(*) filter (where p.p is not null) as n, string_agg(word, ' ' order by k.p) filter (where p.p is null) as t from k left join p on p.doc_id = k.doc_id and p.p = k.p group by k.doc_id)
     select w.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join s on s.doc_id = w.doc_id"""
 
-#: CRC-32 byte by byte, with its table; a jump goes from b to floor((b + 1) * 2**32 / (draw + 1)).
-OP10_SQL = """
-    with recursive b(i, k, v) as (select i, 0, i from range(256) t(i) union all select i, k + 1, xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end) from b where k < 8),
-    t as (select list(v order by i) as t from b where k = 8),
+#: CRC-32 byte by byte, with its table t.
+CRC_TABLE = """b(i, k, v) as (select i, 0, i from range(256) t(i) union all select i, k + 1, xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end) from b where k < 8),
+    t as (select list(v order by i) as t from b where k = 8)"""
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::bigint)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+#: A jump goes from b to floor((b + 1) * 2**32 / (draw + 1)).
+OP10_SQL = f"""
+    with recursive {CRC_TABLE},
     d as (select doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, 'null') as key from documents),
     c as (select doc_id, key, strlen(text) + 1 as size,
-        case when text = '' then 0 else xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) end as crc from d, t),
+        case when text = '' then 0 else {CRC.format("text")} end as crc from d, t),
     j(key, shards, here, there, step) as (
         select key, n, 0::bigint, 0::bigint, 0 from (select distinct key from d), (values (8), (9)) s(n)
         union all select key, shards, there, floor((there + 1) * 4294967296.0::double / (('0x' || substr(md5(key || ':' || (step + 1)), 1, 8))::bigint + 1))::bigint, step + 1 from j where there < shards),
@@ -147,3 +170,44 @@ OP5_SQL = f"""
     select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(i.n_items, 0)::bigint as n_items,
            coalesce(i.items, sha256('')) as items_sha256, c.n_hit is not null as contaminated
     from d left join c using (doc_id) left join i using (doc_id)"""
+
+#: v: for each row (and the end) the cost to go on from the states nothing, s, u, a; p: the cheapest edits, one by one, the first in the alphabet of those that keep to it.
+OP13_SQL = f"""
+    with recursive {CRC_TABLE},
+    k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+    c as (select k.*, {CRC.format("key")} % 20 as dealt from k, t),
+    d as (
+        select conv_id, turn, case dealt when 4 then 'user' else role end as role, case dealt when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+        from c, (values (1), (2)) x(copy) where dealt <> 0 and (copy = 1 or dealt = 3)),
+    o as (select *, row_number() over (partition by conv_id order by turn nulls first, md5(role || ':' || text)) as i from d),
+    x as (
+        select *, case when rest = '' then 'b' when nth > 1 then 'd' when right(rest, 1) not in ('.', '!', '?') then 't' else '' end as fault
+        from (select *, left(role, 1) as initial, rtrim(text, {BLANKS}) as rest, row_number() over (partition by conv_id, role, text order by i) as nth from o)),
+    y as (select *, case fault when '' then 0 when 't' then 5 else 1000000000 end as more, lag(initial) over (partition by conv_id order by i) || initial as pair from x),
+    n as (
+        select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank, count(*) filter (where fault = 'd') as duplicate,
+               count(*) filter (where fault = 't') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal
+        from y group by conv_id),
+    v(conv_id, i, v) as (
+        select conv_id, n + 1, [0, 10, 5, 0] from n
+        union all
+        select conv_id, i, [least(w[1], 5 + w[3], 10 + w[4]), least(w[2], 5 + w[3], 10 + w[4]), least(w[3], 5 + w[4], 10 + w[3]), least(w[4], 5 + w[3], 10 + w[4])]
+        from (select y.conv_id, y.i, [
+                least(2 + v[1], more + 1 + v[3], case initial when 's' then more + v[2] when 'u' then more + v[3] end), least(2 + v[2], more + (initial <> 'u')::int + v[3]),
+                least(2 + v[3], more + (initial <> 'a')::int + v[4]), least(2 + v[4], more + (initial <> 'u')::int + v[3])] as w
+              from v join y on y.conv_id is not distinct from v.conv_id and y.i = v.i - 1)),
+    p(conv_id, i, s, audit, lines) as (
+        select conv_id, 1::bigint, 1, '', []::varchar[] from n
+        union all
+        select conv_id, i + (e <> 'I')::int, case e when 'D' then s when 'K' then case initial when 's' then 2 when 'u' then 3 else 4 end else after end, audit || e,
+               case e when 'D' then lines when 'K' then list_append(lines, role || ':' || text) else list_append(lines, case after when 3 then 'user:' else 'assistant:' end || case e when 'R' then text else '' end) end
+        from (select p.*, y.initial, y.role, y.text, case s when 3 then 4 else 3 end as after,
+                     case when 2 + u.v[s] = v.v[s] then 'D' when 5 + v.v[case s when 3 then 4 else 3 end] = v.v[s] then 'I'
+                          when more + case when initial = 's' and s = 1 then u.v[2] when initial = 'u' and s <> 3 then u.v[3] when initial = 'a' and s = 3 then u.v[4] end = v.v[s] then 'K' else 'R' end as e
+              from p join n on n.conv_id is not distinct from p.conv_id join v on v.conv_id is not distinct from p.conv_id and v.i = p.i
+              left join v u on u.conv_id is not distinct from p.conv_id and u.i = p.i + 1 left join y on y.conv_id is not distinct from p.conv_id and y.i = p.i
+              where not (p.i = n + 1 and s in (1, 4))))
+    select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+           coalesce(v.v[1], 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) a left join n on n.conv_id is not distinct from a.conv_id
+    left join v on v.conv_id is not distinct from a.conv_id and v.i = 1 left join p on p.conv_id is not distinct from a.conv_id and p.i = n.n + 1 and p.s in (1, 4)"""
