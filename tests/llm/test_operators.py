@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from textloom.llm import common, decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search
+from textloom.llm import common, decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search, vector_packs
 from textloom.llm.common import scratch_path
 from textloom.operators.components import components
 from textloom.llm.fm_index import FmIndex
@@ -197,7 +197,7 @@ def test_top_k(spark):
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
     rows += [(300 + i, rows[5][1]) for i in range(10)] + [(400, None), (401, [float("nan")] * 8), (402, [1.0, None]), (403, [float("inf")] * 8), (None, [1.0] * 8), (450, [0.0] * 8), (500, [0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", topk_search.whole_numbers(F.col("v"), 256).alias("vector"))
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", vector_packs.whole_numbers(F.col("v"), 256).alias("vector"))
     good = {i: [int(np.floor(256 * x)) for x in v] + [0] * (8 - len(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     for shard, block in ((8192, 512), (16, 3)):
         found = {}
@@ -210,7 +210,7 @@ def test_top_k(spark):
 def test_large_components(spark):
     """Products beyond 32 and 64 bits; scores that do not fit are compared as they are and given as the nearest number that fits."""
     rows = [(50, [1.0, 2.0]), (1, [1e8, 0.0]), (2, [5.0, 5.0]), (3, [1e30, 0.0]), (4, [1e31, -1.0]), (5, [-1e30, 0.0]), (6, [-1e31, 0.0]), (100, [3e15, 3e15]), (7, [0.0, float("nan")])]
-    df = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", topk_search.whole_numbers(F.col("v"), 256).alias("vector"))
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", vector_packs.whole_numbers(F.col("v"), 256).alias("vector"))
     good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if all(np.isfinite(x) for x in v)}
     for shard in (2048, 2):
         found = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import conversation_repair, decontamination, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search
+from textloom.llm import conversation_repair, decontamination, hard_negatives, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search, vector_packs
 from textloom.llm.common import documents, scratch_path
 
 END_ID = 1
@@ -45,7 +45,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", topk_search.whole_numbers(F.col("embedding"), 256).alias("vector"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vector_packs.whole_numbers(F.col("embedding"), 256).alias("vector"))
     return topk_search.top_k(vectors, F.col("id") % 50 == 0, 5)
 
 
@@ -64,6 +64,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), SHARDS)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    given = vectors.select("vec_id", vector_packs.whole_numbers(F.col("embedding"), 256).alias("vector"), label.alias("label"))
+    return hard_negatives.hard_negatives(given, F.col("id") % 100 == 0)
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults of known kinds, dealt by crc32 of `conv_id:turn` (null: one space), of twenty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -84,11 +91,11 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding, op11_hard_negatives, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL, "op10_sharding": OP10_SQL, "op13_conversation_repair": OP13_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL, "op10_sharding": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_conversation_repair": OP13_SQL}
 
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -154,6 +161,19 @@ OP7_SQL = """
     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
     select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
 
+OP11_SQL = """
+    with v as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (
+        select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+        from v a join v c on c.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+    p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+    n as (
+        select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+        from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+    select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10"""
+
 OP5_WORDS = f"list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 OP5_SQL = f"""

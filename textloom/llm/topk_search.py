@@ -7,8 +7,9 @@ that is in none of the essential lists can't be among the best. So essential lis
 are probed in the other lists, in the order of their bounds, while their score can still compete. Shards give their k best
 for each query, and these are merged.
 
-Vectors are packed into shards of at most SHARD_VECTORS where they lie; blocks of at most QUERY_BLOCK queries go to every
-group of shards once. Nothing else is paired. Where the largest components of a query and a shard show that no sum can leave
+Vectors are packed into shards of at most SHARD_VECTORS where they lie. A task of the grid of vector_packs holds some blocks of at
+most QUERY_BLOCK queries and streams some shards; the k-th best score of a query so far is the bound that the next shard begins
+with, and only the k best of all the task's shards leave it. Nothing else is paired. Where the largest components of a query and a shard show that no sum can leave
 64 bits, sums are taken in 64 bits, else in whole numbers of any size.
 
 Defined cases: a vector that is null or holds null or non-finite components takes no part, nor does a row without an id;
@@ -17,76 +18,26 @@ shorter vectors are filled up with zeros; of queries that share an id the one wi
 that share an id count each; a query's own rows are those with its id; an empty table gives no rows.
 """
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import by_name, shuffle_partitions, stored
+from textloom.llm.common import by_name, stored
+from textloom.llm.vector_packs import LONG, SAFE, cell_rows, dealt, largest, packs, unpacked, whole
 
 SHARD_VECTORS = 2048
 QUERY_BLOCK = 512
 SEEDS = 32
 
 
-#: Sums stay below this where 64 bits are enough.
-SAFE = 1 << 62
-LONG = np.iinfo(np.int64)
-
-
-def packed(ids: np.ndarray, vectors: np.ndarray) -> bytes:
-    """vectors: whole numbers, as 64-bit integers, or as doubles where some are larger."""
-    return struct.pack("<IIc", *vectors.shape, b"i" if vectors.dtype == np.int64 else b"f") + ids.astype("<i8").tobytes() + vectors.tobytes()
-
-
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, width, kind = struct.unpack_from("<IIc", data)
-    return np.frombuffer(data, "<i8", n, 9), np.frombuffer(data, "<i8" if kind == b"i" else "<f8", n * width, 9 + 8 * n).reshape(n, width)
-
-
-def whole(vectors: np.ndarray) -> np.ndarray:
-    """As 64-bit integers, or as Python's integers where some are larger."""
-    if vectors.dtype == np.int64:
-        return vectors
-    out = np.empty(vectors.shape, object)
-    out.reshape(-1)[:] = [int(x) for x in vectors.reshape(-1).tolist()]
-    return out
-
-
-def largest(x: np.ndarray) -> int:
-    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0)))) if x.size else 0
-
-
 def kth(values: np.ndarray, k: int):
     """The k-th largest."""
     return sorted(values.tolist())[-k] if values.dtype == object else np.partition(values, len(values) - k)[len(values) - k]
 
 
-def packs(rows: DataFrame, most: int) -> DataFrame:
-    """number, pack: rows (id, vector as array of whole numbers, long or double) in packs of at most `most`."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for start in range(0, batch.num_rows, most):
-                part = batch.slice(start, most)
-                ids, lists = part.column(0).to_numpy(), part.column(1)
-                lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-                numbers = lists.flatten().to_numpy(zero_copy_only=False)
-                if numbers.dtype != np.int64 and np.abs(numbers).max(initial=0) < 2.0**62:
-                    numbers = numbers.astype(np.int64)
-                vectors = np.zeros((len(ids), int(lengths.max(initial=1))), numbers.dtype)
-                vectors[np.arange(vectors.shape[1]) < lengths[:, None]] = numbers
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed(ids, vectors)], pa.binary())], ["number", "pack"])
-                number += 1
-
-    return rows.mapInArrow(pack, "number long, pack binary")
-
-
 class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -109,8 +60,8 @@ class Shard:
             self.exact = self.vectors.astype(object), self.columns.astype(object)
         return self.exact
 
-    def best(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, ties to the smaller id."""
+    def best(self, own_id: int, query: np.ndarray, k: int, known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best, ties to the smaller id. known: a score that k other vectors reach, so that lower ones need not be found."""
         width = min(len(query), len(self.columns))
         query, vectors, columns = whole(query[:width]), self.vectors, self.columns
         if largest(query) * self.most * width >= SAFE:
@@ -124,6 +75,8 @@ class Shard:
         seeds = seeds[self.ids[seeds] != own_id]
         scores = vectors[seeds][:, :width] @ query
         least = kth(scores, k) if len(scores) >= k else None
+        if known is not None:
+            least = known if least is None else max(least, known)
         essential = len(terms)
         if least is not None:
             # An equal score may still win by its id, so only bounds below the least one make lists non-essential.
@@ -160,32 +113,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     """query_id, rank (from 1), vec_id, score. vector_col: array of whole numbers, long or double; is_query: a condition on the column `id`."""
     rows = by_name(vectors, id=id_col, vector=vector_col).where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
     shards = stored(packs(rows, shard_vectors), "vectors")
-    groups = max(1, shards.count())
-    queries = packs(rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector")), query_block)
-    # A number of partitions that is given is kept: small packs take much work.
-    parts = min(groups, shuffle_partitions(vectors.sparkSession))
-    sent = queries.select(F.col("pack").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("of")).repartition(parts, "of")
-    own = shards.select("number", "pack", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int").alias("group")).repartition(parts, "group")
-    pairs = own.join(sent, F.col("group") == F.col("of")).select("number", "pack", "queries")
+    queries = stored(packs(rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector")), query_block), "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number = batch.column(0)[i].as_py()
-                if number != held:
-                    held, shard = number, Shard(*unpacked(batch.column(1)[i].as_py()))
-                query_ids, found_ids, scores = [], [], []
-                for own, query in zip(*unpacked(batch.column(2)[i].as_py()), strict=True):
-                    ids, totals = shard.best(int(own), query, k)
-                    query_ids.append(np.full(len(ids), own))
-                    found_ids.append(ids)
-                    scores += totals.tolist()
-                ids, near = (pa.array(np.concatenate(x or [np.empty(0)]).astype(np.int64)) for x in (query_ids, found_ids))
+        held, best = [], []
+        for kind, pack, _ in cell_rows(batches):
+            if kind == 0:
+                held += zip(*unpacked(pack), strict=True)
+                continue
+            best = best or [[] for _ in held]
+            shard = Shard(*unpacked(pack))
+            for i, (own, query) in enumerate(held):
+                ids, totals = shard.best(int(own), query, k, best[i][-1][1] if len(best[i]) == k else None)
+                if len(ids):
+                    best[i] = sorted([*best[i], *zip(ids.tolist(), totals.tolist(), strict=True)], key=lambda x: (-x[1], x[0]))[:k]
+        for (own, _), found in zip(held, best, strict=False):
+            if found:
+                ids, scores = zip(*found, strict=True)
                 fitting = pa.array([min(max(x, LONG.min), LONG.max) for x in scores], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, near, fitting, pa.array([place_of(x) for x in scores], pa.string())], ["query_id", "vec_id", "score", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(own)] * len(ids), pa.int64()), pa.array(ids, pa.int64()), fitting, pa.array(map(place_of, scores), pa.string())], ["query_id", "vec_id", "score", "place"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long, place string")
+    found = dealt(shards, queries).mapInArrow(search, "query_id long, vec_id long, score long, place string")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("place"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -199,11 +147,3 @@ def place_of(score: int) -> str:
 
 
 NINES = str.maketrans("0123456789", "9876543210")
-
-
-def whole_numbers(vector: Column, factor: int) -> Column:
-    """floor(factor * x) of each component, taken in double and kept as one; null for a vector with a null or non-finite component."""
-    scaled = F.transform(vector, lambda x: x.cast("double") * factor)
-    bad = F.exists(scaled, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # floor gives whole numbers of 64 bits; doubles from 2**53 on are whole already.
-    return F.when(~bad, F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)))
