@@ -101,4 +101,4 @@ def test_copies_grow_with_tasks(spark):
         groups = -(-own.count() // group)
         assert len({r.cell for r in found}) == groups * -(-4 // groups)
         per_cell = [sum(r.kind == 0 for r in found if r.cell == c) for c in {r.cell for r in found}]
-        assert max(per_cell) <= 2 * group
+        assert max(per_cell) <= group

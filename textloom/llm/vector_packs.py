@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import shuffle_partitions
@@ -85,6 +85,14 @@ def packs(rows: DataFrame, most: int) -> DataFrame:
     return given.mapInArrow(pack, "number long, pack binary, info binary")
 
 
+def in_turn(table: DataFrame) -> DataFrame:
+    """A stored table of packs with place, gapless from 0. Packs are numbered within the tasks that made them, so there is one offset for each of these."""
+    task = F.shiftright("number", 32)
+    counts = table.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+    offsets = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("offset"))
+    return table.join(F.broadcast(offsets), task == F.col("task")).withColumn("place", F.col("offset") + F.col("number").bitwiseAND(0xFFFFFFFF)).drop("task", "offset")
+
+
 def dealt(index: DataFrame, queries: DataFrame, group_packs: int = GROUP_PACKS) -> DataFrame:
     """cell, kind (0: queries, 1: index), number, pack, info: each query pack meets each pack of the index in one cell. Both are stored tables of packs.
 
@@ -92,11 +100,10 @@ def dealt(index: DataFrame, queries: DataFrame, group_packs: int = GROUP_PACKS)
     """
     rows = max(1, -(-queries.count() // group_packs))
     columns = max(1, min(index.count(), -(-shuffle_partitions(index.sparkSession) // rows)))
-    # Packs are numbered within the task that made them; each task begins at another column.
-    turn = lambda n: F.pmod(F.shiftright("number", 32) + F.col("number").bitwiseAND(0xFFFFFFFF), F.lit(n)).cast("int")
+    turn = lambda n: F.pmod("place", F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = queries.withColumn("row", turn(rows)).withColumn("column", each(columns)).withColumn("kind", F.lit(0))
-    streamed = index.withColumn("column", turn(columns)).withColumn("row", each(rows)).withColumn("kind", F.lit(1))
+    own = in_turn(queries).withColumn("row", turn(rows)).withColumn("column", each(columns)).withColumn("kind", F.lit(0))
+    streamed = in_turn(index).withColumn("column", turn(columns)).withColumn("row", each(rows)).withColumn("kind", F.lit(1))
     cells = own.unionByName(streamed).select((F.col("row") * columns + F.col("column")).alias("cell"), "kind", "number", "pack", "info")
     return cells.repartitionById(rows * columns, "cell").sortWithinPartitions("kind", "number")
 
