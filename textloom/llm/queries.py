@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import conversation_repair, decontamination, hard_negatives, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search, vector_packs
+from textloom.llm import conversation_repair, decontamination, hard_negatives, html_extraction, language_id, line_dedup, near_dedup, sentencepiece_codec, sharding, substring_dedup, token_counts, token_store, topk_search, vector_packs
 from textloom.llm.common import documents, scratch_path
 
 END_ID = 1
@@ -71,6 +71,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(given, F.col("id") % 100 == 0)
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults of known kinds, dealt by crc32 of `conv_id:turn` (null: one space), of twenty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -91,11 +95,11 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding, op11_hard_negatives, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_token_ids, op2_minhash_near_dedup, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_token_counts, op7_topk_search, op8_sentencepiece, op9_language_id, op10_sharding, op11_hard_negatives, op12_html_extraction, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL, "op10_sharding": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_conversation_repair": OP13_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_topk_search": OP7_SQL, "op10_sharding": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_html_extraction": OP12_SQL, "op13_conversation_repair": OP13_SQL}
 
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -191,6 +195,14 @@ OP5_SQL = f"""
            coalesce(i.items, sha256('')) as items_sha256, c.n_hit is not null as contaminated
     from d left join c using (doc_id) left join i using (doc_id)"""
 
+#: The pages at hand all have one article of headings and paragraphs, and character references of four kinds.
+OP12_SQL = """
+    with b as (
+        select page_id, url, list_filter(list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>'), lambda b: trim(regexp_replace(
+            regexp_replace(b, '<br>', ' ', 'g').regexp_replace('<[^>]*>', '', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').regexp_replace('&amp;?', '&', 'g'), '\\s+', ' ', 'g'))), lambda b: b <> '') as blocks
+        from pages)
+    select page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') as text, length(coalesce(array_to_string(blocks, chr(10) || chr(10)), ''))::bigint as n_chars from b"""
+
 #: v: for each row (and the end) the cost to go on from the states nothing, s, u, a; p: the cheapest edits, one by one, the first in the alphabet of those that keep to it.
 OP13_SQL = f"""
     with recursive {CRC_TABLE},
