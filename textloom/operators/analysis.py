@@ -1,11 +1,11 @@
-"""Text metrics, term counts, keyword mentions and relevance verdicts."""
+"""Text metrics, term counts and relevance verdicts."""
 
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import density, mentioned, mentions, strip
+from textloom.functions.text import strip
 
 NOUNS, VERBS, FOREIGN = ("NNG", "NNP"), ("VV", "VA"), ("SL",)
 TERMS = NOUNS + VERBS + FOREIGN
@@ -147,11 +147,6 @@ def top_words(terms: DataFrame, id_col: str, settings: Settings = Settings(), st
     return term_shares(terms, id_col, settings, stopwords).withColumn("rank", rank).where(F.col("rank") <= settings.top_n).select(id_col, "rank", "term", "pos", "count", "share")
 
 
-def keyword_stats(df: DataFrame, keyword: Column, title: Column, body: Column) -> DataFrame:
-    """Adds mentions, density (for each 1,000 characters) and title_has."""
-    return df.withColumn("mentions", mentions(body, keyword)).withColumns({"density": density(F.col("mentions"), F.length(F.coalesce(body, F.lit("")))), "title_has": mentioned(title, keyword)})
-
-
 def judge(mentions: Column, density: Column, title_has: Column, length: Column, settings: Settings = Settings()) -> Column:
     """main: mentioned often, densely (or the body is short), in the title if that is asked for; passing: hardly mentioned."""
     dense = (length < settings.dens_min_len) | (density >= F.when(title_has, settings.dens_title).otherwise(settings.dens_no_title))

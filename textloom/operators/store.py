@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.urls import url_hash
-from textloom.operators.analysis import Settings, best_relevance, judge, keyword_stats, term_counts, text_metrics
+from textloom.operators.analysis import Settings, best_relevance, judge, term_counts, text_metrics
 from textloom.operators.clean import cleaned
+from textloom.operators.keywords import of_pairs
 from textloom.schema import CONTENT_CHILDREN, assert_unique, schema_of
 from textloom.session import stored as written
 
@@ -147,8 +148,8 @@ def hits_without_stats(hits: DataFrame, analyses: DataFrame, stats: DataFrame) -
 
 def stats_for(hits: DataFrame, contents: DataFrame, settings: Settings) -> DataFrame:
     texts = contents.select(F.col("id").alias("content_id"), "title", "cleaned_body")
-    found = keyword_stats(hits.select("workspace_id", "content_id", "keyword").join(texts, "content_id"), F.col("keyword"), F.col("title"), F.col("cleaned_body"))
-    return found.withColumn("relevance", judge(F.col("mentions"), F.col("density"), F.col("title_has"), F.length("cleaned_body"), settings)).drop("title", "cleaned_body")
+    found = of_pairs(hits.select("workspace_id", "content_id", "keyword"), texts, "content_id", F.col("title"), F.col("cleaned_body"))
+    return found.withColumn("relevance", judge(F.col("mentions"), F.col("density"), F.col("title_has"), F.col("length"), settings)).drop("length")
 
 
 def analyze_pending(store: Store, settings: Settings = Settings(), analyzer: str = "runs") -> dict[str, int]:

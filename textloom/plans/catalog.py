@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import HANGUL, LATIN, excerpt, script_ratio, strip, title_key
 from textloom.functions.times import display_iso
 from textloom.functions.urls import canonical_url, is_paging, outlet, url_hash, url_shape
-from textloom.operators import analysis, clean, collect, dedup, insights, search
+from textloom.operators import analysis, clean, collect, dedup, insights, keywords, search
 from textloom.sources import html
 
 FIRST_DAY, LAST_DAY = date(2024, 1, 1), date(2024, 1, 31)
@@ -254,10 +254,15 @@ def known_urls_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Keywords.
 def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and keyword, with mentions, density and verdict."""
-    each = documents(spark, sf_dir).withColumn("keyword", F.explode(F.array(*[F.lit(k) for k in KEYWORDS])))
-    found = analysis.keyword_stats(each, F.col("keyword"), F.col("title"), F.col("text"))
-    return found.withColumn("relevance", analysis.judge(F.col("mentions"), F.col("density"), F.col("title_has"), F.length(F.coalesce("text", F.lit(""))))).select("doc_id", "keyword", "mentions", "density", "title_has", "relevance")
+    """A row for each document and keyword of the list, with mentions, density and verdict."""
+    found = keywords.of_all_keywords(documents(spark, sf_dir), list(KEYWORDS), "doc_id", F.col("title"), F.col("text"))
+    return found.withColumn("relevance", analysis.judge(F.col("mentions"), F.col("density"), F.col("title_has"), F.col("length"))).drop("length")
+
+
+def keyword_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and keyword that it mentions."""
+    found = keywords.keyword_hits(documents(spark, sf_dir), KEYWORDS, "doc_id", F.col("title"), F.col("text")).where("mentions > 0")
+    return found.withColumn("relevance", analysis.judge(F.col("mentions"), F.col("density"), F.col("title_has"), F.col("length"))).drop("length")
 
 
 PATTERNS = {k: r"(?i)" + r"\s*".join(k.split()) for k in KEYWORDS}
@@ -273,6 +278,18 @@ def keyword_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_rows(spark, sf_dir).select("doc_id", "keyword", "mentions")
 
 
+@query("""
+    with k as (select distinct regexp_extract(text, '^\\s*(\\S+(?:\\s+\\S+)?)', 1) as keyword from benchmark where text is not null union select distinct n_name from nation),
+    p as (select keyword, '(?i)' || array_to_string(list_transform(string_split_regex(keyword, '\\s+'), lambda w: regexp_escape(w)), '\\s*') as pattern from k where keyword <> '')
+    select doc_id, keyword, len(regexp_extract_all(coalesce(text, ''), pattern))::int as mentions from documents, p where regexp_matches(coalesce(text, ''), pattern)""")
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords from tables: the names of nations and the first two words of each benchmark item, of which many overlap."""
+    first = F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+)?)", 1)
+    own = table(spark, sf_dir, "benchmark").where("text is not null").select(first.alias("keyword")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("keyword")))
+    found = keywords.keyword_hits(documents(spark, sf_dir), own.where("keyword <> ''"), "doc_id", F.col("title"), F.col("text"))
+    return found.where("mentions > 0").select("doc_id", "keyword", "mentions")
+
+
 @query(f"with {STATS} select doc_id, keyword, density, title_has from s")
 def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_rows(spark, sf_dir).select("doc_id", "keyword", "density", "title_has")
@@ -363,7 +380,7 @@ def core_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SQL_RUNS}, h as (select doc_id from documents where regexp_matches(coalesce(text, ''), '(?i)der')) select term as word, count(distinct doc_id) as docs from rk where term <> 'der' and doc_id in (select doc_id from h) group by term order by docs desc, word limit 20")
 def related_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = keyword_rows(spark, sf_dir).where("mentions > 0").select(F.col("doc_id").alias("content_id"), "keyword")
+    hits = keyword_finds(spark, sf_dir).select(F.col("doc_id").alias("content_id"), "keyword")
     return insights.related_words(hits, term_counts(spark, sf_dir).withColumnRenamed("doc_id", "content_id"), "der")
 
 

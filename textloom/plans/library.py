@@ -12,7 +12,7 @@ from textloom import schema
 from textloom.functions import text as texts
 from textloom.functions import times, urls
 from textloom.operators import analysis, clean, collect, dedup, insights, search, store
-from textloom.plans.catalog import KEYWORDS, SQL_RUNS, SQL_TITLE, STATS, cleaned_by, documents, events, keyword_rows, query, table, term_counts
+from textloom.plans.catalog import KEYWORDS, SQL_RUNS, SQL_TITLE, STATS, cleaned_by, documents, events, keyword_finds, query, table, term_counts
 from textloom.sources import feeds, html
 
 TENANT = "00000000-0000-0000-0000-00000000000a"
@@ -66,7 +66,7 @@ SOURCES = "sources as (select c_custkey as id, c_name as name, case c_custkey %
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords found in documents; a hit's id orders them."""
-    rows = keyword_rows(spark, sf_dir).where("mentions > 0")
+    rows = keyword_finds(spark, sf_dir)
     return rows.select((F.col("doc_id") * 10 + 9 - F.array_position(F.array(*[F.lit(k) for k in KEYWORDS]), F.col("keyword"))).alias("id"), F.col("doc_id").alias("content_id"), "keyword", "mentions", "title_has", "relevance", "density")
 
 
@@ -230,7 +230,7 @@ def text_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SQL_RUNS}, h as (select doc_id from documents where regexp_matches(coalesce(text, ''), '(?i)der')), b as (select term as word, count(distinct doc_id) as docs from tc where term <> 'der' and doc_id in (select doc_id from h) group by 1 order by docs desc, word limit 20) select word, docs, word in ('the', 'der', 'quux', 'les') as is_keyword, word in ('of', 'und', 'and') as is_stopword from b")
 def related_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = keyword_rows(spark, sf_dir).where("mentions > 0").select(F.col("doc_id").alias("content_id"), "keyword")
+    found = keyword_finds(spark, sf_dir).select(F.col("doc_id").alias("content_id"), "keyword")
     keywords = spark.createDataFrame([("the",), ("der",), ("quux",), ("les",)], "keyword string")
     stop = spark.createDataFrame([("of",), ("und",), ("and",)], "word string")
     return insights.related_words(found, term_counts(spark, sf_dir).withColumnRenamed("doc_id", "content_id"), "der", keywords=keywords, stopwords=stop)
