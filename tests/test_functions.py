@@ -85,13 +85,19 @@ def iso(values):
 def test_parse_dt(spark):
     given = ["2026-09-25T10:00:00+09:00", "2026-09-25T01:00:00Z", "2026-09-25 10:00:00", "2026-09-25", "20260925", "soon", None]
     assert iso(column(spark, given, times.parse_dt)) == ["2026-09-25T01:00:00"] * 3 + ["2026-09-24T15:00:00"] * 2 + [None, None]
+    # The times of 2026-09-25 at ten in the zone, in each way to write it, and what is no date.
+    same = ["2026-09-25T10:00+0900", "2026-09-25T10:00+09", "2026-09-25T01:00:00+0000", "20260925T100000", "20260925T1000+0900", "2026-W39-5T10:00", "2026W395T100000+0900", "2026-09-25T10:00:00.000000+0900", "2026-09-24 20:00-0500"]
+    assert iso(column(spark, same, times.parse_dt)) == ["2026-09-25T01:00:00"] * len(same)
+    weeks = ["2026-W39-5", "2026W395", "2026-W39", "2020-W53-7", "2021-W53-1", "2026-W00-1", "2026-W54-1", "2026-W39-8", "2024-W01-1", "9999-W53-7"]
+    assert iso(column(spark, weeks, times.parse_dt)) == ["2026-09-24T15:00:00"] * 2 + ["2026-09-20T15:00:00", "2021-01-02T15:00:00", None, None, None, None, "2023-12-31T15:00:00", None]
     assert iso(column(spark, ["Fri, 25 Sep 2026 10:00:00 +0900", "?"], times.rfc2822)) == ["2026-09-25T01:00:00", None]
 
 
 @pytest.mark.parametrize(
     ("given", "want"),
     [("2025.12.01", "2025-12-01T00:00:00+09:00"), ("25-12-01", "2025-12-01T00:00:00+09:00"), ("2025년 3월 4일", "2025-03-04T00:00:00+09:00"), ("3분 전", "2026-09-26T11:57:00+09:00"), ("2 시간 전", "2026-09-26T10:00:00+09:00"), ("1일 전", "2026-09-25T12:00:00+09:00"),
-     ("09-25", "2026-09-25T00:00:00+09:00"), ("12-30", "2025-12-30T00:00:00+09:00"), ("14:32", "2026-09-26T14:32:00+09:00"), ("2026-02-31", None), ("02-31", None), ("13-40 14:32", "2026-09-26T14:32:00+09:00"), ("", None), (None, None)],
+     ("09-25", "2026-09-25T00:00:00+09:00"), ("12-30", "2025-12-30T00:00:00+09:00"), ("14:32", "2026-09-26T14:32:00+09:00"), ("2026-02-31", None), ("02-31", None), ("13-40 14:32", "2026-09-26T14:32:00+09:00"), ("", None), (None, None),
+     ("99999999999999999999일 전", None), ("3000000000000000일 전", None), ("9223372036854775807분 전", None), ("740000일 전", None), ("20000일 전", "1971-12-24T12:00:00+09:00"), ("00000000000000000000001일 전", "2026-09-25T12:00:00+09:00")],
 )
 def test_board_date(spark, given, want):
     now = F.lit(datetime(2026, 9, 26, 3, 0)).cast("timestamp")

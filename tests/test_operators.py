@@ -251,5 +251,10 @@ def test_clashing_rows_of_a_view(spark):
     show = lambda **k: {r["id"]: r["dimmed"] for r in search.view(contents, verdicts, day(2026, 9, 26), **k).collect()}
     assert show() == {1: True, 2: False, 3: False}
     assert show(days=1) == {1: True, 3: False}
-    assert show(text="ALPHA", passing_mode="show") == {1: False, 2: False}
+    assert show(text="Alpha", passing_mode="show") == {1: False}
+    assert show(text=" c d ") == {3: False}
+    assert show(text="ALPHA") == {}
+    assert show(passing_mode="hide", relevance="passing") == {1: False}
+    with pytest.raises(ValueError):
+        show(days=0)
     assert show(passing_mode="hide") == {2: False, 3: False}

@@ -101,9 +101,9 @@ def list_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "source_name", "relevance", F.array_join("keywords", ",").alias("keywords"), "excerpt")
 
 
-@query(f"with {CONTENTS}, {ANALYSES} select id, coalesce(relevance = 'passing', false) as dimmed from contents left join analyses on content_id = id where date '2024-02-12' - (collected_at + interval 9 hour)::date < 5 and (contains(lower(title), 'an') or contains(lower(coalesce(summary, '')), 'an'))")
+@query(f"with {CONTENTS}, {ANALYSES} select id, coalesce(relevance = 'passing', false) as dimmed from contents left join analyses on content_id = id where date '2024-02-12' - (collected_at + interval 9 hour)::date < 5 and contains(coalesce(title, '') || ' ' || coalesce(summary, ''), 'an')")
 def view_dimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.view(contents(spark, sf_dir), analyses(spark, sf_dir), date(2024, 2, 12), 5, "AN").select("id", "dimmed")
+    return search.view(contents(spark, sf_dir), analyses(spark, sf_dir), date(2024, 2, 12), 5, "an").select("id", "dimmed")
 
 
 @query(f"with {CONTENTS}, {ANALYSES}, {SOURCES} select title, coalesce(name, '') as source, publisher, case relevance when 'main' then '주제 기사' when 'partial' then '부분 언급' when 'passing' then '스쳐 지나감' else '' end as relevance, url from contents left join sources on sources.id = source_id left join analyses on content_id = contents.id")
@@ -294,13 +294,15 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.page_url(F.col("url"), "page", F.col("page_id") + 1).alias("next"))
 
 
-@query("select event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') as given, date_trunc('second', ts) - interval 9 hour as naive, date_trunc('second', ts) as zoned, date_trunc('second', ts) - interval 2 hour as mail from events")
+@query("select event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') as given, date_trunc('second', ts) - interval 9 hour as naive, date_trunc('second', ts) as zoned, date_trunc('second', ts) - interval 2 hour as mail, date_trunc('second', ts) - interval 9 hour as short, date_trunc('day', ts) - interval 9 hour as week from events")
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates without an offset are the zone's; ISO with one, and those of mails."""
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     mail = F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0200"))
+    week = F.format_string("%d-W%02d-%d", F.extract(F.lit("YEAROFWEEK"), "ts").cast("int"), F.weekofyear("ts"), F.weekday("ts") + 1)
     plain = lambda c: c.cast("timestamp_ntz")
-    return events(spark, sf_dir).select("event_id", iso.alias("given"), plain(times.parse_dt(iso)).alias("naive"), plain(times.parse_dt(F.concat(iso, F.lit("Z")))).alias("zoned"), plain(times.rfc2822(mail)).alias("mail"))
+    more = {"short": plain(times.parse_dt(F.concat(iso, F.lit("+0900")))), "week": plain(times.parse_dt(week))}
+    return events(spark, sf_dir).select(*[c.alias(n) for n, c in more.items()], "event_id", iso.alias("given"), plain(times.parse_dt(iso)).alias("naive"), plain(times.parse_dt(F.concat(iso, F.lit("Z")))).alias("zoned"), plain(times.rfc2822(mail)).alias("mail"))
 
 
 @query("with l as (select event_id, ts, ((ts + interval 9 hour)::date + interval 9 hour) - interval 9 hour as run from events) select event_id, case when run > ts then run else run + interval 1 day end as next from l")
@@ -321,11 +323,19 @@ def page_without_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", (texts.strip(html.unescaped(texts.plain(F.col("html")))) == "").alias("blank"))
 
 
-@query("with w as (select doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents where text is not null) select doc_id, trim(split_part(line, ',', 1)) as word, case when regexp_full_match(trim(split_part(line, ',', 2)), 'NN[PG]') then trim(split_part(line, ',', 2)) end as pos from w where trim(split_part(line, ',', 1)) <> ''")
+SQL_CELL = """regexp_replace(regexp_replace(split_part(line, ',', {}), '^"|"$', '', 'g'), '^\\s+|\\s+$', '', 'g')"""
+
+
+@query(f"with w as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null), c as (select doc_id, {SQL_CELL.format(1)} as word, {SQL_CELL.format(2)} as pos from w) select doc_id, word, case when regexp_full_match(pos, 'NN[PG]') then pos end as pos from c where word <> ''")
 def imported_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a pasted list of words: a row for each line."""
-    found = feeds.words_from_text(table(spark, sf_dir, "documents"), "text", "doc_id")
-    return found.select("doc_id", "word", "pos")
+    """Every text as a CSV file of words: a row for each line."""
+    return feeds.words_from_csv(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "word", "pos")
+
+
+@query("with w as (select doc_id, trim(unnest(string_split_regex(text, '[\\n,]'))) as word from documents where text is not null) select doc_id, word from w where word <> ''")
+def pasted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a pasted list of words, with commas and line ends between them."""
+    return feeds.words_from_text(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "word")
 
 
 # Cleaning steps whose words the fixtures lack: the same lines around each text.

@@ -10,6 +10,7 @@ from textloom.functions.text import plain, strip
 from textloom.functions.times import display_iso, rfc2822
 from textloom.functions.urls import canonical_url
 from textloom.sources.html import unescaped
+from textloom.sources.pages import HEADERS, TIMEOUT, PageSource, opener_of
 
 #: Limits of the search interface.
 PAGE, LAST_OFFSET, MOST_ITEMS = 100, 1000, 1000
@@ -32,17 +33,20 @@ class SearchReader(DataSourceReader):
     def read(self, partition: InputPartition):
         """A row for each page of a keyword. A first page that fails gives ok = false; a later one ends the keyword. Short pages end it too."""
         import json
-        import urllib.request
         from urllib.parse import quote
 
         _, keyword = partition.value
-        sort = self.options.get("sort", "sim") if self.options.get("sort") in ("sim", "date") else "sim"
+        sort = self.options.get("sort", "sim").strip().lower()
+        sort = sort if sort in ("sim", "date") else "sim"
+        opener = opener_of(self.options.get("opener"))
         for number, (start, size) in enumerate(page_requests(int(self.options.get("count", "30")))):
             url = self.options["url"].format(query=quote(keyword), start=start, display=size, sort=sort)
             try:
-                with urllib.request.urlopen(url, timeout=10) as f:
-                    items = json.load(f).get("items", [])
-            except OSError:
+                status, body, _ = opener(url, HEADERS, TIMEOUT)
+                items = json.loads(body).get("items", []) if status < 400 else None
+            except (OSError, ValueError):
+                items = None
+            if items is None:
                 if not number:
                     yield keyword, number, False, []
                 return
@@ -67,6 +71,7 @@ class SearchSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SearchSource)
+    spark.dataSource.register(PageSource)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -100,20 +105,27 @@ def url_list(spark: SparkSession, urls: list[str]) -> DataFrame:
     return ordered.select(F.col("x.url").alias("url"), (F.col("pos") + 1).alias("rank"))
 
 
-def words_from_text(rows: DataFrame, column: str, *keep: str) -> DataFrame:
-    """word, pos and the columns to keep, of pasted text: split at line ends; a second cell counts as part of speech if it is one."""
-    lines = rows.select(*keep, F.explode(F.split(column, "\n")).alias("line"))
-    cells = lines.select(*keep, F.transform(F.split("line", ","), strip).alias("c"))
-    return cells.select(*keep, F.col("c")[0].alias("word"), F.when(F.try_element_at("c", F.lit(2)).rlike("^NN[PG]$"), F.try_element_at("c", F.lit(2))).alias("pos")).where("word <> ''")
+# What the first cell of a header says.
+HEADERS_OF_WORDS = ("단어", "복합어", "word")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Every cell quoted, quotes doubled, with a header."""
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+def words_from_csv(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """word, pos and the columns to keep, of the text of CSV files: a line each, quotes around cells gone; a second cell counts as part of speech if it is one. A file's first word may be a header and then goes."""
+    lines = F.split(F.regexp_replace(F.coalesce(column, F.lit("")), "^\ufeff", ""), "\r?\n")
+    cells = F.transform(lines, lambda line: F.transform(F.split(line, ","), lambda c: strip(F.regexp_replace(c, '^"|"$', ""))))
+    words = F.filter(cells, lambda c: c[0] != "")
+    header = F.lower(F.coalesce(F.get("_w", 0)[0], F.lit(""))).isin(*HEADERS_OF_WORDS)
+    named = rows.select(*keep, words.alias("_w"))
+    own = named.select(*keep, F.when(header, F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1)))).otherwise(F.col("_w")).alias("_w"))
+    each = own.select(*keep, F.explode("_w").alias("c"))
+    pos = F.try_element_at("c", F.lit(2))
+    return each.select(*keep, F.col("c")[0].alias("word"), F.when(pos.rlike("^NN[PG]$"), pos).alias("pos"))
 
 
-def write_articles(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+def words_from_text(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """word, pos (none) and the columns to keep, of pasted text: split at line ends and commas, without blank ones."""
+    words = rows.select(*keep, F.explode(F.transform(F.split(column, "[\n,]"), strip)).alias("word"))
+    return words.where("word <> ''").withColumn("pos", F.lit(None).cast("string"))
 
 
 # Settings of sources, checked when a plan is made.
