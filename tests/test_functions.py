@@ -86,7 +86,7 @@ def test_parse_dt(spark):
     given = ["2026-09-25T10:00:00+09:00", "2026-09-25T01:00:00Z", "2026-09-25 10:00:00", "2026-09-25", "20260925", "soon", None]
     assert iso(column(spark, given, times.parse_dt)) == ["2026-09-25T01:00:00"] * 3 + ["2026-09-24T15:00:00"] * 2 + [None, None]
     # The times of 2026-09-25 at ten in the zone, in each way to write it, and what is no date.
-    same = ["2026-09-25T10:00+0900", "2026-09-25T10:00+09", "2026-09-25T01:00:00+0000", "20260925T100000", "20260925T1000+0900", "2026-W39-5T10:00", "2026W395T100000+0900", "2026-09-25T10:00:00.000000+0900", "2026-09-24 20:00-0500"]
+    same = ["2026-09-25T10:00+0900", "2026-09-25T10:00+09", "2026-09-25T01:00:00+0000", "20260925T100000", "20260925T1000+0900", "2026-W39-5T10:00", "2026W395T100000+0900", "2026-09-25T10:00:00.000000+0900", "2026-09-24 20:00-0500", "2026-09-25T01Z"]
     assert iso(column(spark, same, times.parse_dt)) == ["2026-09-25T01:00:00"] * len(same)
     weeks = ["2026-W39-5", "2026W395", "2026-W39", "2020-W53-7", "2021-W53-1", "2026-W00-1", "2026-W54-1", "2026-W39-8", "2024-W01-1", "9999-W53-7"]
     assert iso(column(spark, weeks, times.parse_dt)) == ["2026-09-24T15:00:00"] * 2 + ["2026-09-20T15:00:00", "2021-01-02T15:00:00", None, None, None, None, "2023-12-31T15:00:00", None]

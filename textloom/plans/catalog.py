@@ -494,7 +494,7 @@ PAGE_TITLE = r"trim(regexp_replace(replace(replace(replace(replace(regexp_extrac
 PAGE_TEXT = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))"
 PAGE_BODIES = rf"""
     raw as (
-        select page_id, html, 40 as cost, string_split_regex(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(?:p|h1|br)>') as bs from pages
+        select page_id, html, 0 as cost, string_split_regex(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(?:p|h1|br)>') as bs from pages
         union all select page_id, html, 10, string_split_regex(regexp_replace(regexp_extract(html, '<body>(.*)', 1, 's'), '<script>.*?</script>|<!--.*?-->', '', 'gs'), '</?(?:p|h1|br|li|ul|div[^>]*|article|body|html)>|</?(?:nav|footer)>') from pages),
     blocks as (select page_id, cost, {PAGE_TEXT} as text, contains(b, '<a ') as linked, i from (select page_id, cost, unnest(bs) as b, generate_subscripts(bs, 1) as i from raw)),
     sums as (select *, sum(length(text) * case when linked then -1 else 1 end - cost) over (partition by page_id, cost order by i) as total from blocks where text <> ''),
@@ -504,7 +504,7 @@ PAGE_BODIES = rf"""
     bodies as (select s.page_id, s.cost, string_agg(text, chr(10) order by i) as body from spans s join sums u on u.page_id = s.page_id and u.cost = s.cost and i > before and i <= last group by all),
     chosen as (
         select p.page_id, html, case when length(coalesce(a.body, '')) >= 250 or length(coalesce(a.body, '')) >= length(coalesce(b.body, '')) then coalesce(a.body, '') else b.body end as body
-        from pages p left join bodies a on a.page_id = p.page_id and a.cost = 40 left join bodies b on b.page_id = p.page_id and b.cost = 10)"""
+        from pages p left join bodies a on a.page_id = p.page_id and a.cost = 0 left join bodies b on b.page_id = p.page_id and b.cost = 10)"""
 
 
 @query(f"with {PAGE_BODIES} select page_id, body, {PAGE_TITLE} as title, length(body)::int as n_chars from chosen where body <> ''")
@@ -531,15 +531,16 @@ BOARD = """<html><body><header><a href="/menu?id=1">Menu</a></header><table>
 <tr><td>3</td><td><a href="/view?no=103">대회 결과 안내</a> <a href="/view?no=103#comments">[2]</a></td><td>14:32</td></tr>
 <tr><td>2</td><td><a href="/view?no=102">승단 심사 일정</a></td><td>09-25</td></tr>
 <tr><td>1</td><td><a href="/view?no=101">도장 이전 알림</a></td><td>2025.12.01</td></tr>
-<tr><td>0</td><td><a href="/view?no=99">아주 오래된 소식</a></td><td>99999999999999999999일 전</td></tr>
 </table><div><a href="/list?page=2">2</a><a href="/list?page=3">3</a></div><footer><a href="/about/1">About</a></footer></body></html>"""
 
 
 @query("""select * from (values ('대회 결과 안내', 'https://b.example/view?no=103', '2026-09-26T14:32:00+09:00'), ('승단 심사 일정', 'https://b.example/view?no=102', '2026-09-25T00:00:00+09:00'),
-    ('도장 이전 알림', 'https://b.example/view?no=101', '2025-12-01T00:00:00+09:00'), ('아주 오래된 소식', 'https://b.example/view?no=99', null)) as t(title, url, published)""")
+    ('도장 이전 알림', 'https://b.example/view?no=101', '2025-12-01T00:00:00+09:00'),
+    ('대회 결과 안내', 'https://b.example/view?no=203', '2026-09-26T14:32:00+09:00'), ('승단 심사 일정', 'https://b.example/view?no=202', '2026-09-25T00:00:00+09:00'), ('도장 이전 알림', 'https://b.example/view?no=201', null)) as t(title, url, published)""")
 def board_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The posts that are found on pages without selectors, notices left out: over all pages, and a board's beside them, as no link of the others has a number."""
-    board = spark.createDataFrame([(-1, BOARD, "https://b.example/list")], "page_id long, html string, base string")
+    """The posts that are found on pages without selectors, notices left out: over all pages, and two boards' beside them, as no link of the others has a number; one has a date of too many digits."""
+    odd = BOARD.replace("2025.12.01", "99999999999999999999일 전").replace("no=10", "no=20")
+    board = spark.createDataFrame([(-1, BOARD, "https://b.example/list"), (-2, odd, "https://b.example/list")], "page_id long, html string, base string")
     pages = table(spark, sf_dir, "pages").select("page_id", "html", F.col("url").alias("base")).unionByName(board)
     groups = html.candidate_groups(pages, "page_id", "html", "base")
     found = html.posts(groups, F.lit(datetime(2026, 9, 26, 3, 0)).cast("timestamp"), exclude_notice=True)
