@@ -51,7 +51,9 @@ def validated(settings: Settings, bounds: dict[str, tuple[float, float]] = BOUND
 
 #: The built-in tokenizer: runs of Hangul as nouns, of Latin letters as foreign words, of digits as numbers; no lemmas. It stands
 #: in for a morphological analyser, whose own function (text column to array of form, tag, lemma) can be given instead.
-RUNS = r"[가-힣]+|\p{IsLatin}+|\d+"
+WORD_RUNS = r"[가-힣]+|\p{IsLatin}+"
+RUNS = WORD_RUNS + r"|\d+"
+TERM_LENGTH = 100
 
 
 def tokens(text: Column) -> Column:
@@ -86,18 +88,30 @@ def text_metrics(df: DataFrame, text_col: str, tokens_col: str | None = None) ->
     }).drop("_tokens", "_sentences", "_unique", "_length")
 
 
+#: Between a term and its part of speech where both are one string; tags do not hold it.
+MARK = "\x00"
+
+
 def counted_terms(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None) -> DataFrame:
     """id, terms: an array of (term, pos, count), counted within the row: no token becomes a row.
 
-    The terms are sorted, and the places where they change give their counts.
+    Terms are sorted as plain strings, and the places where they change give their counts; only distinct ones become structs.
     """
-    found = F.col(tokens_col) if tokens_col else tokens(F.col(text_col))
-    term = lambda t: F.struct(F.substring(F.when(t["tag"].isin(*VERBS), t["lemma"]).otherwise(t["form"]), 1, 100).alias("term"), t["tag"].alias("pos"))
-    in_order = df.select(F.col(id_col), F.sort_array(F.transform(F.filter(found, lambda t: t["tag"].isin(*TERMS)), term)).alias("_t"))
+    if tokens_col:
+        name = lambda t: F.concat(F.substring(F.coalesce(F.when(t["tag"].isin(*VERBS), t["lemma"]), t["form"]), 1, TERM_LENGTH), F.lit(MARK), t["tag"])
+        names = F.transform(F.filter(F.col(tokens_col), lambda t: t["tag"].isin(*TERMS)), name)
+        pos = lambda s: F.substring_index(s, MARK, -1)
+        term = lambda s: F.left(s, F.length(s) - F.length(pos(s)) - 1)
+    else:
+        # Numbers are no terms, and the tag follows from the first letter.
+        names = F.transform(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD_RUNS), F.lit(0)), lambda w: F.substring(w, 1, TERM_LENGTH))
+        pos = lambda s: F.when(s.rlike("^[가-힣]"), "NNG").otherwise("SL")
+        term = lambda s: s
+    in_order = df.select(F.col(id_col), F.sort_array(names).alias("_t"))
     first = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (F.get("_t", i - 1) != t), i)), lambda i: i.isNotNull())
     changes = in_order.select(id_col, "_t", first.alias("_first"))
-    count = lambda i, k: (F.coalesce(F.get("_first", k + 1), F.size("_t")) - i).alias("count")
-    return changes.select(id_col, F.transform("_first", lambda i, k: F.struct(F.get("_t", i)["term"].alias("term"), F.get("_t", i)["pos"].alias("pos"), count(i, k))).alias("terms"))
+    row = lambda i, k: F.struct(term(F.get("_t", i)).alias("term"), pos(F.get("_t", i)).alias("pos"), (F.coalesce(F.get("_first", k + 1), F.size("_t")) - i).alias("count"))
+    return changes.select(id_col, F.transform("_first", row).alias("terms"))
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None) -> DataFrame:

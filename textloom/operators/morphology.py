@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from textloom.operators.analysis import tokens
+from textloom.operators.analysis import RUNS
 
 # Particles (none is one), and endings of verbs and adjectives, some of which begin with a final consonant.
 PARTICLES = (
@@ -45,7 +45,7 @@ FIRST, SYLLABLES_OF_A_VOWEL, VOWELS, LEADS = 0xAC00, 28, 21, 19
 LONGEST, LONGEST_ENDING = 20, 4
 MOST_STEMS, LEAST_VARIETY = 100_000, 2
 NOUN, VERB = "n", "v"
-TOKEN = T.ArrayType(T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("form", "tag", "lemma")])))
+TOKEN = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("form", "tag", "lemma")]))
 
 
 PARTICLE_SET, ENDING_SET = frozenset(PARTICLES), frozenset(ENDINGS)
@@ -84,7 +84,7 @@ def ways(word: str) -> Iterator[tuple[str, str, str]]:
 
 def word_counts(df: DataFrame, text: Column) -> DataFrame:
     """word, n: the distinct Hangul words of up to LONGEST syllables."""
-    words = df.select(F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[가-힣]+"), F.lit(0))).alias("word"))
+    words = df.select(F.explode_outer(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[가-힣]+"), F.lit(0))).alias("word")).where("word is not null")
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") <= LONGEST)
 
 
@@ -103,11 +103,14 @@ def stem_statistics(words: DataFrame) -> DataFrame:
     size, word = F.length("word"), F.col("word")
     among = lambda c, own: c.isin(*own)
     cut = lambda i: F.struct(F.substring(word, F.lit(1), i).alias("stem"), F.substring(word, i + 1, F.lit(LONGEST_ENDING)).alias("ending"))
-    plain = F.transform(F.sequence(F.greatest(F.lit(1), size - LONGEST_ENDING), size), cut)
+    # Columns of their own, as each is read several times.
+    cuts = words.select("n", F.transform(F.sequence(F.greatest(F.lit(1), size - LONGEST_ENDING), size), cut).alias("_plain"))
+    plain = F.col("_plain")
     within = [within_syllable(plain, final) for final in OPEN]
     tagged = lambda found, own, kind: F.transform(F.filter(found, lambda c: among(c["ending"], own)), lambda c: F.struct(F.lit(kind).alias("kind"), c["stem"].alias("stem"), c["ending"].alias("ending")))
     all_ways = F.concat(tagged(plain, PARTICLES, NOUN), tagged(F.concat(plain, *within), [e for e in ENDINGS if e not in PARTICLE_SET], VERB))
-    split = words.select("n", F.explode(all_ways).alias("w")).groupBy("w.kind", "w.stem", "w.ending").agg(F.sum("n").alias("n"))
+    # Outer, as for a plain one Spark would add a filter on the array, which computes it twice.
+    split = cuts.select("n", F.explode_outer(all_ways).alias("w")).where("w is not null").groupBy("w.kind", "w.stem", "w.ending").agg(F.sum("n").alias("n"))
     return split.groupBy("kind", "stem").agg(F.count("*").alias("variety"), F.sum("n").alias("n"))
 
 
@@ -133,30 +136,23 @@ def analysed(word: str, varieties: dict[tuple[str, str], int]) -> list[tuple[str
 
 
 def with_tokens(df: DataFrame, text_col: str, stems: DataFrame, as_col: str = "tokens") -> DataFrame:
-    """df with an array of (form, tag, lemma) for each text. stems: what lexicon gives. Only the distinct Hangul words of a row go to Python."""
+    """df with an array of (form, tag, lemma) for each text. stems: what lexicon gives. A text's runs go to Python and come back as tokens, in time in proportion to them."""
     varieties = {(r["kind"], r["stem"]): r["variety"] for r in stems.toLocalIterator()}
     sent = df.sparkSession.sparkContext.broadcast(varieties)
 
     @pandas_udf(TOKEN)
-    def of_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of_runs(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, known = sent.value, {}
+
+        def read(run: str) -> list[tuple[str, str, str]]:
+            if run not in known:
+                if len(known) > MOST_STEMS:
+                    known.clear()
+                known[run] = analysed(run, own) if "가" <= run[0] <= "힣" else [(run, "SN" if "0" <= run[0] <= "9" else "SL", run)]
+            return known[run]
+
         for rows in parts:
-            out = []
-            for words in rows:
-                found = []
-                for word in words:
-                    if word not in known:
-                        if len(known) > MOST_STEMS:
-                            known.clear()
-                        known[word] = analysed(word, own)
-                    found.append(known[word])
-                out.append(found)
-            yield pd.Series(out)
-
-    hangul = lambda t: t["tag"] == "NNG"
-    plain = df.withColumn("_plain", tokens(F.col(text_col)))
-    words = plain.withColumn("_words", F.array_distinct(F.transform(F.filter("_plain", hangul), lambda t: t["form"])))
-    found = words.withColumn("_found", of_words("_words"))
-    table = found.withColumn("_of", F.map_from_arrays("_words", "_found"))
-    each = F.flatten(F.transform("_plain", lambda t: F.when(hangul(t), F.element_at("_of", t["form"])).otherwise(F.array(t))))
-    return table.withColumn(as_col, each).drop("_plain", "_words", "_found", "_of")
+            yield pd.Series([[token for run in runs for token in read(run)] for runs in rows])
+
+    runs = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(RUNS), F.lit(0))
+    return df.withColumn(as_col, of_runs(runs))

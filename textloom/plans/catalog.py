@@ -37,13 +37,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from textloom.plans import library  # noqa: F401  (registers its own)
+    from textloom.plans import korean, library  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from textloom.plans import library  # noqa: F401
+    from textloom.plans import korean, library  # noqa: F401
 
     return dict(ORACLE)
 
