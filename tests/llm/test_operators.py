@@ -281,6 +281,35 @@ def piece(text, score, kind=1):
     return b"\x0a" + bytes([len(body)]) + body
 
 
+def test_chunks_in_groups_have_the_ids_of_each_alone():
+    """Random letters, marks, line ends, bytes and control characters; an empty chunk and a very long one."""
+    rng = random.Random(8)
+    letters = "abcdeTHE.,\n\t\x00\x1féß日本語😀가<s>0'"
+    chunks = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(3_000)} | {"", "<unk>", "</s>", "<0x41>", "x" * 20_000})
+    rng.shuffle(chunks)
+    own = sentencepiece_codec.codec(PIECE_MODEL)
+    assert own.chunked and own.checked_chunks(chunks) == own.checked(chunks)
+
+
+def test_a_group_that_differs_is_taken_apart():
+    with open(PIECE_MODEL, "rb") as f:
+        own = sentencepiece_codec.Codec(f.read())
+
+    class Other:
+        """Has another id for one chunk."""
+
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, texts):
+            return [[*x[:-1], -1] if "odd" in t else x for t, x in zip(texts, self.library.encode(texts), strict=True)]
+
+    own.other = Other(own.other)
+    chunks = [f"even{i}" for i in range(200)] + ["odd"]
+    assert [c for c, (_, differs) in zip(chunks, own.checked_chunks(chunks), strict=True) if differs] == ["odd"]
+    assert own.encode(["even1 odd even2 odd", "even3", ""])[2].tolist() == [2, 0, 0]
+
+
 def test_unigram_model():
     """A model file made by hand: scores, byte fallback, blanks that are trimmed."""
     pieces = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + b"".join(piece(f"<0x{i:02X}>", -20.0, 6) for i in range(256))
