@@ -302,7 +302,7 @@ def test_a_group_that_differs_is_taken_apart():
             self.library = library
 
         def encode(self, texts):
-            return [[*x[:-1], -1] if "odd" in t else x for t, x in zip(texts, self.library.encode(texts), strict=True)]
+            return [[*x[:-1], 0] if "odd" in t else x for t, x in zip(texts, self.library.encode(texts), strict=True)]
 
     own.other = Other(own.other)
     chunks = [f"even{i}" for i in range(200)] + ["odd"]

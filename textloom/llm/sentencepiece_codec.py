@@ -143,12 +143,13 @@ class Codec:
                 raise ValueError(f"the rebuilt decoder differs for the pieces {pair}: {own!r}, {other!r}")
 
     def checked(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids of texts by the rebuilt tokenizer, and whether sentencepiece's differ; some at a time, as encodings are large."""
+        """Ids of texts by the rebuilt tokenizer, and whether sentencepiece's differ, which then stand; some at a time, as encodings are large."""
         out = []
         for some in batches_of(texts, 2_000, 500_000):
             for found, other in zip(self.library.encode_batch_fast(some, add_special_tokens=False), self.other.encode(some), strict=True):
                 ids = found.ids
-                out.append((np.array(ids, np.uint32).tobytes(), ids != other))
+                differs = ids != other
+                out.append((np.array(other if differs else ids, np.uint32).tobytes(), differs))
         return out
 
     def checked_chunks(self, chunks: list[str]) -> list[tuple[bytes, bool]]:
