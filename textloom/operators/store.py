@@ -18,6 +18,7 @@ from textloom.functions.urls import url_hash
 from textloom.operators.analysis import Settings, best_relevance, judge, term_counts, text_metrics
 from textloom.operators.clean import cleaned
 from textloom.operators.keywords import of_pairs
+from textloom.operators.known_keys import KnownKeys
 from textloom.schema import CONTENT_CHILDREN, assert_unique, schema_of
 from textloom.session import stored as written
 
@@ -87,24 +88,38 @@ def with_ids(rows: DataFrame, kept: DataFrame, order: list[str]) -> DataFrame:
     return found.withColumn("id", F.col("last") + F.col("_start") + place + 1).drop("_at", "_part", "_start", "last")
 
 
-def new_contents(batch: DataFrame, contents: DataFrame) -> DataFrame:
-    """The batch's rows that are not stored, the first of each URL, as rows of contents. batch: workspace_id, ordinal and columns of contents."""
+def unknown_rows(batch: DataFrame, contents: DataFrame | KnownKeys) -> DataFrame:
+    """The batch's rows that are not stored, the first of each URL, with url_hash."""
     keyed = batch.withColumn("url_hash", url_hash(F.col("url")))
     first = Window.partitionBy("workspace_id", "url_hash").orderBy("ordinal")
     once = keyed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
-    fresh = once.join(contents.select("workspace_id", "url_hash"), ["workspace_id", "url_hash"], "left_anti")
-    return with_ids(fresh.withColumns({"publisher": F.substring("publisher", 1, 200), "body_length": F.length("cleaned_body")}), contents, ["ordinal"])
+    return contents.without(once) if isinstance(contents, KnownKeys) else once.join(contents.select("workspace_id", "url_hash"), ["workspace_id", "url_hash"], "left_anti")
 
 
-def new_hits(candidates: DataFrame, contents: DataFrame, keywords: DataFrame, hits: DataFrame) -> DataFrame:
+def new_contents(batch: DataFrame, contents: DataFrame | KnownKeys) -> DataFrame:
+    """The batch's rows that are not stored, the first of each URL, as rows of contents. batch: workspace_id, ordinal and columns of contents.
+
+    With known keys in the place of contents, stored keys are not shuffled."""
+    fresh, kept = unknown_rows(batch, contents), contents.read() if isinstance(contents, KnownKeys) else contents
+    return with_ids(fresh.withColumns({"publisher": F.substring("publisher", 1, 200), "body_length": F.length("cleaned_body")}), kept, ["ordinal"])
+
+
+def placed_hits(candidates: DataFrame, contents: DataFrame | KnownKeys) -> DataFrame:
+    """The first candidate of each stored content and keyword, with content_id."""
+    keyed = candidates.withColumn("url_hash", url_hash(F.col("url")))
+    # Before the join, as a URL has one content: so no task gets all candidates of a frequent one.
+    first = Window.partitionBy("workspace_id", "url_hash", "keyword").orderBy("priority", "ordinal")
+    once = keyed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
+    if isinstance(contents, KnownKeys):
+        return contents.found(once)
+    return once.join(contents.select("workspace_id", "url_hash", F.col("id").alias("content_id")), ["workspace_id", "url_hash"])
+
+
+def new_hits(candidates: DataFrame, contents: DataFrame | KnownKeys, keywords: DataFrame, hits: DataFrame) -> DataFrame:
     """The first hit of each content and keyword. candidates: workspace_id, keyword, url, rank, job_id, found_at, priority, ordinal
     (articles come before raw items). A keyword that is no longer registered keeps its text."""
-    keyed = candidates.withColumn("url_hash", url_hash(F.col("url")))
-    known = contents.select("workspace_id", "url_hash", F.col("id").alias("content_id"))
     registered = keywords.groupBy("workspace_id", "keyword").agg(F.min("id").alias("source_keyword_id"))
-    placed = keyed.join(known, ["workspace_id", "url_hash"]).join(registered, ["workspace_id", "keyword"], "left")
-    first = Window.partitionBy("content_id", "keyword").orderBy("priority", "ordinal")
-    once = placed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
+    once = placed_hits(candidates, contents).join(registered, ["workspace_id", "keyword"], "left")
     return with_ids(once.join(hits.select("content_id", "keyword"), ["content_id", "keyword"], "left_anti"), hits, ["priority", "ordinal"])
 
 

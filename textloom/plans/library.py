@@ -3,6 +3,7 @@
 documents stand in for contents of two tenants, labels for their analyses, events for jobs, customers for sources.
 """
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from textloom import schema
 from textloom.functions import text as texts
 from textloom.functions import times, urls
 from textloom.operators import analysis, clean, collect, dedup, insights, search, store
+from textloom.operators.known_keys import KnownKeys
 from textloom.plans.catalog import KEYWORDS, SQL_RUNS, SQL_TITLE, STATS, cleaned_by, documents, events, keyword_finds, query, table, term_counts
+from textloom.session import scratch_path
 from textloom.sources import feeds, html
 
 TENANT = "00000000-0000-0000-0000-00000000000a"
@@ -171,27 +174,60 @@ def hits_without_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.hits_without_stats(own, analyses(spark, sf_dir), stats).select("content_id", "keyword")
 
 
-@query(f"with {CONTENTS}, n as (select *, row_number() over (partition by workspace_id, url order by id desc) as k from contents), o as (select workspace_id, url from contents where id < 100), x as (select * from n where k = 1 and (workspace_id, url) not in (select (workspace_id, url) from o)) select 99 + row_number() over (order by -id) as id, id as ordinal, url, sha256(url) as url_hash from x")
+NEW_CONTENTS = f"with {CONTENTS}, n as (select *, row_number() over (partition by workspace_id, url order by id desc) as k from contents), o as (select workspace_id, url from contents where id < 100), x as (select * from n where k = 1 and (workspace_id, url) not in (select (workspace_id, url) from o)) select 99 + row_number() over (order by -id) as id, id as ordinal, url, sha256(url) as url_hash from x"
+
+
+@query(NEW_CONTENTS)
 def new_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in, the latest first; those with the first hundred ids are stored. New rows get ids that go on."""
-    own = contents(spark, sf_dir).drop("collected_at")
-    kept = own.where("id < 100").withColumn("url_hash", urls.url_hash(F.col("url")))
-    batch = own.withColumn("ordinal", -F.col("id")).drop("id")
+    batch, kept = contents_coming_in(spark, sf_dir)
     found = store.new_contents(batch, kept)
     return found.select("id", (-F.col("ordinal")).alias("ordinal"), "url", "url_hash")
 
 
-@query(f"""with {STATS}, {CONTENTS}, {HITS}, c as (select min(id) as content_id, workspace_id, url from contents group by all), r as (select c.content_id, keyword, h.id as found from hits h join contents d on d.id = h.content_id join c on c.workspace_id = d.workspace_id and c.url = d.url),
-    f as (select content_id, keyword, min(found) as found from r group by all) select content_id, keyword, found from f where not (keyword = 'the' and content_id % 4 = 0)""")
+@query(NEW_CONTENTS)
+def new_contents_by_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with stored keys in buckets, which stay where they are."""
+    batch, kept = contents_coming_in(spark, sf_dir)
+    found = store.new_contents(batch, known_keys(spark, kept))
+    return found.select("id", (-F.col("ordinal")).alias("ordinal"), "url", "url_hash")
+
+
+def contents_coming_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = contents(spark, sf_dir).drop("collected_at")
+    return own.withColumn("ordinal", -F.col("id")).drop("id"), own.where("id < 100").withColumn("url_hash", urls.url_hash(F.col("url")))
+
+
+def known_keys(spark: SparkSession, kept: DataFrame) -> KnownKeys:
+    found = KnownKeys(spark, scratch_path(spark, "known-keys"), buckets=16)
+    found.add(kept)
+    return found
+
+
+FIRST_HITS = f"""with {STATS}, {CONTENTS}, {HITS}, c as (select min(id) as content_id, workspace_id, url from contents group by all), r as (select c.content_id, keyword, h.id as found from hits h join contents d on d.id = h.content_id join c on c.workspace_id = d.workspace_id and c.url = d.url),
+    f as (select content_id, keyword, min(found) as found from r group by all) select content_id, keyword, found from f where not (keyword = 'the' and content_id % 4 = 0)"""
+
+
+@query(FIRST_HITS)
 def first_hit_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hit of each content and keyword over articles and raw items, without those that are stored."""
+    return first_hits(spark, sf_dir, lambda kept: kept)
+
+
+@query(FIRST_HITS)
+def first_hits_by_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the contents' keys in buckets."""
+    return first_hits(spark, sf_dir, lambda kept: known_keys(spark, kept))
+
+
+def first_hits(spark: SparkSession, sf_dir: str, held: Callable[[DataFrame], DataFrame | KnownKeys]) -> DataFrame:
     own = contents(spark, sf_dir)
     kept = dedup.first_per_key(own.withColumn("url_hash", urls.url_hash(F.col("url"))), ["workspace_id", "url_hash"], "id")
     found = hits(spark, sf_dir).join(own.select(F.col("id").alias("content_id"), "workspace_id", "url"), "content_id")
     given = found.select("workspace_id", "keyword", "url", F.lit(0).alias("priority"), F.col("id").alias("ordinal"))
     known = kept.where("id % 4 = 0").select(F.col("id").alias("content_id"), F.lit("the").alias("keyword"), F.lit(0).cast("long").alias("id"))
     words = spark.createDataFrame([(1, TENANT, "the")], "id long, workspace_id string, keyword string")
-    return store.new_hits(given, kept, words, known).select("content_id", "keyword", F.col("ordinal").alias("found"))
+    return store.new_hits(given, held(kept), words, known).select("content_id", "keyword", F.col("ordinal").alias("found"))
 
 
 @query(f"with {CONTENTS}, {ANALYSES} select content_id, relevance from analyses where content_id not in (select id from contents where source_id = 3)")
