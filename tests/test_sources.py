@@ -211,3 +211,14 @@ def test_word_files(spark):
     assert [tuple(r) for r in feeds.words_from_csv(df, "t", "i").orderBy("i", "word").collect()] == [(0, "겨루기", None), (0, "태권도", "NNG"), (1, "A", "NNP"), (2, "a", None), (2, "word", None)]
     pasted = spark.createDataFrame([("a, b\n\n ,c ,NNG",), (None,)], "t string")
     assert sorted(r["word"] for r in feeds.words_from_text(pasted, "t").collect()) == ["NNG", "a", "b", "c"]
+
+
+def test_references_that_are_cut(spark):
+    """Only whole references are decoded: a title that ends within one keeps what is left of it, in page_title, page_extract and filled_articles."""
+    page = '<html><title>a &amp; b&lt;c &amp</title><body><article><p>x &ampx; &#38; &nosuch; &amp</p></article><a href="/l?a=1&copy=2&amp;b=3">n</a><script>a && b</script></body></html>'
+    pages = spark.createDataFrame([(1, page, None, None, None)], "page_id int, html string, title string, publisher string, published string")
+    found = pages.select(html.page_content("html").alias("c"), html.all_links("html", F.lit("http://h/")).alias("l")).first()
+    assert (found["c"]["title"], found["c"]["body"]) == ("a & b<c &amp", "x &ampx; & &nosuch; &amp")
+    assert [x["url"] for x in found["l"]] == ["http://h/l?a=1&copy=2&b=3"]
+    filled = html.with_content(pages, "html").first()
+    assert (filled["title"], filled["body"]) == ("a & b<c &amp", "x &ampx; & &nosuch; &amp")
