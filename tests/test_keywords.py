@@ -73,3 +73,16 @@ def test_pairs_and_lists(spark):
         (1, "tea"): (6, 153.85, True), (1, "coffee"): (0, 0.0, False), (2, "tea"): (0, 0.0, False), (2, "coffee"): (1, 166.67, False), (3, "tea"): (0, 0.0, False), (3, "coffee"): (0, 0.0, False),
     }
     assert {r[0] for r in keywords.normalized(spark.createDataFrame([(" a  b ",), ("a b",), (" ",), (None,)], "keyword string")).collect()} == {"a b"}
+
+
+def test_texts_go_to_python_once_in_small_batches(spark):
+    """keyword_hits reads each text once for a group of keywords, and no batch grows with the table."""
+    from textloom.functions import batches
+
+    for setting in (batches.RECORDS_SETTING, batches.BYTES_SETTING):
+        spark.conf.unset(setting)
+    df = spark.createDataFrame([(1, "a", "tea and tea"), (2, "b", "none"), (3, None, None)], "id int, title string, body string")
+    found = keywords.keyword_hits(df, ["tea"], "id", F.col("title"), F.col("body"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert spark.conf.get(batches.RECORDS_SETTING) == str(batches.MOST_RECORDS) and spark.conf.get(batches.BYTES_SETTING).rstrip("b") == str(batches.MOST_BYTES)
+    assert [(r["id"], r["keyword"], r["mentions"]) for r in found.collect()] == [(1, "tea", 2)]

@@ -6,7 +6,7 @@ keyword that overlap, the first counts, as in a search from left to right. Only
 as large as documents times keywords.
 
 Keywords go to the tasks by broadcast, in groups of at most GROUP_CHARS characters, each of which reads the texts once more: so
-what a task holds is bounded whatever their number.
+what a task holds is bounded whatever their number. Texts go in small batches, and no text goes twice for one group.
 
 Defined cases: a blank keyword is never found; a null text holds nothing; equal keywords count once; keywords that differ in case
 or in white space alone are found each for itself.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from textloom.functions.batches import released, small_batches
 from textloom.functions.text import collapse, density
 
 GROUP_CHARS = 2_000_000
@@ -134,9 +135,11 @@ def hits_of(sent: Broadcast):
         for titles, bodies in parts:
             out = []
             for title, body in zip(titles, bodies, strict=True):
-                own, head = searcher.find(body), searcher.find(title)
+                own = searcher.find(body)
+                head = own if title == body else searcher.find(title)
                 out.append([(k, own.get(k, 0), k in head) for k in [*own, *(k for k in head if k not in own)]])
             yield pd.Series(out)
+            released()
 
     return found
 
@@ -155,6 +158,7 @@ def groups_of(keywords: Iterator[str], group_chars: int) -> Iterator[list[str]]:
 def with_hits(df: DataFrame, keywords: DataFrame | Iterable[str], title: Column, body: Column, as_col: str = "hits", group_chars: int = GROUP_CHARS) -> DataFrame:
     """df with an array of (keyword, mentions in the body, title_has) of the keywords that its title or body holds. keywords: texts, or a table with a column `keyword`."""
     spark = df.sparkSession
+    small_batches(spark)
     each = (r[0] for r in keywords.select("keyword").where("keyword is not null").distinct().toLocalIterator()) if isinstance(keywords, DataFrame) else iter(dict.fromkeys(keywords))
     parts = [hits_of(spark.sparkContext.broadcast(group))(title, body) for group in groups_of(each, group_chars)]
     return df.withColumn(as_col, F.concat(*parts) if len(parts) > 1 else parts[0])
@@ -163,7 +167,8 @@ def with_hits(df: DataFrame, keywords: DataFrame | Iterable[str], title: Column,
 def keyword_hits(df: DataFrame, keywords: DataFrame | Iterable[str], id_col: str, title: Column, body: Column, group_chars: int = GROUP_CHARS) -> DataFrame:
     """id, keyword, mentions, density (for each 1,000 characters of the body), title_has, length (of the body): a row for each keyword that a document holds."""
     found = with_hits(df.select(F.col(id_col), title.alias("_title"), body.alias("_body")), keywords, F.col("_title"), F.col("_body"), "_hits", group_chars)
-    narrow = found.select(id_col, F.length(F.coalesce("_body", F.lit(""))).alias("length"), F.explode("_hits").alias("h"))
+    # Outer, as for a plain one Spark would add a filter on the array, for which Python would read each text twice.
+    narrow = found.select(id_col, F.length(F.coalesce("_body", F.lit(""))).alias("length"), F.explode_outer("_hits").alias("h")).where("h is not null")
     return narrow.select(id_col, "h.keyword", "h.mentions", density(F.col("h.mentions"), F.col("length")).alias("density"), "h.title_has", "length")
 
 
