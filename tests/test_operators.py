@@ -258,3 +258,18 @@ def test_clashing_rows_of_a_view(spark):
     with pytest.raises(ValueError):
         show(days=0)
     assert show(passing_mode="hide") == {2: False, 3: False}
+
+
+def test_words_are_counted_without_ids_in_a_shuffle(spark, tmp_path):
+    """core_words, related_words, related_flags and top_words_without_stopwords count within rows: no document's id is a key of an exchange."""
+    import re
+
+    from textloom.plans import catalog
+
+    rows = [(1, "der a a The b", "en", "s", 5), (2, "der b", "en", "s", 5), (3, "a", "en", "s", 5), (4, None, "en", "s", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("core_words", "related_words", "related_flags", "top_words_without_stopwords"):
+        found = catalog.queries()[name](spark, str(tmp_path))
+        assert not re.search(r"hashpartitioning\([^)]*(doc_id|content_id)", found._jdf.queryExecution().executedPlan().toString()), name
+    top = catalog.queries()["top_words_without_stopwords"](spark, str(tmp_path))
+    assert {(r["doc_id"], r["rank"], r["term"], r["share"]) for r in top.collect()} == {(1, 1, "a", 66.7), (1, 2, "b", 33.3), (2, 1, "b", 100.0), (3, 1, "a", 100.0)}

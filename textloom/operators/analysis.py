@@ -92,11 +92,13 @@ def text_metrics(df: DataFrame, text_col: str, tokens_col: str | None = None) ->
 MARK = "\x00"
 
 
-def counted_terms(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None) -> DataFrame:
-    """id, terms: an array of (term, pos, count), counted within the row: no token becomes a row.
+def counted_terms(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None, terms_col: str | None = None) -> DataFrame:
+    """id, terms: an array of (term, pos, count), counted within the row: no token becomes a row. terms_col: such an array, if there is one.
 
     Terms are sorted as plain strings, and the places where they change give their counts; only distinct ones become structs.
     """
+    if terms_col:
+        return df.select(id_col, F.col(terms_col).alias("terms"))
     if tokens_col:
         name = lambda t: F.concat(F.substring(F.coalesce(F.when(t["tag"].isin(*VERBS), t["lemma"]), t["form"]), 1, TERM_LENGTH), F.lit(MARK), t["tag"])
         names = F.transform(F.filter(F.col(tokens_col), lambda t: t["tag"].isin(*TERMS)), name)
@@ -114,30 +116,40 @@ def counted_terms(df: DataFrame, id_col: str, text_col: str, tokens_col: str | N
     return changes.select(id_col, F.transform("_first", row).alias("terms"))
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None) -> DataFrame:
+def term_counts(df: DataFrame, id_col: str, text_col: str, tokens_col: str | None = None, terms_col: str | None = None) -> DataFrame:
     """id, term (lemma of verbs, form of others; up to 100 characters), pos, count of content words. df: a row for each id."""
     # Outer, as for a plain one Spark would add a filter on the array below, which computes it again for each of its elements.
-    return counted_terms(df, id_col, text_col, tokens_col).select(id_col, F.explode_outer("terms").alias("t")).where("t is not null").select(id_col, "t.*")
+    return counted_terms(df, id_col, text_col, tokens_col, terms_col).select(id_col, F.explode_outer("terms").alias("t")).where("t is not null").select(id_col, "t.*")
 
 
-def document_words(df: DataFrame, id_col: str, text_col: str, settings: Settings | None = None, tokens_col: str | None = None) -> DataFrame:
-    """id, rank, term, pos, count, share: what term_shares gives for all words of each document, with their places, without a shuffle.
+def document_words(df: DataFrame, id_col: str, text_col: str, settings: Settings | None = None, tokens_col: str | None = None, terms_col: str | None = None, stopwords: DataFrame | None = None, top: int | None = None, firsts: bool = False) -> DataFrame:
+    """id, rank, term, pos, count, share: what term_shares gives for all words of each document (or the first `top`), with their places, without a shuffle.
 
-    df: a row for each id. Words of the same count stand in the order of term and part of speech.
+    df: a row for each id. Words of the same count stand in the order of term and part of speech. Stop words (a short table with a
+    column `word`, which goes to all tasks) leave both the words and the denominator. firsts: with a column `first`, true in one row of each term of a document.
     """
     settings = settings or Settings()
     allowed = POS_RANGES.get(settings.pos_range, POS_RANGES["vva"])
-    counted = counted_terms(df, id_col, text_col, tokens_col)
+    counted = counted_terms(df, id_col, text_col, tokens_col, terms_col)
     kept = F.filter("terms", lambda t: t["pos"].isin(*allowed))
-    ranked = counted.select(id_col, F.sort_array(F.transform(kept, lambda t: F.struct((-t["count"]).alias("less"), t["term"].alias("term"), t["pos"].alias("pos")))).alias("_w"))
+    if stopwords is not None:
+        counted = counted.crossJoin(F.broadcast(stopwords.agg(F.collect_set("word").alias("_stop"))))
+        kept = F.filter("terms", lambda t: t["pos"].isin(*allowed) & ~F.array_contains("_stop", t["term"]))
+    less = lambda t: F.struct((-t["count"]).alias("less"), t["term"].alias("term"), t["pos"].alias("pos"))
+    if firsts:
+        # Terms are in order, so one of several parts of speech stands next to itself.
+        counted, kept = counted.select(id_col, kept.alias("_k")), F.col("_k")
+        less = lambda t, i: F.struct((-t["count"]).alias("less"), t["term"].alias("term"), t["pos"].alias("pos"), ((i == 0) | (F.get("_k", i - 1)["term"] != t["term"])).alias("first"))
+    ranked = counted.select(id_col, F.sort_array(F.transform(kept, less)).alias("_w"))
     for_total = NOUNS if settings.denom == "noun" else allowed
     total = F.aggregate(F.filter("_w", lambda w: w["pos"].isin(*for_total)), F.lit(0).cast("long"), lambda a, w: a - w["less"])
     share = lambda w, s: F.when(s["total"] > 0, F.bround(-w["less"] * 100 / s["total"], 1)).otherwise(0.0)
-    row = lambda s: F.transform(s["words"], lambda w: F.struct(w["term"].alias("term"), w["pos"].alias("pos"), (-w["less"]).alias("count"), share(w, s).alias("share")))
+    first = lambda words: words if top is None else F.slice(words, 1, top)
+    row = lambda s: F.transform(first(s["words"]), lambda w: F.struct(w["term"].alias("term"), w["pos"].alias("pos"), (-w["less"]).alias("count"), share(w, s).alias("share"), *([w["first"].alias("first")] if firsts else [])))
     # An array of one gives the total a name within the row: a column of its own would be computed for each word.
     words = ranked.select(id_col, F.transform(F.array(F.struct(total.alias("total"), F.col("_w").alias("words"))), row)[0].alias("_words"))
     each = words.select(id_col, F.posexplode_outer("_words").alias("_place", "w")).where("w is not null")
-    return each.select(id_col, (F.col("_place") + 1).alias("rank"), "w.term", "w.pos", "w.count", "w.share")
+    return each.select(id_col, (F.col("_place") + 1).alias("rank"), "w.term", "w.pos", "w.count", "w.share", *(["w.first"] if firsts else []))
 
 
 def term_shares(terms: DataFrame, id_col: str, settings: Settings = Settings(), stopwords: DataFrame | None = None) -> DataFrame:
