@@ -78,3 +78,20 @@ def test_random_words_are_split_as_they_were_joined(spark):
     stems = morphology.lexicon(morphology.stem_statistics(morphology.word_counts(df, F.col("text"))))
     found = analysis.term_counts(morphology.with_tokens(df, "text", stems), "id", "text", "tokens").groupBy("term").agg(F.sum("count").alias("n")).collect()
     assert sum(r["n"] for r in found if r["term"] in nouns) >= 0.99 * 1200
+
+
+def test_terms_are_counted_where_words_are_read(spark):
+    """with_terms gives what with_tokens and term_counts give; a term of two parts of speech is one document's once, without a shuffle of ids."""
+    from textloom.operators import insights
+
+    texts = ["가다가 가고 가다 가며 abc 12 abc", "학교에 학교는 학교 갔다 갔고", None, "힣" * 25 + " " + "x" * 120]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    stems = spark.createDataFrame([("n", "학교", 3), ("v", "가", 5), ("n", "가다", 2)], "kind string, stem string, variety int")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    counted = morphology.with_terms(df, "text", stems)
+    assert rows(analysis.term_counts(counted, "id", "text", terms_col="terms")) == rows(analysis.term_counts(morphology.with_tokens(df, "text", stems), "id", "text", "tokens"))
+    two = spark.createDataFrame([(1, [("가다", "NNG", 1), ("가다", "VV", 2), ("b", "SL", 1)])], "id int, terms array<struct<term:string,pos:string,count:int>>")
+    words = analysis.document_words(two, "id", "text", analysis.Settings(), terms_col="terms", firsts=True)
+    found = insights.core_words(words, "id", first=F.col("first"))
+    assert [(r["word"], r["docs"], r["mean_share"]) for r in found.collect()] == [("가다", 1, 50.0)]
+    assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString()

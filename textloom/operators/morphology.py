@@ -19,15 +19,18 @@ Defined cases: a null text has no tokens; words of over LONGEST syllables stay w
 """
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from textloom.operators.analysis import RUNS
+from textloom.functions.batches import released, small_batches
+from textloom.operators.analysis import RUNS, TERM_LENGTH, WORD_RUNS
 
 # Particles (none is one), and endings of verbs and adjectives, some of which begin with a final consonant.
 PARTICLES = (
@@ -45,6 +48,7 @@ FIRST, SYLLABLES_OF_A_VOWEL, VOWELS, LEADS = 0xAC00, 28, 21, 19
 LONGEST, LONGEST_ENDING = 20, 4
 MOST_STEMS, LEAST_VARIETY = 100_000, 2
 NOUN, VERB = "n", "v"
+TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.StringType()), T.StructField("count", T.IntegerType())]))
 TOKEN = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("form", "tag", "lemma")]))
 
 
@@ -135,10 +139,14 @@ def analysed(word: str, varieties: dict[tuple[str, str], int]) -> list[tuple[str
     return [own, *([(ending, "JX" if kind == NOUN else "EF", ending)] if ending else [])]
 
 
+def sent_lexicon(spark: SparkSession, stems: DataFrame) -> Broadcast:
+    small_batches(spark)
+    return spark.sparkContext.broadcast({(r["kind"], r["stem"]): r["variety"] for r in stems.toLocalIterator()})
+
+
 def with_tokens(df: DataFrame, text_col: str, stems: DataFrame, as_col: str = "tokens") -> DataFrame:
     """df with an array of (form, tag, lemma) for each text. stems: what lexicon gives. A text's runs go to Python and come back as tokens, in time in proportion to them."""
-    varieties = {(r["kind"], r["stem"]): r["variety"] for r in stems.toLocalIterator()}
-    sent = df.sparkSession.sparkContext.broadcast(varieties)
+    sent = sent_lexicon(df.sparkSession, stems)
 
     @pandas_udf(TOKEN)
     def of_runs(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -153,6 +161,33 @@ def with_tokens(df: DataFrame, text_col: str, stems: DataFrame, as_col: str = "t
 
         for rows in parts:
             yield pd.Series([[token for run in runs for token in read(run)] for runs in rows])
+            released()
 
     runs = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(RUNS), F.lit(0))
     return df.withColumn(as_col, of_runs(runs))
+
+
+def with_terms(df: DataFrame, text_col: str, stems: DataFrame, as_col: str = "terms") -> DataFrame:
+    """df with an array of (term, pos, count) for each text: what analysis.counted_terms makes of with_tokens, counted where words are read, so that no token leaves Python."""
+    sent = sent_lexicon(df.sparkSession, stems)
+
+    @pandas_udf(TERMS)
+    def of_runs(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, known = sent.value, {}
+
+        def read(run: str) -> tuple[str, str]:
+            if run not in known:
+                if len(known) > MOST_STEMS:
+                    known.clear()
+                # A word's first token is its only content word.
+                form, tag, lemma = analysed(run, own)[0] if "가" <= run[0] <= "힣" else (run, "SL", run)
+                known[run] = (lemma if tag == "VV" else form)[:TERM_LENGTH], tag
+            return known[run]
+
+        for rows in parts:
+            yield pd.Series([[(*term, n) for term, n in sorted(Counter(map(read, runs)).items())] for runs in rows])
+            released()
+
+    # Numbers are no terms.
+    runs = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD_RUNS), F.lit(0))
+    return df.withColumn(as_col, of_runs(runs))

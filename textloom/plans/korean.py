@@ -52,9 +52,9 @@ def korean_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.stem_statistics(morphology.word_counts(spelled(spark, sf_dir), F.col("text")))
 
 
-def korean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def korean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spelled(spark, sf_dir)
-    return morphology.with_tokens(docs, "text", morphology.lexicon(korean_stems(spark, sf_dir)))
+    return morphology.with_terms(docs, "text", morphology.lexicon(korean_stems(spark, sf_dir)))
 
 
 #: b: each word's best way.
@@ -70,7 +70,7 @@ TERMS = f"""{WAYS},
 @query(f"with {TERMS} select doc_id, term, pos, count from tc")
 def korean_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content words of each document, forms of one stem as one term."""
-    return analysis.term_counts(korean_tokens(spark, sf_dir), "doc_id", "text", "tokens")
+    return analysis.term_counts(korean_counts(spark, sf_dir), "doc_id", "text", terms_col="terms")
 
 
 @query(f"""with {TERMS}, k as (select *, round_even(count * 100.0::double / sum(count) over (partition by doc_id), 1) as share from tc where pos <> 'SL'),
@@ -78,5 +78,5 @@ def korean_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     select *, case when mean_share >= 5 then 'center' else 'background' end as kind from g order by docs desc, word limit 8""")
 def korean_core_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Core words of nouns, verbs and adjectives, as the default settings have them."""
-    words = analysis.document_words(korean_tokens(spark, sf_dir), "doc_id", "text", analysis.Settings(), "tokens")
-    return insights.core_words(words, "doc_id")
+    words = analysis.document_words(korean_counts(spark, sf_dir), "doc_id", "text", analysis.Settings(), terms_col="terms", firsts=True)
+    return insights.core_words(words, "doc_id", first=F.col("first"))
