@@ -273,3 +273,17 @@ def test_words_are_counted_without_ids_in_a_shuffle(spark, tmp_path):
         assert not re.search(r"hashpartitioning\([^)]*(doc_id|content_id)", found._jdf.queryExecution().executedPlan().toString()), name
     top = catalog.queries()["top_words_without_stopwords"](spark, str(tmp_path))
     assert {(r["doc_id"], r["rank"], r["term"], r["share"]) for r in top.collect()} == {(1, 1, "a", 66.7), (1, 2, "b", 33.3), (2, 1, "b", 100.0), (3, 1, "a", 100.0)}
+
+
+def test_steps_leave_texts_that_they_need_not_see(spark):
+    """Each step tells by a plain search which texts it may change; all others it would give back as they are, so their lines are not split."""
+    rng = random.Random(4)
+    bits = ["기사", "관련기사", "포토뉴스", "Ⓒ", "copyrıght", "홍길동 기자", "웃는 모습.", "(끝)", "▶ ", "- ", "-", "•\t", "long english line " * 3, "홍길동@x.co.kr", "[email protected]", "|", " ", "　", "\r", "  ", "\n\n\n", "본문이다.", "x"]
+    texts = [None, "", "Plain text.\nIt has two lines."] + ["".join(rng.choice(bits) + rng.choice(["", "\n", " "]) for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").cache()
+    for step in clean.STEPS:
+        # Without needs, the step itself works on every text.
+        whole = clean.applied(df, clean.Step(step.name, step.apply), "t").select("id", F.col("t").alias("whole"))
+        rows = df.select("id", "t", F.coalesce(step.needs(F.col("t")), F.lit(False)).alias("needed")).join(whole, "id").collect()
+        assert all(r["needed"] or r["t"] is None or r["whole"] == r["t"] for r in rows), step.name
+        assert not next(r for r in rows if r["id"] == 2)["needed"], step.name

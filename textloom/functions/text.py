@@ -92,4 +92,6 @@ def is_title_line(line: Column, title: Column, least_prefix: int = 10) -> Column
     own, whole = squash(line), squash(title)
     prefix = squash(F.regexp_replace(title, r"(?U)\s*(?:\.{2,}|…)\s*\z", ""))
     cut = (prefix != whole) & (F.length(prefix) >= least_prefix) & own.startswith(prefix)
-    return F.coalesce((own != "") & (whole != "") & ((own == whole) | cut), F.lit(False))
+    same = F.coalesce((own != "") & (whole != "") & ((own == whole) | cut), F.lit(False))
+    # Equal as they stand, and not blank: nothing has to be replaced to tell.
+    return F.when(line == title, F.regexp_like(line, F.lit(r"(?U)\S"))).otherwise(same)
