@@ -500,3 +500,18 @@ def test_odd_vectors(spark):
     found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(df, F.col("id") % 50 == 0, 5).orderBy("rank").collect()]
     assert found == [(50, 1, 1, 11), (50, 2, 1, 11)]
     assert topk_search.top_k(df.limit(0), F.col("id") % 50 == 0, 5).collect() == []
+
+
+def test_chunks_are_listed_without_arrow_objects():
+    """Strings and numbers come as to_pylist gives them, and texts have the library's ids with chunks that repeat, differ in case or hold marks."""
+    import pyarrow as pa
+
+    from textloom.llm import pretokens
+
+    for column in (pa.array(["", "a", "é😀", "x\x00y"], pa.large_string()), pa.array([3, 0, 3], pa.int32()), pa.array([], pa.large_string())):
+        assert pretokens.listed(column) == column.to_pylist()
+    own = pretokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Straße, straße; 12 a.b x\x00y", None, "", "don't <|endoftext|> Straße,"]
+    found, offsets = own.encode(texts)
+    for text, a, b in zip(texts, offsets, offsets[1:], strict=False):
+        assert found[a:b].tolist() == own.library.encode(text or "", add_special_tokens=False).ids

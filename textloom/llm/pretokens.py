@@ -70,6 +70,11 @@ def chunks(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
 
 
+def listed(column: pa.Array) -> list:
+    """The values of a column without nulls. to_pylist would make an Arrow object of each, which costs more than to look it up."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def gathered(numbers: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The runs of numbers that the codes name, one after the other."""
     starts, own = np.cumsum(lengths) - lengths, lengths[codes]
@@ -128,15 +133,15 @@ class Encoder:
         plain = pc.match_substring_regex(stems, LETTERS)
         where = plain.to_numpy(zero_copy_only=False)
         out = np.empty(len(distinct), object)
-        others = distinct.filter(pc.invert(plain)).to_pylist()
+        others = listed(distinct.filter(pc.invert(plain)))
         out[~where] = np.fromiter(self._of(others, False), object, len(others))
         whole, stem = distinct.filter(plain), stems.filter(plain)
         marks = pc.replace_substring_regex(whole, "^[^.,;:!?*$%&#]*", "")
         parts = []
         for words, letters in ((pc.utf8_lower(stem), True), (marks, False)):
             coded = words.dictionary_encode()
-            ids = self._of(coded.dictionary.to_pylist(), letters)
-            parts.append(map(ids.__getitem__, coded.indices.to_pylist()))
+            ids = self._of(listed(coded.dictionary), letters)
+            parts.append(map(ids.__getitem__, listed(coded.indices)))
         out[where] = np.fromiter((a + b for a, b in zip(*parts, strict=True)), object, len(stem))
         return out.tolist()
 

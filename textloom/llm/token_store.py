@@ -37,6 +37,8 @@ from textloom.llm.mph import PerfectHash
 from textloom.llm.pretokens import encoder
 
 BLOCK_BYTES = 4 << 20
+#: Characters that are encoded at a time: the more, the fewer words are looked up again.
+SLICE_CHARS = 4 << 20
 SCHEMA = "shard int, block int, first_id long, last_id long, n_docs int, n_ids long, width int, payload binary, bounds binary, keys binary, hash binary, prints binary, places binary, repeats binary"
 ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), *[(x, pa.binary()) for x in ("payload", "bounds", "keys", "hash", "prints", "places", "repeats")]])
 
@@ -111,7 +113,7 @@ def write_store(docs: DataFrame, path: str, model: str, end_id: int | None = Non
             row = block_row(shard, block, np.concatenate(ids), np.concatenate(lengths), np.concatenate(numbers), width)
             return pa.RecordBatch.from_pylist([row], ARROW)
 
-        for some, texts in text_slices(batches, 0, 1):
+        for some, texts in text_slices(batches, 0, 1, SLICE_CHARS):
             found, offsets = own.encode(texts)
             if extra:
                 found = np.insert(found, offsets[1:], end_id)
