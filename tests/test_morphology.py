@@ -95,3 +95,15 @@ def test_terms_are_counted_where_words_are_read(spark):
     found = insights.core_words(words, "id", first=F.col("first"))
     assert [(r["word"], r["docs"], r["mean_share"]) for r in found.collect()] == [("가다", 1, 50.0)]
     assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ways_of_equal_rank(spark):
+    """A cut between syllables comes before one within, whatever the order of the lexicon: the SQL's row_number leaves this tie open."""
+    given = [("v", "호는하", 2), ("v", "호는한", 2)]
+    for rows in (given, given[::-1]):
+        stems = spark.createDataFrame(rows, "kind string, stem string, variety long")
+        found = morphology.with_terms(spark.createDataFrame([(1, "호는한다")], "id int, t string"), "t", stems).first()["terms"]
+        assert [(t["term"], t["pos"], t["count"]) for t in found] == [("호는한다", "VV", 1)]
+    better = spark.createDataFrame([("v", "호는하", 3), ("v", "호는한", 2)], "kind string, stem string, variety long")
+    found = morphology.with_terms(spark.createDataFrame([(1, "호는한다")], "id int, t string"), "t", better).first()["terms"]
+    assert [t["term"] for t in found] == ["호는하다"]

@@ -9,7 +9,7 @@ another the varieties; neither holds texts.
 The lexicon is the MOST_STEMS stems of the largest variety (ties: more occurrences, then the alphabet) with LEAST_VARIETY endings at
 least. For verbs only endings count that are no particles. It goes to the tasks by broadcast: at most MOST_STEMS entries of at most
 LONGEST syllables, whatever the corpus. A word's best way has the largest sum of ln(1 + variety) and its stem's length in syllables
-(ties: nouns before verbs, then the longer stem); a word without a way in the lexicon stays whole, as a noun.
+(ties: nouns before verbs, then the longer stem, then the ending that begins a syllable: 한다 is 한 and 다 if 하 and ᆫ다 is no better); a word without a way in the lexicon stays whole, as a noun.
 
 Tokens are (form, tag, lemma): nouns NNG, verbs and adjectives VV with 다 behind the stem as lemma, particles JX, verb endings EF;
 Latin runs, digits and the rest are as in analysis.tokens. It is an approximation: tags are no finer, compounds stay whole, and
