@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import analysis, morphology
@@ -107,3 +108,51 @@ def test_ways_of_equal_rank(spark):
     better = spark.createDataFrame([("v", "호는하", 3), ("v", "호는한", 2)], "kind string, stem string, variety long")
     found = morphology.with_terms(spark.createDataFrame([(1, "호는한다")], "id int, t string"), "t", better).first()["terms"]
     assert [t["term"] for t in found] == ["호는하다"]
+
+
+def texts_by_the_whole_lexicon(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(("학교", "학생", "대회", "열리", "배우", "호는하", "호는한", "가", "하")) + rng.choice(("은", "를", "다", "고", "에서", "한다", "했다", "")) for _ in range(30)) for _ in range(20)]
+    texts += [*SENTENCES, None, "", "no Hangul 12", "힣" * 25 + " " + "x" * 120 + "가a", texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return df, morphology.stem_statistics(morphology.word_counts(df, F.col("text")))
+
+
+def test_no_stem_is_left_out(spark):
+    """The lexicon holds every stem with endings enough, whatever their number, and a small one that is given is not cut without a word."""
+    made = spark.range(morphology.MOST_STEMS + 5).select(F.lit("n").alias("kind"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("stem"), F.lit(2).cast("long").alias("variety"), F.lit(3).cast("long").alias("n"))
+    assert morphology.lexicon(made).count() == morphology.MOST_STEMS + 5
+    with pytest.raises(ValueError):
+        morphology.with_terms(spark.createDataFrame([(1, "가")], "id int, text string"), "text", morphology.lexicon(made))
+
+
+def test_words_are_read_by_joins_as_one_by_one(spark):
+    """words_read against `analysed` with the whole lexicon, for each word."""
+    df, statistics = texts_by_the_whole_lexicon(spark)
+    varieties = {(r["kind"], r["stem"]): r["variety"] for r in morphology.lexicon(statistics).collect()}
+    found = morphology.words_read(morphology.word_counts(df, F.col("text")), morphology.lexicon(statistics)).collect()
+    assert len(found) > 60
+    for r in found:
+        form, tag, lemma = morphology.analysed(r["word"], varieties)[0]
+        assert (r["term"], r["pos"]) == (lemma if tag == "VV" else form, tag), r["word"]
+
+
+def test_document_terms_do_not_depend_on_what_is_sent(spark):
+    """Whether all terms go to the tasks, some or none: the terms that the whole lexicon gives, in order, for each row."""
+    df, statistics = texts_by_the_whole_lexicon(spark)
+    wanted = {r["id"]: [tuple(t) for t in r["terms"]] for r in morphology.with_terms(df, "text", morphology.lexicon(statistics)).collect()}
+    for most in (morphology.MOST_TERMS, 5, 0):
+        found = morphology.document_terms(df, "id", "text", most)
+        assert found.dtypes == [("id", "int"), ("terms", "array<struct<term:string,pos:string,count:int>>")]
+        assert {r["id"]: [tuple(t) for t in r["terms"]] for r in found.collect()} == wanted, most
+    twice = morphology.document_terms(df.union(df), "id", "text", 5).collect()
+    assert len(twice) == 2 * len(wanted) and all([(t, p, n) for t, p, n in r["terms"]] == wanted[r["id"]] for r in twice)
+    assert morphology.document_terms(df.limit(0), "id", "text", 5).collect() == []
+
+
+@pytest.mark.parametrize("name", ["korean_terms", "korean_core_words"])
+def test_no_cap_on_stems_in_the_queries(spark, name):
+    """Neither query's SQL has a limit on stems, and neither plan asks lexicon for one."""
+    from textloom.plans import catalog
+
+    assert "limit 100000" not in catalog.oracle_sql()[name] and "variety >= 2" in catalog.oracle_sql()[name]

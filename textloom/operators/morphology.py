@@ -6,10 +6,13 @@ consonant may be the ending's first letter (갔다 is 가 and ᆻ다; contracted
 between the ways: a stem's variety is the number of different endings that follow it. One grouped count gives the distinct words,
 another the varieties; neither holds texts.
 
-The lexicon is the MOST_STEMS stems of the largest variety (ties: more occurrences, then the alphabet) with LEAST_VARIETY endings at
-least. For verbs only endings count that are no particles. It goes to the tasks by broadcast: at most MOST_STEMS entries of at most
-LONGEST syllables, whatever the corpus. A word's best way has the largest sum of ln(1 + variety) and its stem's length in syllables
-(ties: nouns before verbs, then the longer stem, then the ending that begins a syllable: 한다 is 한 and 다 if 하 and ᆫ다 is no better); a word without a way in the lexicon stays whole, as a noun.
+The lexicon is every stem with LEAST_VARIETY endings at least. For verbs only endings count that are no particles. A word's best way
+has the largest sum of ln(1 + variety) and its stem's length in syllables (ties: nouns before verbs, then the longer stem, then the
+ending that begins a syllable: 한다 is 한 and 다 if 하 and ᆫ다 is no better); a word without a way in the lexicon stays whole, as a noun.
+
+document_terms reads a corpus by its own lexicon, however large: the best way of each distinct word is found by a join, the words of
+the most frequent terms (MOST_TERMS) go to the tasks by broadcast, and a document's other words are joined. with_tokens and with_terms
+are for a lexicon that is given and small: it goes to the tasks whole, and one of over MOST_STEMS stems is refused.
 
 Tokens are (form, tag, lemma): nouns NNG, verbs and adjectives VV with 다 behind the stem as lemma, particles JX, verb endings EF;
 Latin runs, digits and the rest are as in analysis.tokens. It is an approximation: tags are no finer, compounds stay whole, and
@@ -31,6 +34,7 @@ from pyspark.sql.functions import pandas_udf
 
 from textloom.functions.batches import released, small_batches
 from textloom.operators.analysis import RUNS, TERM_LENGTH, WORD_RUNS
+from textloom.session import stored
 
 # Particles (none is one), and endings of verbs and adjectives, some of which begin with a final consonant.
 PARTICLES = (
@@ -47,8 +51,11 @@ OPENED = {1: 0, 6: 20, 9: 8, 10: 11, 14: 13}
 FIRST, SYLLABLES_OF_A_VOWEL, VOWELS, LEADS = 0xAC00, 28, 21, 19
 LONGEST, LONGEST_ENDING = 20, 4
 MOST_STEMS, LEAST_VARIETY = 100_000, 2
+#: A term has few words, as endings are a closed class.
+MOST_TERMS = 50_000
 NOUN, VERB = "n", "v"
 TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.StringType()), T.StructField("count", T.IntegerType())]))
+READ = T.StructType([T.StructField("terms", TERMS), T.StructField("rest", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("count", T.IntegerType())])))])
 TOKEN = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("form", "tag", "lemma")]))
 
 
@@ -92,35 +99,46 @@ def word_counts(df: DataFrame, text: Column) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") <= LONGEST)
 
 
-def within_syllable(plain: Column, final: str) -> Column:
-    """Of ways to split a word those whose stem ends with this final consonant, as ways whose ending begins with it."""
-    given, stems = OPEN[final]
-    last = lambda c: F.right(c["stem"], F.lit(1))
-    whole = lambda c: F.substring(c["stem"], F.lit(1), F.length(c["stem"]) - 1)
-    moved = lambda c: F.struct(F.concat(whole(c), F.translate(last(c), given, stems)).alias("stem"), F.concat(F.lit(final), c["ending"]).alias("ending"))
-    whole_ending = lambda c: F.concat(last(c), c["ending"]).isin(*sorted(WHOLE_SET))
-    return F.transform(F.filter(plain, lambda c: F.contains(F.lit(given), last(c)) & ~whole_ending(c)), moved)
+def word_ways(words: DataFrame) -> DataFrame:
+    """word, n, kind, stem, ending, plain: each way to split a word, as `ways` has them; plain: cut between syllables. words: word, n."""
+    size = F.length("word")
+    at = words.select("word", "n", F.explode(F.sequence(F.greatest(F.lit(1), size - LONGEST_ENDING), size)).alias("_at"))
+    cuts = at.select("word", "n", F.expr("left(word, _at)").alias("stem"), F.expr(f"substring(word, _at + 1, {LONGEST_ENDING})").alias("ending"))
+    stem, ending, last = F.col("stem"), F.col("ending"), F.right("stem", F.lit(1))
+    given, stems = ("".join(x) for x in zip(*OPEN.values(), strict=True))
+    place = (F.ascii(last) - FIRST) % SYLLABLES_OF_A_VOWEL
+    final = F.coalesce(*[F.when(place == at, f) for f, at in FINALS.items()])
+    within = F.concat(final, ending)
+    way = lambda when, kind, of, end, plain: F.when(when, F.struct(F.lit(kind).alias("kind"), of.alias("stem"), end.alias("ending"), F.lit(plain).alias("plain")))
+    found = F.array(
+        way(ending.isin(*PARTICLES), NOUN, stem, ending, True),
+        way(ending.isin(*ENDINGS), VERB, stem, ending, True),
+        way(within.isin(*ENDINGS) & ~F.concat(last, ending).isin(*sorted(WHOLE_SET)), VERB, F.concat(F.expr("left(stem, length(stem) - 1)"), F.translate(last, given, stems)), within, False),
+    )
+    # Outer, as for a plain one Spark would add a filter on the array, which computes it twice.
+    return cuts.select("word", "n", F.explode_outer(found).alias("w")).where("w is not null").select("word", "n", "w.*")
 
 
 def stem_statistics(words: DataFrame) -> DataFrame:
     """kind, stem, variety, n: of each stem in any way to split a word how many endings follow it, and how many words are split so. words: word, n."""
-    size, word = F.length("word"), F.col("word")
-    among = lambda c, own: c.isin(*own)
-    cut = lambda i: F.struct(F.substring(word, F.lit(1), i).alias("stem"), F.substring(word, i + 1, F.lit(LONGEST_ENDING)).alias("ending"))
-    # Columns of their own, as each is read several times.
-    cuts = words.select("n", F.transform(F.sequence(F.greatest(F.lit(1), size - LONGEST_ENDING), size), cut).alias("_plain"))
-    plain = F.col("_plain")
-    within = [within_syllable(plain, final) for final in OPEN]
-    tagged = lambda found, own, kind: F.transform(F.filter(found, lambda c: among(c["ending"], own)), lambda c: F.struct(F.lit(kind).alias("kind"), c["stem"].alias("stem"), c["ending"].alias("ending")))
-    all_ways = F.concat(tagged(plain, PARTICLES, NOUN), tagged(F.concat(plain, *within), [e for e in ENDINGS if e not in PARTICLE_SET], VERB))
-    # Outer, as for a plain one Spark would add a filter on the array, which computes it twice.
-    split = cuts.select("n", F.explode_outer(all_ways).alias("w")).where("w is not null").groupBy("w.kind", "w.stem", "w.ending").agg(F.sum("n").alias("n"))
-    return split.groupBy("kind", "stem").agg(F.count("*").alias("variety"), F.sum("n").alias("n"))
+    counted = word_ways(words).where((F.col("kind") == NOUN) | ~F.col("ending").isin(*PARTICLES))
+    return counted.groupBy("kind", "stem", "ending").agg(F.sum("n").alias("n")).groupBy("kind", "stem").agg(F.count("*").alias("variety"), F.sum("n").alias("n"))
 
 
-def lexicon(statistics: DataFrame, most: int = MOST_STEMS) -> DataFrame:
-    """kind, stem, variety: at most `most` rows."""
-    return statistics.where(F.col("variety") >= LEAST_VARIETY).orderBy(F.desc("variety"), F.desc("n"), "stem", "kind").limit(most).select("kind", "stem", "variety")
+def lexicon(statistics: DataFrame, most: int | None = None) -> DataFrame:
+    """kind, stem, variety: every stem with LEAST_VARIETY endings, or the `most` of the largest variety (ties: more occurrences, then the alphabet)."""
+    found = statistics.where(F.col("variety") >= LEAST_VARIETY)
+    return (found if most is None else found.orderBy(F.desc("variety"), F.desc("n"), "stem", "kind").limit(most)).select("kind", "stem", "variety")
+
+
+def words_read(words: DataFrame, stems: DataFrame) -> DataFrame:
+    """word, n, term, pos: each word by its best way, as `analysed` has it. words: word, n; stems: what lexicon gives, of any size."""
+    place = F.struct((F.log1p("variety") + F.length("stem")).alias("sum"), (F.col("kind") == NOUN).alias("noun"), F.length("stem").alias("length"), "plain", "kind", "stem")
+    ranked = word_ways(words).join(stems, ["kind", "stem"], "left").select("word", "n", F.when(F.col("variety").isNotNull(), place).alias("way"))
+    best = ranked.groupBy("word").agg(F.max("n").alias("n"), F.max("way").alias("w"))
+    verb = F.coalesce(F.col("w.kind") == VERB, F.lit(False))
+    term = F.when(verb, F.concat("w.stem", F.lit("다"))).otherwise(F.coalesce("w.stem", "word"))
+    return best.select("word", "n", term.alias("term"), F.when(verb, "VV").otherwise("NNG").alias("pos"))
 
 
 def analysed(word: str, varieties: dict[tuple[str, str], int]) -> list[tuple[str, str, str]]:
@@ -141,7 +159,10 @@ def analysed(word: str, varieties: dict[tuple[str, str], int]) -> list[tuple[str
 
 def sent_lexicon(spark: SparkSession, stems: DataFrame) -> Broadcast:
     small_batches(spark)
-    return spark.sparkContext.broadcast({(r["kind"], r["stem"]): r["variety"] for r in stems.toLocalIterator()})
+    found = stems.limit(MOST_STEMS + 1).collect()
+    if len(found) > MOST_STEMS:
+        raise ValueError(f"over {MOST_STEMS} stems: document_terms reads by a lexicon of any size")
+    return spark.sparkContext.broadcast({(r["kind"], r["stem"]): r["variety"] for r in found})
 
 
 def with_tokens(df: DataFrame, text_col: str, stems: DataFrame, as_col: str = "tokens") -> DataFrame:
@@ -191,3 +212,50 @@ def with_terms(df: DataFrame, text_col: str, stems: DataFrame, as_col: str = "te
     # Numbers are no terms.
     runs = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD_RUNS), F.lit(0))
     return df.withColumn(as_col, of_runs(runs))
+
+
+def document_terms(df: DataFrame, id_col: str, text_col: str, most: int = MOST_TERMS) -> DataFrame:
+    """id, terms: for each row an array of (term, pos, count) in order, read by the lexicon of all of df's texts, of any size.
+
+    The words of the `most` most frequent terms are counted where they are read. All words of a term are among them or none is, so
+    the other words of a row, which are joined, have other terms. What df's texts are read for is stored: word counts, ways, and the rows if there are such words.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    words = stored(word_counts(df, F.col(text_col)), "words")
+    read = stored(words_read(words, lexicon(stem_statistics(words))), "words-read")
+    first = read.groupBy("term", "pos").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term", "pos").limit(most).select("term", "pos")
+    # As pairs of Python's own types; a term's words share one.
+    terms: dict[tuple[str, str], tuple[str, str]] = {}
+    near = {r["word"]: terms.setdefault((r["term"], r["pos"]), (r["term"], r["pos"])) for r in read.join(F.broadcast(first), ["term", "pos"], "left_semi").collect()}
+    sent, all_near = spark.sparkContext.broadcast(near), len(near) == read.count()
+
+    @pandas_udf(READ)
+    def of_runs(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = sent.value
+        for rows in parts:
+            found, others = [], []
+            for runs in rows:
+                counts, rest = Counter(), []
+                for run, n in Counter(runs.split()).items():
+                    hangul = "가" <= run[0] <= "힣"
+                    term = known.get(run) if hangul else (run[:TERM_LENGTH], "SL")
+                    if term is None and len(run) <= LONGEST:
+                        rest.append((run, n))
+                    else:
+                        counts[term or (run[:TERM_LENGTH], "NNG")] += n
+                found.append([(*term, n) for term, n in sorted(counts.items())])
+                others.append(rest)
+            yield pd.DataFrame({"terms": found, "rest": others})
+            released()
+
+    # Numbers are no terms. A text's runs go as one string: they hold no white space.
+    runs = F.array_join(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD_RUNS), F.lit(0)), " ")
+    rows = df.select(F.col(id_col), of_runs(runs).alias("_read"))
+    if all_near:
+        return rows.select(id_col, "_read.terms")
+    rows = stored(rows.select(id_col, "_read.*", F.monotonically_increasing_id().alias("_row")), "document-terms")
+    rest = rows.select("_row", F.explode("rest").alias("w")).select("_row", "w.*").join(read.select("word", "term", "pos"), "word").groupBy("_row", "term", "pos").agg(F.sum("count").cast("int").alias("count"))
+    others = rest.groupBy("_row").agg(F.collect_list(F.struct("term", "pos", "count")).alias("_others"))
+    both = F.when(F.col("_others").isNull(), F.col("terms")).otherwise(F.sort_array(F.concat("terms", "_others")))
+    return rows.drop("rest").join(others, "_row", "left").select(id_col, both.alias("terms"))
