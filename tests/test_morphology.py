@@ -156,3 +156,19 @@ def test_no_cap_on_stems_in_the_queries(spark, name):
     from textloom.plans import catalog
 
     assert "limit 100000" not in catalog.oracle_sql()[name] and "variety >= 2" in catalog.oracle_sql()[name]
+
+
+def test_stems_beyond_the_sent_ones_in_the_query(spark, tmp_path, monkeypatch):
+    """korean_terms with a lexicon larger than what would be sent gives what its SQL gives."""
+    import duckdb
+
+    from textloom.plans import catalog
+
+    monkeypatch.setattr(morphology.document_terms, "__defaults__", (3,))
+    rows = [(i, t) for i, t in enumerate(["dog dogs doge the cat cats cate", "cat cate dogs then there", None, "", "Über dogs cat", "dogf dogm dogb catb catf"])]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    found = sorted(tuple(r) for r in catalog.queries()["korean_terms"](spark, str(tmp_path)).collect())
+    own = duckdb.connect()
+    own.execute(f"create view documents as select * from read_parquet('{path}/*.parquet')")
+    assert found == sorted(own.execute(catalog.oracle_sql()["korean_terms"]).fetchall()) and len(found) > 10

@@ -26,11 +26,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from textloom.functions.batches import released, small_batches
 from textloom.operators.analysis import RUNS, TERM_LENGTH, WORD_RUNS
@@ -214,6 +215,13 @@ def with_terms(df: DataFrame, text_col: str, stems: DataFrame, as_col: str = "te
     return df.withColumn(as_col, of_runs(runs))
 
 
+def lists(rows: list[tuple], ends: list[int], field: T.StructField) -> pa.Array:
+    """An array of lists of structs as the field has them, from the rows of all lists, one after another, and where each list ends."""
+    own = field.dataType.elementType
+    columns = [pa.array([r[i] for r in rows], pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for i, f in enumerate(own)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [f.name for f in own]))
+
+
 def document_terms(df: DataFrame, id_col: str, text_col: str, most: int = MOST_TERMS) -> DataFrame:
     """id, terms: for each row an array of (term, pos, count) in order, read by the lexicon of all of df's texts, of any size.
 
@@ -230,23 +238,25 @@ def document_terms(df: DataFrame, id_col: str, text_col: str, most: int = MOST_T
     near = {r["word"]: terms.setdefault((r["term"], r["pos"]), (r["term"], r["pos"])) for r in read.join(F.broadcast(first), ["term", "pos"], "left_semi").collect()}
     sent, all_near = spark.sparkContext.broadcast(near), len(near) == read.count()
 
-    @pandas_udf(READ)
-    def of_runs(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf(READ)
+    def of_runs(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = sent.value
         for rows in parts:
-            found, others = [], []
-            for runs in rows:
-                counts, rest = Counter(), []
+            found, others, ends, rest_ends = [], [], [0], [0]
+            for runs in rows.to_pylist():
+                counts = Counter()
                 for run, n in Counter(runs.split()).items():
                     hangul = "가" <= run[0] <= "힣"
                     term = known.get(run) if hangul else (run[:TERM_LENGTH], "SL")
                     if term is None and len(run) <= LONGEST:
-                        rest.append((run, n))
+                        others.append((run, n))
                     else:
                         counts[term or (run[:TERM_LENGTH], "NNG")] += n
-                found.append([(*term, n) for term, n in sorted(counts.items())])
-                others.append(rest)
-            yield pd.DataFrame({"terms": found, "rest": others})
+                found += [(*term, n) for term, n in sorted(counts.items())]
+                ends.append(len(found))
+                rest_ends.append(len(others))
+            # Column by column: rows of structs would be converted one by one.
+            yield pa.StructArray.from_arrays([lists(found, ends, READ["terms"]), lists(others, rest_ends, READ["rest"])], [f.name for f in READ])
             released()
 
     # Numbers are no terms. A text's runs go as one string: they hold no white space.
